@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from flowmill.plans import skew_queries
+from flowmill.plans import clean_queries, eval_queries, graph_queries, skew_queries, split_queries
 
-MODULES = (skew_queries,)
-FLAGSHIP = "p1_source_join"
+MODULES = (skew_queries, clean_queries, split_queries, graph_queries, eval_queries)
+FLAGSHIP = "node_stats_long"
 
 
 def queries() -> dict[str, Callable]:
