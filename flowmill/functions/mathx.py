@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from flowmill.functions.vec import let
+
 
 # Acklam's rational approximation of the normal quantile.
 _A = (-39.69683028665376, 220.9460984245205, -275.9285104469687, 138.3577518672690, -30.66479806614716, 2.506628277459239)
@@ -64,5 +66,4 @@ def _probit_array(p):
 
 def log_sum_exp(values: Column) -> Column:
     """log of the sum of exponentials of an array, shifted by its maximum."""
-    top = F.array_max(values)
-    return top + F.ln(F.aggregate(values, F.lit(0.0), lambda s, x: s + F.exp(x - top)))
+    return let(F.struct(values.alias("v"), F.array_max(values).alias("m")), lambda t: t["m"] + F.ln(F.aggregate(t["v"], F.lit(0.0), lambda s, x: s + F.exp(x - t["m"]))))

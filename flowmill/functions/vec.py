@@ -6,6 +6,15 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once per row.
+
+    A column used inside a lambda is inlined there and would be computed anew
+    for every element; bound to a lambda's own variable it is not.
+    """
+    return F.transform(F.array(value), use)[0]
+
+
 def total(v: Column) -> Column:
     return F.aggregate(v, F.lit(0.0), lambda s, x: s + x)
 
@@ -20,8 +29,7 @@ def norm(v: Column) -> Column:
 
 def unit(v: Column) -> Column:
     """The vector at length 1; a zero vector stays as it is."""
-    n = norm(v)
-    return F.when(n > 0, F.transform(v, lambda x: x.cast("double") / n)).otherwise(F.transform(v, lambda x: x.cast("double")))
+    return let(F.struct(v.alias("v"), norm(v).alias("n")), lambda t: F.transform(t["v"], lambda x: F.when(t["n"] > 0, x.cast("double") / t["n"]).otherwise(x.cast("double"))))
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -30,9 +38,8 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def softmax(v: Column) -> Column:
-    top = F.array_max(v)
-    e = F.transform(v, lambda x: F.exp(x - top))
-    return F.transform(e, lambda x: x / total(e))
+    shifted = let(F.struct(v.alias("v"), F.array_max(v).alias("m")), lambda t: F.transform(t["v"], lambda x: F.exp(x - t["m"])))
+    return let(shifted, lambda e: let(F.struct(e.alias("e"), total(e).alias("s")), lambda t: F.transform(t["e"], lambda x: x / t["s"])))
 
 
 def argmax(v: Column) -> Column:

@@ -206,22 +206,22 @@ def forgetting(before: DataFrame, after: DataFrame) -> DataFrame:
 
 
 def bootstrap_means(df: DataFrame, values: dict[str, Column], key: str, resamples: int = 200, seed: int = 5) -> DataFrame:
-    """``b, n, <name>...``: the mean of each value in each resample, all on the
+    """``resample, n, <name>...``: the mean of each value in each resample, all on the
     same draws (so differences are paired).
 
     Poisson(1) weights by hash instead of drawn indices: a row decides alone how
     often it is in a resample, so rows are not moved; each partition folds its
     share of every resample.
     """
-    draws = df.select(F.col(key).alias("_k"), *[c.cast("double").alias(n) for n, c in values.items()]).withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(resamples))))
-    mixed = F.pmod(F.pmod(F.col("_k"), F.lit(1_000_003)) * F.lit(7_919) + F.col("b") * F.lit(104_729) + F.lit(seed), F.lit(1_000_003))
+    draws = df.select(F.col(key).alias("_k"), *[c.cast("double").alias(n) for n, c in values.items()]).withColumn("resample", F.explode(F.sequence(F.lit(1), F.lit(resamples))))
+    mixed = F.pmod(F.pmod(F.col("_k"), F.lit(1_000_003)) * F.lit(7_919) + F.col("resample") * F.lit(104_729) + F.lit(seed), F.lit(1_000_003))
     u = F.pmod(mixed * F.lit(2_654_435_761), F.lit(1_000_003)) / 1_000_003.0
     weight, cdf = F.lit(0), 0.0
     for k in range(8):
         cdf += math.exp(-1) / math.factorial(k)
         weight = weight + F.when(u >= cdf, 1).otherwise(0)
     drawn = draws.withColumn("_w", weight)
-    return drawn.groupBy("b").agg(F.sum("_w").alias("n"), *[_ratio(F.sum(F.col("_w") * F.col(n)), F.sum("_w")).alias(n) for n in values])
+    return drawn.groupBy("resample").agg(F.sum("_w").alias("n"), *[_ratio(F.sum(F.col("_w") * F.col(n)), F.sum("_w")).alias(n) for n in values])
 
 
 def interval(means: DataFrame, name: str, level: float = 0.95) -> DataFrame:
@@ -257,17 +257,17 @@ def clusters(df: DataFrame, y: str, cluster: str) -> DataFrame:
     t = confusion(df, y, cluster)
     rows, cols = t.groupBy("y").agg(F.sum("n").alias("a")), t.groupBy("pred").agg(F.sum("n").alias("b"))
     n = t.agg(F.sum("n").cast("double")).scalar()
-    full = t.join(rows, "y").join(cols, "pred").withColumn("N", n)
+    full = t.join(rows, "y").join(cols, "pred").withColumn("all_rows", n)
     pair = lambda c: c * (c - 1) / 2
-    mi = full.agg(F.sum(F.col("n") / F.col("N") * F.ln(F.col("N") * F.col("n") / (F.col("a").cast("double") * F.col("b")))).alias("mi"), F.sum(pair(F.col("n").cast("double"))).alias("s"), F.max("N").alias("N"))
+    mi = full.agg(F.sum(F.col("n") / F.col("all_rows") * F.ln(F.col("all_rows") * F.col("n") / (F.col("a").cast("double") * F.col("b")))).alias("mi"), F.sum(pair(F.col("n").cast("double"))).alias("s"), F.max("all_rows").alias("all_rows"))
     side = lambda d, c, h, s: d.agg((-F.sum(F.col(c) / n * F.ln(F.col(c) / n))).alias(h), F.sum(pair(F.col(c).cast("double"))).alias(s))
     hr, hc = side(rows, "a", "h1", "s1"), side(cols, "b", "h2", "s2")
     best = t.groupBy("pred").agg(F.max("n").alias("m")).agg(F.sum("m").alias("m"))
     one = mi.withColumns({"h1": hr.select("h1").scalar(), "h2": hc.select("h2").scalar(), "s1": hr.select("s1").scalar(), "s2": hc.select("s2").scalar(), "m": best.scalar()})
-    expected = F.col("s1") * F.col("s2") / F.nullif(pair(F.col("N")), F.lit(0.0))
+    expected = F.col("s1") * F.col("s2") / F.nullif(pair(F.col("all_rows")), F.lit(0.0))
     top = (F.col("s1") + F.col("s2")) / 2 - expected
     return one.select(
-        (F.col("m") / F.col("N")).alias("purity"), F.when(F.col("h1") + F.col("h2") > 0, 2 * F.col("mi") / (F.col("h1") + F.col("h2"))).otherwise(1.0).alias("nmi"),
+        (F.col("m") / F.col("all_rows")).alias("purity"), F.when(F.col("h1") + F.col("h2") > 0, 2 * F.col("mi") / (F.col("h1") + F.col("h2"))).otherwise(1.0).alias("nmi"),
         F.when(top != 0, (F.col("s") - expected) / top).otherwise(1.0).alias("ari"),
     )
 

@@ -44,9 +44,10 @@ def sub_prototypes(df: DataFrame, label: str, vector: str, size: int, per_class:
 
 
 def _packed(bank: DataFrame) -> Column:
-    """The whole bank as one sorted array in a scalar subquery."""
-    b = bank.select(F.struct("class_id", "sub_id", "proto").alias("b"))
-    return b.agg(F.array_sort(F.collect_list("b")).alias("bank")).scalar()
+    """The whole bank as one array of classes in a scalar subquery, sorted, each
+    with its sub-prototypes."""
+    per = bank.groupBy("class_id").agg(F.array_sort(F.collect_list(F.struct("sub_id", "proto"))).alias("subs"))
+    return per.agg(F.array_sort(F.collect_list(F.struct("class_id", "subs"))).alias("bank")).scalar()
 
 
 def check_bank(bank: DataFrame) -> DataFrame:
@@ -58,7 +59,7 @@ def check_bank(bank: DataFrame) -> DataFrame:
 
 def nearest_own(df: DataFrame, bank: DataFrame, label: str, vector: str) -> DataFrame:
     """``df`` with ``sub_id``: the nearest sub-prototype of the row's own class."""
-    own = F.filter("_bank", lambda b: b["class_id"] == F.col(label).cast("int"))
+    own = F.filter("_bank", lambda b: b["class_id"] == F.col(label).cast("int"))[0]["subs"]
     scored = F.transform(own, lambda b: F.struct((-vec.dot(F.col(vector), b["proto"])).alias("d"), b["sub_id"].alias("s")))
     return df.withColumn("_bank", _packed(bank)).withColumn("sub_id", F.array_min(scored)["s"]).drop("_bank")
 
@@ -66,12 +67,13 @@ def nearest_own(df: DataFrame, bank: DataFrame, label: str, vector: str) -> Data
 def cosines(df: DataFrame, bank: DataFrame, vector: str) -> DataFrame:
     """``df`` with ``classes`` (ids, ascending) and ``cos`` (largest cosine per
     class over its sub-prototypes, in the order of ``classes``)."""
-    z = F.col("_z")
-    with_z = df.withColumn("_bank", _packed(check_bank(bank))).withColumn("_z", vec.unit(F.col(vector)))
-    each = F.transform("_bank", lambda b: F.struct(b["class_id"].alias("c"), vec.dot(z, b["proto"]).alias("s")))
-    with_each = with_z.withColumn("_each", each).withColumn("classes", F.array_sort(F.array_distinct(F.transform("_bank", lambda b: b["class_id"]))))
-    best = F.transform("classes", lambda c: F.array_max(F.transform(F.filter("_each", lambda e: e["c"] == c), lambda e: e["s"])))
-    return with_each.withColumn("cos", best).drop("_bank", "_z", "_each")
+    packed = df.withColumn("_bank", _packed(check_bank(bank)))
+    score = lambda t, s: F.coalesce(F.try_divide(vec.dot(t["z"], s["proto"]), t["n"]), F.lit(0.0))
+    best = vec.let(
+        F.struct(F.col(vector).alias("z"), vec.norm(F.col(vector)).alias("n"), F.col("_bank").alias("b")),
+        lambda t: F.transform(t["b"], lambda c: F.array_max(F.transform(c["subs"], lambda s: score(t, s)))),
+    )
+    return packed.withColumns({"classes": F.transform("_bank", lambda b: b["class_id"]), "cos": best}).drop("_bank")
 
 
 def evidence(df: DataFrame, margin: float = 0.2, tau: float = 0.1, clamp: float = 15.0) -> DataFrame:
@@ -81,7 +83,7 @@ def evidence(df: DataFrame, margin: float = 0.2, tau: float = 0.1, clamp: float
     n = F.size("cos").cast("double")
     out = df.withColumn("log_e", log_e).withColumn("_ls", log_sum_exp(F.concat("log_e", F.array(F.ln(n))))).withColumn("strength", F.exp("_ls"))
     return out.withColumns({
-        "p": F.transform("log_e", lambda x: (F.exp(x) + 1) / F.col("strength")), "vacuity": n / F.col("strength"),
+        "p": vec.let(F.struct("log_e", "strength"), lambda t: F.transform(t["log_e"], lambda x: (F.exp(x) + 1) / t["strength"])), "vacuity": n / F.col("strength"),
         "evidence_total": vec.total(F.transform("log_e", lambda x: F.exp(x))),
     }).drop("_ls")
 

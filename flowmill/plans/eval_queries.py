@@ -356,7 +356,7 @@ _CONF = "cf AS (SELECT y, predicted pred, count(*) n FROM sc GROUP BY 1, 2)"
 
 
 def _per(conf: str, name: str = "pc2") -> str:
-    return f"""{name} AS (SELECT coalesce(a.y, b.pred) cls, coalesce(support, 0)::BIGINT support, coalesce(predicted, 0)::BIGINT predicted, coalesce(tp, 0)::BIGINT tp, coalesce(tp / nullif(predicted, 0), 0) precision, coalesce(tp / nullif(support, 0), 0) recall,
+    return f"""{name} AS (SELECT coalesce(a.y, b.pred) cls, coalesce(support, 0)::BIGINT support, coalesce(predicted, 0)::BIGINT predicted, coalesce(tp, 0)::BIGINT tp, coalesce(tp / nullif(predicted, 0), 0) AS "precision", coalesce(tp / nullif(support, 0), 0) recall,
     coalesce(2 * tp / nullif(coalesce(support, 0) + coalesce(predicted, 0), 0), 0) f1 FROM (SELECT y, sum(n) support, coalesce(sum(n) FILTER (y = pred), 0) tp FROM {conf} GROUP BY 1) a FULL JOIN (SELECT pred, sum(n) predicted FROM {conf} GROUP BY 1) b ON a.y = b.pred)"""
 
 
@@ -372,7 +372,7 @@ _CURVE = """rc AS (SELECT i, 1 - i / 49.0::DOUBLE coverage, r kept, rw / r risk,
 _BOOT = f"""bt AS (SELECT b, sum(wt) n, coalesce(sum(wt * (1 - w)) / nullif(sum(wt), 0), 0) a, coalesce(sum(wt * (conf > 0.11)::INT) / nullif(sum(wt), 0), 0) bb FROM (SELECT *, {" + ".join(f"(u >= {c!r})::INT" for c in [sum(__import__("math").exp(-1) / __import__("math").factorial(j) for j in range(k + 1)) for k in range(8)])} wt
     FROM (SELECT sc.*, b, ((((vec_id % 1000003) * 7919 + b * 104729 + 5) % 1000003) * 2654435761 % 1000003) / 1000003.0::DOUBLE u FROM sc CROSS JOIN range(1, 101) t(b))) GROUP BY 1)"""
 _ci = lambda e: f"SELECT round(avg({e}), 8) mean, round(quantile_cont({e}, {(1 - 0.95) / 2!r}), 8) ci_lower, round(quantile_cont({e}, {1 - (1 - 0.95) / 2!r}), 8) ci_upper FROM bt"
-_OWN = "ow AS (SELECT vec_id, z, pv FROM s0 JOIN e USING (vec_id) JOIN pr ON pr.c = s0.predicted), at AS (SELECT vec_id, unnest(z) zz, unnest(pv) pz, generate_subscripts(z, 1) i FROM ow)"
+_OWN = "ow AS (SELECT vec_id, z, pv FROM s0 JOIN e USING (vec_id) JOIN pr ON pr.c = s0.predicted), att AS (SELECT vec_id, unnest(z) zz, unnest(pv) pz, generate_subscripts(z, 1) i FROM ow)"
 
 SQL = {
     "proto_bank": f"{_K} SELECT c::INT class_id, (generate_subscripts(pv, 1) - 1)::INT i, round(unnest(pv), 6) v FROM pr",
@@ -389,7 +389,7 @@ SQL = {
         x AS (SELECT *, list_transform(list_zip(za, zb), lambda t: t[1] * mu + t[2] * (1 - mu)) x FROM m), c AS (SELECT *, greatest(list_cosine_similarity(x, za), list_cosine_similarity(x, zb)) near FROM x)
         SELECT vec_id, partner, round(mu, 6) mu, round(near, 6) nearest FROM c WHERE near <= 0.9""",
     "confusion_matrix": f"{_A} SELECT y, predicted pred, count(*) n FROM sc GROUP BY 1, 2",
-    "per_class_f1": f"{_A}, {_CONF}, {_per('cf')} SELECT cls, support, predicted, tp, round(precision, 9) AS precision, round(recall, 9) recall, round(f1, 9) f1 FROM pc2",
+    "per_class_f1": f"{_A}, {_CONF}, {_per('cf')} SELECT cls, support, predicted, tp, round(\"precision\", 9) AS \"precision\", round(recall, 9) recall, round(f1, 9) f1 FROM pc2",
     "closed_set_f1": f"{_A}, {_CONF}, {_per('cf')} {_CLOSED}",
     "tier_f1": f"{_A}, {_CONF}, {_per('cf')} SELECT CASE WHEN support > 54 THEN 'head' WHEN support > 50 THEN 'body' WHEN support > 47 THEN 'tail' ELSE 'extreme' END tier, round(avg(f1), 9) macro_f1, count(*) n_classes FROM pc2 GROUP BY 1",
     "pr_auc": f"""{_A}, x AS (SELECT c, round(s, 9) s, count(*) FILTER (y = c) a, count(*) FILTER (y <> c) b FROM cs GROUP BY 1, 2), y AS (SELECT *, sum(a) OVER w tp, sum(b) OVER w fp, sum(a) OVER (PARTITION BY c) P FROM x WINDOW w AS (PARTITION BY c ORDER BY s DESC ROWS UNBOUNDED PRECEDING))
@@ -412,7 +412,7 @@ SQL = {
     "latency_percentiles": "SELECT event_type dst, " + ", ".join(f"round(quantile_cont(value, {q}), 6) p{int(q * 100)}" for q in (0.5, 0.9, 0.95, 0.99)) + ", round(avg(value), 6) mean, round(max(value), 6) AS max, count(value) n FROM events GROUP BY 1",
     "thresholds": f"{_K} SELECT round(quantile_cont(et, 0.05), 8) theta_unknown, round(quantile_cont(gap, 0.02), 8) theta_defer FROM sc WHERE y < {KNOWN}",
     "nmi_ari": f"""{_A}, {_CONF}, a AS (SELECT y, sum(n)::DOUBLE a FROM cf GROUP BY 1), b AS (SELECT pred, sum(n)::DOUBLE b, max(n) m FROM cf GROUP BY 1), N AS (SELECT sum(n)::DOUBLE nn FROM cf),
-        x AS (SELECT (SELECT sum(m) / nn FROM b, N) purity, (SELECT sum(n / nn * ln(nn * n / (a * b))) FROM cf JOIN a USING (y) JOIN b USING (pred), N) mi, (SELECT -sum(a / nn * ln(a / nn)) FROM a, N) h1, (SELECT -sum(b / nn * ln(b / nn)) FROM b, N) h2,
+        x AS (SELECT (SELECT sum(m / nn) FROM b, N) purity, (SELECT sum(n / nn * ln(nn * n / (a * b))) FROM cf JOIN a USING (y) JOIN b USING (pred), N) mi, (SELECT -sum(a / nn * ln(a / nn)) FROM a, N) h1, (SELECT -sum(b / nn * ln(b / nn)) FROM b, N) h2,
           (SELECT sum(n * (n - 1) / 2) FROM cf) s, (SELECT sum(a * (a - 1) / 2) FROM a) s1, (SELECT sum(b * (b - 1) / 2) FROM b) s2, (SELECT nn * (nn - 1) / 2 FROM N) t)
         SELECT round(purity, 9) purity, round(2 * mi / (h1 + h2), 9) nmi, round((s - s1 * s2 / t) / ((s1 + s2) / 2 - s1 * s2 / t), 9) ari FROM x""",
     "nearest_prototype": f"{_K}, c AS (SELECT y, predicted, count(*) n FROM sc WHERE y >= {KNOWN} GROUP BY 1, 2) SELECT y, predicted nearest, n FROM c QUALIFY row_number() OVER (PARTITION BY y ORDER BY n DESC, predicted) = 1",
@@ -420,8 +420,8 @@ SQL = {
         UNION ALL SELECT 'evidence', round(b, 6), 0.7, b <= 0.7 FROM g UNION ALL SELECT 'carving', round(c, 6), 0.5, c >= 0.5 FROM g""",
     "energy_score": f"{_K} SELECT vec_id, round(-ln(sum(exp(s * 10))), 6) energy FROM cs GROUP BY 1",
     "odin_score": f"{_K} SELECT vec_id, round(1 - max(exp(s)) / sum(exp(s)), 6) odin FROM cs GROUP BY 1",
-    "embed_attribution": f"""{_K}, {_OWN}, rk AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY abs(zz * pz / {TAU}) DESC, i) r FROM at) SELECT vec_id, round(sum(zz * pz / {TAU}), 6) total, max(i) FILTER (r = 1) top_1, 0.0::DOUBLE gap FROM rk GROUP BY 1""",
-    "fidelity": f"""{_K}, {_OWN}, rk AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY abs(zz * pz / {TAU}) DESC, i) r FROM at) SELECT vec_id, round(sum(zz * pz) - coalesce(sum(zz * pz) FILTER (r > 8), 0), 6) fidelity_plus, round(sum(zz * pz) - sum(zz * pz) FILTER (r <= 8), 6) fidelity_minus, 0.875::DOUBLE sparsity FROM rk GROUP BY 1""",
+    "embed_attribution": f"""{_K}, {_OWN}, rk AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY abs(zz * pz / {TAU}) DESC, i) r FROM att) SELECT vec_id, round(sum(zz * pz / {TAU}), 6) total, max(i) FILTER (r = 1) top_1, 0.0::DOUBLE gap FROM rk GROUP BY 1""",
+    "fidelity": f"""{_K}, {_OWN}, rk AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY abs(zz * pz / {TAU}) DESC, i) r FROM att) SELECT vec_id, round(sum(zz * pz) - coalesce(sum(zz * pz) FILTER (r > 8), 0), 6) fidelity_plus, round(sum(zz * pz) - sum(zz * pz) FILTER (r <= 8), 6) fidelity_minus, 0.875::DOUBLE sparsity FROM rk GROUP BY 1""",
     "stability_spearman": f"""WITH {_chain(3)}, a AS (SELECT vec_id, c, generate_subscripts(z, 1) i, unnest(z) zz, unnest(pv) pz FROM e CROSS JOIN pr), x AS (SELECT vec_id, c, i, round(zz * pz / {TAU}, 9) x FROM a),
         r AS (SELECT vec_id, c, i, rank() OVER (PARTITION BY vec_id, c ORDER BY x) + (count(*) OVER (PARTITION BY vec_id, c, x) - 1) / 2.0 r FROM x),
         k AS (SELECT a.vec_id, a.c, b.c c2, corr(a.r, b.r) rho FROM r a JOIN r b ON a.vec_id = b.vec_id AND a.i = b.i AND a.c < b.c GROUP BY 1, 2, 3) SELECT vec_id, round(avg(rho), 6) stability FROM k GROUP BY 1""",
@@ -432,7 +432,7 @@ SQL = {
 
 
 def _necessity() -> str:
-    return f"""{_K}, {_OWN}, ct AS (SELECT vec_id, i, round(zz * pz, 9) c FROM at), hv AS (SELECT vec_id, round(sum(c) / 2, 9) need, sum(c) t FROM ct GROUP BY 1),
+    return f"""{_K}, {_OWN}, ct AS (SELECT vec_id, i, round(zz * pz, 9) c FROM att), hv AS (SELECT vec_id, round(sum(c) / 2, 9) need, sum(c) t FROM ct GROUP BY 1),
         rn AS (SELECT ct.vec_id, need, row_number() OVER w k, round(t - sum(c) OVER (PARTITION BY ct.vec_id ORDER BY c DESC, i ROWS UNBOUNDED PRECEDING), 9) lf FROM ct JOIN hv USING (vec_id) WINDOW w AS (PARTITION BY ct.vec_id ORDER BY c DESC, i)),
         nd AS (SELECT vec_id, min(k) FILTER (lf < need) needed FROM rn GROUP BY 1)"""
 

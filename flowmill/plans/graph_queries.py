@@ -155,7 +155,7 @@ QUERIES = {f.__name__: f for f in (
     node_ids, node_ids_ip_port, session_timeouts, mean_aggregate, trimmed_mean, trimmed_std, multi_aggregate, soft_medoid, decay_attention, segment_softmax, scatter_mean, time_encoding,
 )}
 
-EV = "ev AS (SELECT event_id flow_id, epoch_ms(ts) ms, user_id src, event_type dst, value bytes FROM events)"
+EV = "ev AS (SELECT event_id flow_id, epoch_us(ts) // 1000 ms, user_id src, event_type dst, value bytes FROM events)"
 _B = lambda ms=BIN: f"{EV}, b AS (SELECT *, (ms - (SELECT min(ms) FROM ev)) // {ms} bin FROM ev)"
 _MSG = f"""{_B(LONG)}, c AS (SELECT *, row_number() OVER (PARTITION BY bin, dst ORDER BY ms DESC, flow_id DESC) r FROM b), c32 AS (SELECT *, max(ms) OVER (PARTITION BY bin) e FROM c WHERE r <= 32),
     x AS (SELECT *, pow(2.0, -((e - ms) / 1000.0) / {LONG / 4000}) w0 FROM c32), w AS (SELECT *, w0 / sum(w0) OVER (PARTITION BY bin, dst) weight FROM x),
@@ -192,8 +192,8 @@ SQL = {
         u AS (SELECT bin, src::VARCHAR node, dst peer, ms, bytes v, 1 o, NULL prt FROM b UNION ALL SELECT bin, dst, src::VARCHAR, ms, 0, 0, dst FROM b),
         a AS (SELECT u.bin, node, sum(o) o, sum(1 - o) i, count(DISTINCT peer) peers, count(DISTINCT prt) ports, sum(v) v, count(*) FILTER (o = 1 AND ms >= e - 1000) s, count(*) FILTER (o = 1 AND ms >= e - 30000) m FROM u JOIN e USING (bin) GROUP BY 1, 2),
         gs AS (SELECT bin, src::VARCHAR node, avg({_LG}) gm, stddev_pop({_LG}) gd FROM g GROUP BY 1, 2), bb AS (SELECT bin, lag(bin) OVER (ORDER BY bin) pb FROM e)
-        SELECT a.bin, a.node, round(least(o, 32) / 32, 6) out_degree, round(least(i, 32) / 32, 6) in_degree, round(ln(1 + peers) / ln(33), 6) peer_count, round(ln(1 + ports) / ln(33), 6) port_count, round(peers / (o + 1e-6), 6) fan_out,
-        round(ln(1 + o / 86400.0), 6) send_rate, round(coalesce(gm, 0), 6) gap_mean, round(coalesce(gd, 0), 6) gap_std, round(ln(1 + v) / 20, 6) volume, round(s / (m / 30.0 + 1e-6), 6) burst, round(i / (i + o + 1e-6), 6) reverse_ratio,
+        SELECT a.bin, a.node, round(least(a.o, 32) / 32, 6) out_degree, round(least(a.i, 32) / 32, 6) in_degree, round(ln(1 + a.peers) / ln(33), 6) peer_count, round(ln(1 + a.ports) / ln(33), 6) port_count, round(a.peers / (a.o + 1e-6), 6) fan_out,
+        round(ln(1 + a.o / 86400.0), 6) send_rate, round(coalesce(gm, 0), 6) gap_mean, round(coalesce(gd, 0), 6) gap_std, round(ln(1 + a.v) / 20, 6) volume, round(a.s / (a.m / 30.0 + 1e-6), 6) burst, round(a.i / (a.i + a.o + 1e-6), 6) reverse_ratio,
         CASE WHEN p.node IS NULL THEN 1.0 ELSE 0.0 END is_new FROM a LEFT JOIN gs USING (bin, node) JOIN bb ON bb.bin = a.bin LEFT JOIN a p ON p.bin = bb.pb AND p.node = a.node""",
     "gap_stats": f"WITH {_B(LONG)}, {_GAP} SELECT src, count(gap) n_gaps, round(avg({_LG}), 6) gap_mean, round(stddev_pop({_LG}), 6) gap_std FROM g GROUP BY 1",
     "spectral_beacon": f"""WITH {_B(LONG)}, t0 AS (SELECT bin, min(ms) t0 FROM b GROUP BY 1), u AS (SELECT bin, src::VARCHAR node, ms FROM b UNION ALL SELECT bin, dst, ms FROM b WHERE dst <> src::VARCHAR),
