@@ -22,7 +22,7 @@ _DURATIONS = ("FLOW_DURATION_MILLISECONDS", "DURATION_IN", "DURATION_OUT")
 
 def hashed_uniform(*parts: Column, seed: int = 0) -> Column:
     """A number in (0, 1) fixed by BIGINT parts, by arithmetic any engine repeats."""
-    x = F.lit(seed * 40_503 + 1)
+    x = F.lit(seed * 40_503 + 1).cast("bigint")
     for p in parts:
         x = F.pmod(x * F.lit(1_003_987) + F.pmod(p.cast("bigint"), F.lit(1_000_003)) * F.lit(2_654_435), F.lit(1_000_003))
     return (x + 0.5) / 1_000_003.5
