@@ -139,10 +139,11 @@ def assign_splits(weights: DataFrame, shares: dict[str, float], heavy_share: flo
     """``component, split`` for ``weights``: ``component, cls, n, split`` (rows of
     each class in each component; split null where none is assigned yet).
 
-    Components with a split keep it. ``cls`` must be of few values (checked).
+    Components with a split keep it. ``cls`` must be of few values (checked); a
+    null class counts as ``?``.
     """
     spark = weights.sparkSession
-    weights = materialise(weights, "weights")
+    weights = materialise(weights.withColumn("cls", F.coalesce(F.col("cls").cast("string"), F.lit("?"))), "weights")
     totals = {r["cls"]: int(r["n"]) for r in weights.groupBy("cls").agg(F.sum("n").alias("n")).limit(max_classes + 1).collect()}
     if len(totals) > max_classes:
         raise ValueError(f"more than {max_classes} classes")

@@ -148,4 +148,7 @@ def near_classes(
         F.sum(F.when(F.col("distance") > 0, F.col("_n")).otherwise(0)).alias("n_near"),
     )
     everyone = evaluation.select(*[c.alias(n) for n, c in evaluation_carry.items()])
-    return everyone.join(hits, keys, "left").na.fill(0, ["n_exact", "n_near"])
+    # carried columns may be null, so they are matched null-safely
+    found = hits.withColumnsRenamed({k: f"_k_{k}" for k in keys})
+    same = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]
+    return everyone.join(found, same, "left").na.fill(0, ["n_exact", "n_near"]).select(*keys, "n_exact", "n_near")

@@ -123,16 +123,17 @@ def _window_rows(length: int, gram: int):
 class SharedSpans:
     """The shared windows of one table of texts; results are its methods.
 
-    ``key`` must be a unique BIGINT. Other columns are not looked at.
+    ``key`` must be a unique BIGINT; rows without one are left out, and a row that
+    is repeated as a whole counts once. Other columns are not looked at.
     """
 
     def __init__(self, df: DataFrame, key: str, text: str, length: int = LENGTH, gram: int = GRAM):
         if not 0 < gram < length:
             raise ValueError("the anchor must be shorter than the window")
         self.length, self.gram = length, gram
-        self.texts = df.select(F.col(key).cast("bigint").alias("doc"), F.col(text).alias("text"))
+        self.texts = df.select(F.col(key).cast("bigint").alias("doc"), F.col(text).cast("string").alias("text")).filter("doc IS NOT NULL")
         long = self.texts.filter(F.char_length("text") >= length)
-        hashed = long.select("doc", F.xxhash64("text").alias("ha"), F.xxhash64(F.lit(7), F.col("text")).alias("hb"), F.char_length("text").alias("n"))
+        hashed = long.select("doc", F.xxhash64("text").alias("ha"), F.xxhash64(F.lit(7), F.col("text")).alias("hb"), F.char_length("text").alias("n")).distinct()
         reps = hashed.groupBy("ha", "hb").agg(F.min("doc").alias("rep"), F.count(F.lit(1)).alias("copies"))
         #: doc -> the representative of its exact copies, with their number
         self.members = materialise(hashed.join(reps, ["ha", "hb"]).select("doc", "rep", "copies", "n"), "members")
@@ -143,7 +144,7 @@ class SharedSpans:
         found = long.mapInArrow(_anchor_rows(self.length, self.gram), "rep bigint, anchor bigint")
         own = self.members.filter("doc = rep").select("rep")
         found = materialise(found.join(own, "rep", "left_semi"), "anchors")
-        several = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor")
+        several = found.groupBy("anchor").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).filter("a < b").select("anchor")
         # a text holds at most one anchor per character: the list is as bounded as the text
         lists = found.join(several, "anchor").groupBy("rep").agg(F.collect_list("anchor").alias("wanted"))
         chosen = long.select(F.col("doc").alias("rep"), "text").join(lists, "rep")
@@ -154,9 +155,9 @@ class SharedSpans:
         """``ka, kb, n, sig, least``: windows that several distinct texts hold,
         with the number, a signature of the set and the first of them."""
         held = self.windows.filter("first").groupBy("ka", "kb").agg(
-            F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("rep")).alias("sa"), F.bit_xor(F.xxhash64(F.lit(3), F.col("rep"))).alias("sb"), F.min("rep").alias("least")
+            F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("rep")).alias("sa"), F.bit_xor(F.xxhash64(F.lit(3), F.col("rep"))).alias("sb"), F.min("rep").alias("least"), F.max("rep").alias("most")
         )
-        return held.filter("n > 1")
+        return held.filter("least < most").drop("most")
 
     def rep_pairs(self) -> DataFrame:
         """``rep_a, rep_b`` (rep_a < rep_b): representatives that share a window.
