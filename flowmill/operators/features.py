@@ -118,7 +118,7 @@ def robust_scale(fit: dict[str, tuple[float, float]]) -> dict[str, Column]:
     return {c: (F.coalesce(_d(c), F.lit(0.0)) - m) / iqr for c, (m, iqr) in fit.items()}
 
 
-def knots_fit(df: DataFrame, values: dict[str, Column], n: int = 1000, accuracy: int = 100_000) -> dict[str, list[float]]:
+def knots_fit(df: DataFrame, values: dict[str, Column], n: int = 1000, accuracy: int = 10_000) -> dict[str, list[float]]:
     """Up to ``n`` evenly spaced quantiles of each column, in one pass.
 
     Approximate (rank error 1 / accuracy) and so bounded in memory and

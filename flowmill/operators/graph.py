@@ -15,6 +15,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from flowmill.functions import vec
 from flowmill.operators.ranking import hash_order
 
 SCALES = {"short": 1_000, "mid": 30_000, "long": 300_000}
@@ -191,26 +192,29 @@ SPECTRAL = ("peak_frequency", "peak_share", "entropy", "flatness", "peak_to_mean
 
 
 def describe_spectrum(df: DataFrame, bins: int, least: int) -> DataFrame:
-    """Descriptors of the mean-centred series ``x`` of ``n`` events."""
+    """Descriptors of the mean-centred series ``x`` of ``n`` events.
+
+    Series, power and sums are bound once each (``vec.let``), so a row costs
+    ``bins * bins / 2`` products and no more.
+    """
     half = bins // 2
-    wave = lambda f: F.lit([[float(f(2 * math.pi * k * t / bins)) for t in range(bins)] for k in range(1, half + 1)])
-    dot = lambda v: F.aggregate(F.zip_with(F.col("x"), v, lambda a, b: a * b), F.lit(0.0), lambda s, y: s + y)
-    square = lambda c: c * c
-    power = F.zip_with(F.transform(wave(math.cos), dot), F.transform(wave(math.sin), dot), lambda a, b: square(a) + square(b))
-    p = df.withColumn("p", power).withColumn("total", F.aggregate("p", F.lit(0.0), lambda s, y: s + y)).withColumn("top", F.array_max("p"))
-    total, top, mean = F.col("total"), F.col("top"), F.col("total") / half
-    fold = lambda f: F.aggregate(F.transform("p", f), F.lit(0.0), lambda s, y: s + y)
-    low = F.aggregate(F.slice("p", 1, max(half // 8, 1)), F.lit(0.0), lambda s, y: s + y)
-    # a peak within one part in 1e9 of the largest counts as the largest, so that rounding picks no other
-    first = F.array_position(F.transform("p", lambda y: y >= F.col("top") * (1 - 1e-9)), True) - 1
-    made = {
-        "peak_frequency": first / float(half), "peak_share": top / (total + 1e-9),
-        "entropy": -fold(lambda y: (y / total) * F.ln(y / total + 1e-12)) / math.log(max(half, 2)),
-        "flatness": F.exp(fold(lambda y: F.ln(y + 1e-12)) / half) / (mean + 1e-9),
-        "peak_to_mean": top / (mean + 1e-9), "low_share": low / (total + 1e-9),
-    }
-    live = (F.col("n") >= least) & (total > 1e-9)
-    return p.withColumns({n: F.when(live, c).otherwise(0.0) for n, c in made.items()})
+    table = F.lit([[[float(f(2 * math.pi * k * t / bins)) for t in range(bins)] for f in (math.cos, math.sin)] for k in range(1, half + 1)])
+    power = vec.let(F.col("x"), lambda x: F.transform(table, lambda w: F.aggregate(F.transform(w, lambda v: vec.dot(x, v)), F.lit(0.0), lambda s, y: s + y * y)))
+    bound = vec.let(power, lambda p: F.struct(p.alias("p"), vec.total(p).alias("total"), F.array_max(p).alias("top")))
+
+    def describe(t):
+        p, total, top = t["p"], t["total"], t["top"]
+        mean = total / half
+        # a peak within one part in 1e9 of the largest counts as the largest, so that rounding picks no other
+        first = F.array_position(F.transform(p, lambda y: y >= top * (1 - 1e-9)), True) - 1
+        made = (
+            first / float(half), top / (total + 1e-9), -vec.total(F.transform(p, lambda y: (y / total) * F.ln(y / total + 1e-12))) / math.log(max(half, 2)),
+            F.exp(vec.total(F.transform(p, lambda y: F.ln(y + 1e-12))) / half) / (mean + 1e-9), top / (mean + 1e-9), vec.total(F.slice(p, 1, max(half // 8, 1))) / (total + 1e-9),
+        )
+        return F.when(total > 1e-9, F.array(*made))
+
+    d = df.withColumn("_d", F.when(F.col("n") >= least, vec.let(bound, describe)))
+    return d.select("*", *[F.coalesce(F.col("_d")[i], F.lit(0.0)).alias(n) for i, n in enumerate(SPECTRAL)]).drop("_d")
 
 
 def sessions(edges: DataFrame, node: str, timeout_ms: int, bytes_: str | None = None) -> DataFrame:
