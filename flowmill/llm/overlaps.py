@@ -38,33 +38,35 @@ def _cell(value: Column, width: float) -> Column:
     return F.floor(value / F.lit(width) - F.lit(OFFSET))
 
 
-def _term(i: int, cell: Column) -> Column:
-    return F.xxhash64(F.lit(i), cell)
+def _xor(terms: Column) -> Column:
+    return F.aggregate(terms, F.lit(0).cast("bigint"), lambda a, b: a.bitwiseXOR(b))
 
 
-def _xor(terms: list[Column]) -> Column:
-    return reduce(lambda a, b: a.bitwiseXOR(b), terms)
-
-
-def _values(columns: list[str]) -> list[Column]:
+def _values(columns: list[str]) -> Column:
     # NaN and infinities lie within no distance of anything; they get a cell of their own
-    return [F.when(F.isnan(v) | (F.abs(v) >= 1e15), F.lit(1e15)).otherwise(v) for v in (F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(0.0)) for c in columns)]
+    return F.transform(feature_array(columns), lambda v: F.when(F.isnan(v) | (F.abs(v) >= 1e15), F.lit(1e15)).otherwise(v))
 
 
 def base_hash(columns: list[str], width: float) -> Column:
-    """The hash of a record's own cell."""
-    return _xor([_term(i, _cell(v, width)) for i, v in enumerate(_values(columns))])
+    """The hash of a record's own cell.
+
+    One short expression over the array of features: a term per feature written
+    out would make methods too long to compile.
+    """
+    return _xor(F.transform(_values(columns), lambda v, i: F.xxhash64(i, _cell(v, width))))
 
 
 def moves(columns: list[str], width: float, radius: float) -> Column:
     """For each feature within ``radius`` of its cell's border, the XOR
     difference that moves the hash to the cell beyond the border."""
-    reach, out = radius * (1 + 1e-9), []
-    for i, v in enumerate(_values(columns)):
-        low, high, here = _cell(v - F.lit(reach), width), _cell(v + F.lit(reach), width), _cell(v, width)
+    reach = F.lit(radius * (1 + 1e-9))
+
+    def move(v: Column, i: Column) -> Column:
+        low, high, here = _cell(v - reach, width), _cell(v + reach, width), _cell(v, width)
         other = F.when(low != here, low).when(high != here, high)
-        out.append(F.when(other.isNotNull(), _term(i, other).bitwiseXOR(_term(i, here))))
-    return F.filter(F.array(*out), lambda x: x.isNotNull())
+        return F.when(other.isNotNull(), F.xxhash64(i, other).bitwiseXOR(F.xxhash64(i, here)))
+
+    return F.filter(F.transform(_values(columns), move), lambda x: x.isNotNull())
 
 
 def probes(base: Column, differences: Column) -> Column:
