@@ -16,11 +16,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowmill.functions import vec
-from flowmill.operators.ranking import hash_order
+from flowmill.operators.ranking import hash_order, ranked
+from flowmill.plans.shared import broadcast_if_small
 
 SCALES = {"short": 1_000, "mid": 30_000, "long": 300_000}
 CAP, STRATA, SPECTRUM = 32, 4, 64
 EPS = 1e-6
+#: Tables of up to this many rows (of a few numbers each) may be broadcast.
+SMALL = 200_000
 
 
 def node_name(df: DataFrame, address: str, port: str | None = None) -> Column:
@@ -32,8 +35,6 @@ def node_ids(edges: DataFrame) -> DataFrame:
     """``node, node_id``: ids from 0 in the names' order, over sources and
     destinations. Ranks are shifted slices of a range partitioning, so the
     node set is never gathered."""
-    from flowmill.operators.ranking import ranked
-
     nodes = edges.select(F.col("src").cast("string").alias("node")).union(edges.select(F.col("dst").cast("string"))).filter("node IS NOT NULL").distinct()
     return ranked(nodes.withColumn("_all", F.lit(0)), ["_all"], [F.col("node")]).select("node", (F.col("rank") - 1).alias("node_id"))
 
@@ -47,25 +48,27 @@ def anchor_bins(edges: DataFrame, bin_ms: int = 1_000, origin: Column | None = N
     return edges.withColumn("bin", F.floor((F.col("ms") - t0) / F.lit(bin_ms)).cast("bigint"))
 
 
+def _blocks(df: DataFrame, width_ms: int) -> DataFrame:
+    """Rows with ``_block``, the window-wide stretch of time they lie in, and once
+    more in the next one (``_own`` false), where they serve as history. A frame of
+    up to ``width_ms`` inside a block then sees all it needs, and no partition
+    holds more than two widths of time."""
+    own = F.floor(F.col("ms") / F.lit(width_ms))
+    return df.withColumn("_b", F.explode(F.array(F.struct(own.alias("b"), F.lit(True).alias("own")), F.struct((own + 1).alias("b"), F.lit(False).alias("own"))))).withColumns({"_block": F.col("_b.b"), "_own": F.col("_b.own")}).drop("_b")
+
+
 def bin_windows(binned: DataFrame, scales: dict[str, int] | None = None) -> DataFrame:
     """``bin, n_targets, end_ms`` and per scale the number of edges in
     [end - width, end], where the end is the bin's last edge.
 
-    Edges are folded to counts per time first; the range frame then runs over
-    distinct times within coarse blocks (a bin's window spans two blocks at
-    most), so no task holds the whole time line.
+    Edges are folded to counts per time; range frames over blocks of time (see
+    ``_blocks``) give the counts at each time; a bin takes those of its last.
     """
     scales = scales or SCALES
-    widest = max(scales.values())
     times = binned.groupBy("ms", "bin").agg(F.count(F.lit(1)).alias("n"))
-    ends = times.groupBy("bin").agg(F.max("ms").alias("end_ms"), F.sum("n").alias("n_targets"))
-    block = lambda c: F.floor(c / F.lit(widest))
-    # a time counts for ends of its own and of the next block
-    spread = times.select("ms", "n", F.explode(F.array(block(F.col("ms")), block(F.col("ms")) + 1)).alias("block"))
-    near = ends.withColumn("block", block(F.col("end_ms"))).join(spread, "block").filter((F.col("ms") <= F.col("end_ms")) & (F.col("ms") >= F.col("end_ms") - F.lit(widest)))
-    return near.groupBy("bin", "end_ms", "n_targets").agg(
-        *[F.coalesce(F.sum(F.when(F.col("ms") >= F.col("end_ms") - F.lit(w), F.col("n"))), F.lit(0)).alias(f"n_{s}") for s, w in scales.items()]
-    )
+    w = Window.partitionBy("_block").orderBy("ms")
+    counted = _blocks(times, max(scales.values())).withColumns({f"n_{s}": F.sum("n").over(w.rangeBetween(-width, 0)) for s, width in scales.items()}).filter("_own")
+    return counted.groupBy("bin").agg(F.max("ms").alias("end_ms"), F.sum("n").alias("n_targets"), *[F.max_by(f"n_{s}", "ms").alias(f"n_{s}") for s in scales])
 
 
 def window_edges(binned: DataFrame, width_ms: int) -> DataFrame:
@@ -81,9 +84,11 @@ def window_edges(binned: DataFrame, width_ms: int) -> DataFrame:
 
 def node_history(edges: DataFrame, widths: dict[str, int], node: str = "src") -> DataFrame:
     """Per edge, how many edges of its node lie in each window ending at it
-    (range frames; ties in time count)."""
-    w = Window.partitionBy(node).orderBy("ms")
-    return edges.withColumns({f"n_{s}": F.count(F.lit(1)).over(w.rangeBetween(-width, 0)) for s, width in widths.items()})
+    (range frames; ties in time count). Frames run over (node, block of time), so
+    a hot node is spread over time."""
+    w = Window.partitionBy(node, "_block").orderBy("ms")
+    counted = _blocks(edges, max(widths.values())).withColumns({f"n_{s}": F.count(F.lit(1)).over(w.rangeBetween(-width, 0)) for s, width in widths.items()})
+    return counted.filter("_own").drop("_block", "_own")
 
 
 def neighbours_recent(edges: DataFrame, groups: list[str], k: int = CAP) -> DataFrame:
@@ -103,8 +108,6 @@ def neighbours_stratified(edges: DataFrame, groups: list[str], k: int = CAP, str
     order are cut at ``floor(i * n / strata)``; each stratum gives k // strata by
     hash, the last also the remainder. Groups of up to k edges stay whole.
     Ranks come from :func:`ranked`, so a hot group is not sorted in one task."""
-    from flowmill.operators.ranking import ranked
-
     r = ranked(edges, groups, [F.col("ms"), F.col("flow_id")]).withColumnsRenamed({"rank": "_rank", "group_rows": "_n"})
     # stratum i holds ranks above floor(i n / s) and up to floor((i + 1) n / s)
     stratum = F.lit(0)
@@ -138,9 +141,9 @@ def node_features(binned: DataFrame, long_ms: int, k: int = CAP, port: str | Non
     prt = F.col(port).cast("string") if port else F.col("dst").cast("string")
     sent = binned.select("bin", F.col("src").cast("string").alias("node"), F.col("dst").cast("string").alias("peer"), "ms", "flow_id", vol.alias("vol"), F.lit(1).alias("out"), F.lit(None).cast("string").alias("prt"))
     got = binned.select("bin", F.col("dst").cast("string").alias("node"), F.col("src").cast("string").alias("peer"), "ms", "flow_id", F.lit(0.0).alias("vol"), F.lit(0).alias("out"), prt.alias("prt"))
-    ends = binned.groupBy("bin").agg(F.max("ms").alias("bin_end"))
+    ends = broadcast_if_small(binned.groupBy("bin").agg(F.max("ms").alias("bin_end")), SMALL)
     both = sent.unionByName(got)
-    per_peer = both.join(F.broadcast(ends), "bin").groupBy("bin", "node", "peer").agg(
+    per_peer = both.join(ends, "bin").groupBy("bin", "node", "peer").agg(
         F.sum("out").alias("o"), F.sum(1 - F.col("out")).alias("i"), F.sum("vol").alias("v"),
         F.sum(F.when((F.col("out") == 1) & (F.col("ms") >= F.col("bin_end") - 1_000), 1).otherwise(0)).alias("s"),
         F.sum(F.when((F.col("out") == 1) & (F.col("ms") >= F.col("bin_end") - 30_000), 1).otherwise(0)).alias("m"),
@@ -148,11 +151,11 @@ def node_features(binned: DataFrame, long_ms: int, k: int = CAP, port: str | Non
     base = per_peer.groupBy("bin", "node").agg(F.sum("o").alias("o"), F.sum("i").alias("i"), F.count(F.lit(1)).alias("peers"), F.sum("v").alias("v"), F.sum("s").alias("s"), F.sum("m").alias("m"))
     ports = got.groupBy("bin", "node", "prt").agg(F.lit(1).alias("x")).groupBy("bin", "node").agg(F.count("prt").alias("ports"))
     gaps = send_gaps(binned).groupBy("bin", F.col("src").cast("string").alias("node")).agg(F.avg("log_gap").alias("gm"), F.stddev_pop("log_gap").alias("gs"))
-    order = Window.orderBy("bin")
-    bins = ends.select("bin", F.lag("bin").over(order).alias("before"))  # one row per bin
+    place = ranked(binned.select("bin").distinct().withColumn("_all", F.lit(0)), ["_all"], [F.col("bin")]).select("bin", "rank")
+    bins = broadcast_if_small(place.join(place.select(F.col("bin").alias("before"), (F.col("rank") + 1).alias("rank")), "rank", "left").drop("rank"), SMALL)
     active = base.select(F.col("bin").alias("before"), "node", F.lit(1).alias("was"))
     o, i = F.col("o"), F.col("i")
-    full = base.join(ports, ["bin", "node"], "left").join(gaps, ["bin", "node"], "left").join(F.broadcast(bins), "bin").join(active, ["before", "node"], "left")
+    full = base.join(ports, ["bin", "node"], "left").join(gaps, ["bin", "node"], "left").join(bins, "bin").join(active, ["before", "node"], "left")
     degree = math.log1p(max(k, 2))
     return full.select(
         "bin", "node", (F.least(o, F.lit(k)) / k).alias("out_degree"), (F.least(i, F.lit(k)) / k).alias("in_degree"),
@@ -178,11 +181,11 @@ def spectrum(binned: DataFrame, long_ms: int, bins: int = SPECTRUM, least: int =
     Histogram counts are folded on the map side. Nodes with fewer than
     ``least`` edges get zeros. ``bins`` must be even.
     """
-    starts = binned.groupBy("bin").agg(F.min("ms").alias("t0"))
+    starts = broadcast_if_small(binned.groupBy("bin").agg(F.min("ms").alias("t0")), SMALL)
     ends = binned.select("bin", F.col("src").cast("string").alias("node"), "ms").union(binned.filter(F.col("dst").cast("string") != F.col("src").cast("string")).select("bin", F.col("dst").cast("string"), "ms"))
     rel = (F.col("ms") - F.col("t0")) / F.lit(float(long_ms))
     slot = F.least(F.floor(rel * bins), F.lit(bins - 1)).cast("int")
-    counts = ends.join(F.broadcast(starts), "bin").filter(rel <= 1).groupBy("bin", "node", slot.alias("slot")).agg(F.count(F.lit(1)).alias("c"))
+    counts = ends.join(starts, "bin").filter(rel <= 1).groupBy("bin", "node", slot.alias("slot")).agg(F.count(F.lit(1)).alias("c"))
     node = counts.groupBy("bin", "node").agg(F.sum("c").alias("n"), F.map_from_entries(F.collect_list(F.struct("slot", "c"))).alias("h"))  # at most `bins` entries
     h = F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda s: F.coalesce(F.try_element_at(F.col("h"), s), F.lit(0)).cast("double") - F.col("n") / F.lit(float(bins)))
     return describe_spectrum(node.withColumn("x", h), bins, least).select("bin", "node", *SPECTRAL)
@@ -219,9 +222,19 @@ def describe_spectrum(df: DataFrame, bins: int, least: int) -> DataFrame:
 
 def sessions(edges: DataFrame, node: str, timeout_ms: int, bytes_: str | None = None) -> DataFrame:
     """Edges of a node merged into sessions: a gap above the timeout starts a
-    new one. Per session: start, end, edges, bytes."""
-    w = Window.partitionBy(node).orderBy("ms", "flow_id")
-    new = F.when(F.col("ms") - F.lag("ms").over(w) <= timeout_ms, 0).otherwise(1)
-    numbered = edges.withColumn("_new", new).withColumn("session", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    vol = F.sum(bytes_) if bytes_ else F.lit(0.0)
-    return numbered.groupBy(node, "session").agg(F.min("ms").alias("start_ms"), F.max("ms").alias("end_ms"), F.count(F.lit(1)).alias("n_edges"), vol.alias("bytes"))
+    new one. Per session: start, end, edges, bytes.
+
+    First within blocks of 32 timeouts, then across blocks: what is merged last
+    is one row per block and session, so a hot node's edges never meet in one task.
+    """
+    block = F.floor(F.col("ms") / F.lit(32 * timeout_ms))
+    vol = F.col(bytes_).cast("double") if bytes_ else F.lit(0.0)
+    rows = edges.select(F.col(node), block.alias("_block"), F.col("ms").alias("start_ms"), F.col("ms").alias("end_ms"), F.lit(1).cast("bigint").alias("n_edges"), vol.alias("bytes"))
+
+    def merged(df: DataFrame, by: list[str]) -> DataFrame:
+        w = Window.partitionBy(*by).orderBy("start_ms", "end_ms")
+        new = F.when(F.col("start_ms") - F.max("end_ms").over(w.rowsBetween(Window.unboundedPreceding, -1)) <= timeout_ms, 0).otherwise(1)
+        numbered = df.withColumn("_new", new).withColumn("session", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+        return numbered.groupBy(*by, "session").agg(F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"), F.sum("n_edges").alias("n_edges"), F.sum("bytes").alias("bytes"))
+
+    return merged(merged(rows, [node, "_block"]).drop("session"), [node])

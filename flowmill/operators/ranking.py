@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowmill.plans.shared import materialise
+from flowmill.plans.shared import broadcast_if_small, materialise
 
 
 def ranked(df: DataFrame, groups: list[str], order: list[Column], sums: dict[str, Column] | None = None, partitions: int | None = None) -> DataFrame:
@@ -39,7 +39,7 @@ def ranked(df: DataFrame, groups: list[str], order: list[Column], sums: dict[str
     upto = mine.rowsBetween(Window.unboundedPreceding, 0)
     local = placed.withColumn("_r", F.row_number().over(mine)).withColumns({f"_l_{k}": F.sum(f"_s_{k}").over(upto) for k in sums})
     same = [F.col("_pid") == F.col("_p"), *[F.col(g).eqNullSafe(F.col(f"_g_{g}")) for g in groups]]
-    out = local.join(F.broadcast(shift), same)  # groups + partitions rows
+    out = local.join(broadcast_if_small(shift, 200_000), same)  # groups + partitions rows: broadcast if counted as few
     return out.select(
         *df.columns, (F.col("_r") + F.col("_shift")).alias("rank"), "group_rows",
         *[(F.col(f"_l_{k}") + F.col(f"_b_{k}")).alias(f"run_{k}") for k in sums], *[f"all_{k}" for k in sums],
