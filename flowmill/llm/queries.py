@@ -27,7 +27,7 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p2_top_items(spark: SparkSession, d: str) -> DataFrame:
     """The 100 most frequent ports and addresses with their counts."""
-    return top_items.top_items(table(spark, d, "nf_ton_iot_v3"), _p2_fields(), TOP_K)
+    return top_items.top_items(table(spark, d, "nf_ton_iot_v3"), _p2_fields(), TOP_K).withColumn("item_rank", F.col("item_rank").cast("bigint"))
 
 
 _P2_COUNTS = f"""SELECT field_name, item, count(*) n FROM (
