@@ -61,7 +61,7 @@ def class_counts(spark: SparkSession, d: str) -> DataFrame:
 
 def label_ids(spark: SparkSession, d: str) -> DataFrame:
     vocab = table(spark, d, "label_vocab").filter("dataset = 'cicids2018'")
-    return clean.label_ids(vocab, "canonical_label")
+    return clean.label_ids(vocab, "canonical_label").select("canonical_label", F.col("label_id").cast("bigint").alias("label_id"))
 
 
 def project_feasible(spark: SparkSession, d: str) -> DataFrame:
@@ -239,7 +239,7 @@ SQL = {
     "feasibility_violations": f"""SELECT count(*) FILTER (IN_BYTES < IN_PKTS * 40 - 1e-6) in_bytes_below_header, count(*) FILTER (OUT_BYTES < OUT_PKTS * 40 - 1e-6) out_bytes_below_header,
         count(*) FILTER ({_FWD}_MIN > {_FWD}_AVG + 1e-6 OR {_FWD}_AVG > {_FWD}_MAX + 1e-6) fwd_iat_unordered, count(*) FILTER ({_BWD}_MIN > {_BWD}_AVG + 1e-6 OR {_BWD}_AVG > {_BWD}_MAX + 1e-6) bwd_iat_unordered FROM {T}""",
     "source_guard": " UNION ALL ".join(f"SELECT count(DISTINCT IPV4_SRC_ADDR) n_sources, CASE WHEN count(DISTINCT IPV4_SRC_ADDR) >= 1000 THEN 'ip' ELSE 'ip_port' END granularity, '{t}' flow_table FROM {t}" for t in ("nf_cicids2018_v3", "nf_unsw_nb15_v3")),
-    "te2_descriptors": "SELECT flow_id, " + ", ".join(f"round({_fin(e)}, 6) {n}" for n, e in _TE2.items()) + f", CASE WHEN {_P} <= 2 THEN 1.0 ELSE 0.0 END iat_undefined FROM {T}",
+    "te2_descriptors": "SELECT flow_id, " + ", ".join(f"round({_fin(e)}, 6) {n}" for n, e in _TE2.items()) + f", CASE WHEN {_P} <= 2 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END iat_undefined FROM {T}",
     "flag_bits": "SELECT flow_id, " + ", ".join(f"((coalesce({c}, 0) >> {i}) & 1)::DOUBLE {c}_{b}" for c in schema.FLAG_COLUMNS for i, b in enumerate(schema.FLAG_BITS)) + f" FROM {T}",
     "port_features": f"SELECT flow_id, {_port('coalesce(L4_SRC_PORT, 0)')}, {_port('coalesce(L4_DST_PORT, 0)')} FROM {T}",
     "port_buckets": f"SELECT CASE WHEN NOT L4_DST_PORT BETWEEN 0 AND 65535 THEN NULL WHEN L4_DST_PORT <= 1023 THEN 'well_known' WHEN L4_DST_PORT <= 49151 THEN 'registered' WHEN L4_DST_PORT <= 65535 THEN 'ephemeral' END bucket, count(*) n FROM {T} GROUP BY 1",

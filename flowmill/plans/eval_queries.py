@@ -420,14 +420,14 @@ SQL = {
         UNION ALL SELECT 'evidence', round(b, 6), 0.7, b <= 0.7 FROM g UNION ALL SELECT 'carving', round(c, 6), 0.5, c >= 0.5 FROM g""",
     "energy_score": f"{_K} SELECT vec_id, round(-ln(sum(exp(s * 10))), 6) energy FROM cs GROUP BY 1",
     "odin_score": f"{_K} SELECT vec_id, round(1 - max(exp(s)) / sum(exp(s)), 6) odin FROM cs GROUP BY 1",
-    "embed_attribution": f"""{_K}, {_OWN}, rk AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY abs(zz * pz / {TAU}) DESC, i) r FROM att) SELECT vec_id, round(sum(zz * pz / {TAU}), 6) total, max(i) FILTER (r = 1) top_1, 0.0::DOUBLE gap FROM rk GROUP BY 1""",
+    "embed_attribution": f"""{_K}, {_OWN}, rk AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY abs(zz * pz / {TAU}) DESC, i) r FROM att) SELECT vec_id, round(sum(zz * pz / {TAU}), 6) total, (max(i) FILTER (r = 1))::INT top_1, 0.0::DOUBLE gap FROM rk GROUP BY 1""",
     "fidelity": f"""{_K}, {_OWN}, rk AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY abs(zz * pz / {TAU}) DESC, i) r FROM att) SELECT vec_id, round(sum(zz * pz) - coalesce(sum(zz * pz) FILTER (r > 8), 0), 6) fidelity_plus, round(sum(zz * pz) - sum(zz * pz) FILTER (r <= 8), 6) fidelity_minus, 0.875::DOUBLE sparsity FROM rk GROUP BY 1""",
     "stability_spearman": f"""WITH {_chain(3)}, a AS (SELECT vec_id, c, generate_subscripts(z, 1) i, unnest(z) zz, unnest(pv) pz FROM e CROSS JOIN pr), x AS (SELECT vec_id, c, i, round(zz * pz / {TAU}, 9) x FROM a),
         r AS (SELECT vec_id, c, i, rank() OVER (PARTITION BY vec_id, c ORDER BY x) + (count(*) OVER (PARTITION BY vec_id, c, x) - 1) / 2.0 r FROM x),
         k AS (SELECT a.vec_id, a.c, b.c c2, corr(a.r, b.r) rho FROM r a JOIN r b ON a.vec_id = b.vec_id AND a.i = b.i AND a.c < b.c GROUP BY 1, 2, 3) SELECT vec_id, round(avg(rho), 6) stability FROM k GROUP BY 1""",
     "triage_report": f"{_K}, u AS (SELECT vec_id FROM sc WHERE decision = -1) SELECT vec_id, max(c) FILTER (r = 1) AS \"first\", max(c) FILTER (r = 2) AS second, round(max(s) FILTER (r = 1), 6) cosine FROM pp JOIN u USING (vec_id) GROUP BY 1",
     "vector_functions": """WITH d AS (SELECT vec_id, unnest(embedding::DOUBLE[]) v, generate_subscripts(embedding, 1) i FROM embeddings) SELECT vec_id, round(sqrt(sum(v * v)), 6) AS norm, round(sum(v * v) / sum(v * v), 6) AS self, round(max(exp(v)) / sum(exp(v)), 6) softmax_top,
-        arg_min(i, (-v, i)) - 1 AS argmax FROM d GROUP BY 1""",
+        (arg_min(i, (-v, i)) - 1)::INT AS argmax FROM d GROUP BY 1""",
 }
 
 
@@ -443,7 +443,7 @@ def _forget() -> str:
 
 
 SQL |= {
-    "counterfactual_necessity": f"{_necessity()} SELECT vec_id, needed, needed IS NOT NULL flips FROM nd",
+    "counterfactual_necessity": f"{_necessity()} SELECT vec_id, needed::INT needed, needed IS NOT NULL flips FROM nd",
     "necessity_rate": f"{_necessity()} SELECT round(avg((needed IS NOT NULL)::INT), 9) necessity, round(avg(needed), 6) mean_needed FROM nd",
     "forgetting_bwt": _forget(),
 }

@@ -194,7 +194,7 @@ SQL = {
         gs AS (SELECT bin, src::VARCHAR node, avg({_LG}) gm, stddev_pop({_LG}) gd FROM g GROUP BY 1, 2), bb AS (SELECT bin, lag(bin) OVER (ORDER BY bin) pb FROM e)
         SELECT a.bin, a.node, round(least(a.o, 32) / 32, 6) out_degree, round(least(a.i, 32) / 32, 6) in_degree, round(ln(1 + a.peers) / ln(33), 6) peer_count, round(ln(1 + a.ports) / ln(33), 6) port_count, round(a.peers / (a.o + 1e-6), 6) fan_out,
         round(ln(1 + a.o / 86400.0), 6) send_rate, round(coalesce(gm, 0), 6) gap_mean, round(coalesce(gd, 0), 6) gap_std, round(ln(1 + a.v) / 20, 6) volume, round(a.s / (a.m / 30.0 + 1e-6), 6) burst, round(a.i / (a.i + a.o + 1e-6), 6) reverse_ratio,
-        CASE WHEN p.node IS NULL THEN 1.0 ELSE 0.0 END is_new FROM a LEFT JOIN gs USING (bin, node) JOIN bb ON bb.bin = a.bin LEFT JOIN a p ON p.bin = bb.pb AND p.node = a.node""",
+        CASE WHEN p.node IS NULL THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END is_new FROM a LEFT JOIN gs USING (bin, node) JOIN bb ON bb.bin = a.bin LEFT JOIN a p ON p.bin = bb.pb AND p.node = a.node""",
     "gap_stats": f"WITH {_B(LONG)}, {_GAP} SELECT src, count(gap) n_gaps, round(avg({_LG}), 6) gap_mean, round(stddev_pop({_LG}), 6) gap_std FROM g GROUP BY 1",
     "spectral_beacon": f"""WITH {_B(LONG)}, t0 AS (SELECT bin, min(ms) t0 FROM b GROUP BY 1), u AS (SELECT bin, src::VARCHAR node, ms FROM b UNION ALL SELECT bin, dst, ms FROM b WHERE dst <> src::VARCHAR),
         s AS (SELECT bin, node, least(floor((ms - t0) / {float(LONG)}::DOUBLE * 64), 63)::INT sl, count(*) c FROM u JOIN t0 USING (bin) GROUP BY 1, 2, 3), nn AS (SELECT bin, node, sum(c) n FROM s GROUP BY 1, 2), """,
