@@ -50,3 +50,15 @@ def argmax(v: Column) -> Column:
 def top_two(v: Column) -> Column:
     """The two largest entries, largest first."""
     return F.slice(F.sort_array(v, asc=False), 1, 2)
+
+
+def layer_norm(v: Column, eps: float = 1e-5) -> Column:
+    """Mean 0, variance 1 within the vector."""
+    n = F.size(v).cast("double")
+    centred = let(F.struct(v.alias("v"), (total(F.transform(v, lambda x: x.cast("double"))) / n).alias("m")), lambda t: F.transform(t["v"], lambda x: x - t["m"]))
+    return let(centred, lambda c: let(F.struct(c.alias("c"), F.sqrt(dot(c, c) / F.size(c) + eps).alias("s")), lambda t: F.transform(t["c"], lambda x: x / t["s"])))
+
+
+def rms_norm(v: Column, eps: float = 1e-6) -> Column:
+    """Root mean square 1 within the vector."""
+    return let(F.struct(v.alias("v"), F.sqrt(dot(v, v) / F.size(v) + eps).alias("s")), lambda t: F.transform(t["v"], lambda x: x / t["s"]))
