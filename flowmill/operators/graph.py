@@ -48,27 +48,40 @@ def anchor_bins(edges: DataFrame, bin_ms: int = 1_000, origin: Column | None = N
     return edges.withColumn("bin", F.floor((F.col("ms") - t0) / F.lit(bin_ms)).cast("bigint"))
 
 
-def _blocks(df: DataFrame, width_ms: int) -> DataFrame:
-    """Rows with ``_block``, the window-wide stretch of time they lie in, and once
-    more in the next one (``_own`` false), where they serve as history. A frame of
-    up to ``width_ms`` inside a block then sees all it needs, and no partition
-    holds more than two widths of time."""
-    own = F.floor(F.col("ms") / F.lit(width_ms))
-    return df.withColumn("_b", F.explode(F.array(F.struct(own.alias("b"), F.lit(True).alias("own")), F.struct((own + 1).alias("b"), F.lit(False).alias("own"))))).withColumns({"_block": F.col("_b.b"), "_own": F.col("_b.own")}).drop("_b")
+def _window_counts(times: DataFrame, keys: list[str], widths: dict[str, int]) -> DataFrame:
+    """``keys, ms`` and ``n_<width>``: for each (keys, ms) of ``times`` (``keys,
+    ms, n``, one row each) the sum of n over [ms - width, ms].
+
+    A sliding frame would be summed anew at every row. Instead each time also
+    stands as probes at its window's start and end, and one running sum over
+    times and probes answers all: a window's count is the difference of two
+    probes. Sums run over (keys, block of the widest window); a time counts in
+    its own block and the next, so no partition holds more than two widths.
+    """
+    own = F.floor(F.col("ms") / F.lit(max(widths.values())))
+    row = lambda block, at, kind, n, name: F.struct(block.alias("block"), at.cast("bigint").alias("at"), F.lit(kind).alias("kind"), n.cast("bigint").alias("v"), F.lit(name).cast("string").alias("name"))
+    none = F.lit(0)
+    points = [row(own, F.col("ms"), 1, F.col("n"), None), row(own + 1, F.col("ms"), 1, F.col("n"), None), row(own, F.col("ms"), 2, none, "_end")]
+    points += [row(own, F.col("ms") - F.lit(w), 0, none, s) for s, w in widths.items()]  # before what happens at the same time
+    each = times.select(*keys, "ms", F.explode(F.array(*points)).alias("_p")).select(*keys, "ms", "_p.*")
+    upto = F.sum("v").over(Window.partitionBy(*keys, "block").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0))
+    asked = each.withColumn("upto", upto).filter("name IS NOT NULL")
+    got = lambda s: F.max(F.when(F.col("name") == s, F.col("upto")))
+    return asked.groupBy(*keys, "ms").agg(*[(got("_end") - got(s)).alias(f"n_{s}") for s in widths])
 
 
 def bin_windows(binned: DataFrame, scales: dict[str, int] | None = None) -> DataFrame:
     """``bin, n_targets, end_ms`` and per scale the number of edges in
     [end - width, end], where the end is the bin's last edge.
 
-    Edges are folded to counts per time; range frames over blocks of time (see
-    ``_blocks``) give the counts at each time; a bin takes those of its last.
+    Edges are folded to counts per time first; a bin takes the counts of its
+    last time (see ``_window_counts``).
     """
     scales = scales or SCALES
     times = binned.groupBy("ms", "bin").agg(F.count(F.lit(1)).alias("n"))
-    w = Window.partitionBy("_block").orderBy("ms")
-    counted = _blocks(times, max(scales.values())).withColumns({f"n_{s}": F.sum("n").over(w.rangeBetween(-width, 0)) for s, width in scales.items()}).filter("_own")
-    return counted.groupBy("bin").agg(F.max("ms").alias("end_ms"), F.sum("n").alias("n_targets"), *[F.max_by(f"n_{s}", "ms").alias(f"n_{s}") for s in scales])
+    ends = times.groupBy("bin").agg(F.max("ms").alias("end_ms"), F.sum("n").alias("n_targets"))
+    counts = _window_counts(times, [], scales)
+    return ends.join(counts, F.col("end_ms") == F.col("ms")).select("bin", "end_ms", "n_targets", *[f"n_{s}" for s in scales])
 
 
 def window_edges(binned: DataFrame, width_ms: int) -> DataFrame:
@@ -83,12 +96,11 @@ def window_edges(binned: DataFrame, width_ms: int) -> DataFrame:
 
 
 def node_history(edges: DataFrame, widths: dict[str, int], node: str = "src") -> DataFrame:
-    """Per edge, how many edges of its node lie in each window ending at it
-    (range frames; ties in time count). Frames run over (node, block of time), so
-    a hot node is spread over time."""
-    w = Window.partitionBy(node, "_block").orderBy("ms")
-    counted = _blocks(edges, max(widths.values())).withColumns({f"n_{s}": F.count(F.lit(1)).over(w.rangeBetween(-width, 0)) for s, width in widths.items()})
-    return counted.filter("_own").drop("_block", "_own")
+    """Per edge, how many edges of its node lie in each window ending at it (ties
+    in time count). Counted per (node, time) in blocks of time, so a hot node is
+    spread, and joined back by both."""
+    counts = _window_counts(edges.groupBy(node, "ms").agg(F.count(F.lit(1)).alias("n")), [node], widths)
+    return edges.join(counts, [node, "ms"]).select(*edges.columns, *[f"n_{s}" for s in widths])
 
 
 def neighbours_recent(edges: DataFrame, groups: list[str], k: int = CAP) -> DataFrame:
