@@ -75,8 +75,10 @@ def extend_components(links: DataFrame, previous: DataFrame | None = None) -> Da
     are carried on under their old name: a new node linked to one joins it and
     gets its split. Where links merge several old components of one split, all
     take the smallest name. Where the splits differ, old nodes keep component
-    and split, and the new nodes of the merge get ``QUARANTINE``; ``conflict``
-    marks both. ``split`` is null for components that are new altogether.
+    and split, and the new nodes of the merge get ``QUARANTINE`` and a component
+    of their own, so that a component never has two splits and the result can be
+    carried on again; ``conflict`` marks both. ``split`` is null for components
+    that are new altogether.
     """
     if previous is None:
         return components(links).withColumns({"split": F.lit(None).cast("string"), "conflict": F.lit(False)})
@@ -90,7 +92,7 @@ def extend_components(links: DataFrame, previous: DataFrame | None = None) -> Da
     judged = facts.select("component", "kept", "one", (F.col("one") != F.col("other")).alias("clash"))
     both = merged.join(judged, "component")
     fresh = both.filter("was IS NULL AND old_name IS NULL").select(
-        "node", F.coalesce("kept", "component").alias("component"),
+        "node", F.when(F.col("clash") & ~F.col("kept").startswith(QUARANTINE), F.concat(F.lit(f"{QUARANTINE} "), "kept")).otherwise(F.coalesce("kept", "component")).alias("component"),
         F.when(F.col("clash"), F.lit(QUARANTINE)).otherwise(F.col("one")).alias("split"), F.coalesce("clash", F.lit(False)).alias("conflict"),
     )
     carried = both.filter("old_name IS NOT NULL").select(F.col("node").alias("held"), "kept", "clash")

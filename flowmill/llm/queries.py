@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowmill.functions.text import ipv4, ipv4_sql, label_key, label_key_sql, measure
 from flowmill.llm import grouped_splits, mixing, overlaps, percentiles, proportions, tokenize, top_items
 from flowmill.llm.shared_spans import SharedSpans
-from flowmill.plans.shared import broadcast_if_small, materialise
+from flowmill.plans.shared import broadcast_if_small, keep, kept, materialise, shared_dir
 from flowmill.sources.tables import table
 
 # --- 2: most frequent items -------------------------------------------------
@@ -182,14 +184,17 @@ _P5_VALUES = f"""SELECT v.raw_label attack, field_name, x FROM (
 # --- 6: splits that keep related records together -------------------------------
 
 
-def _p6_nodes(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Flows with their node, and rows per (node, address, class).
+def _p6_nodes(spark: SparkSession, d: str, until: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Flows (with an id of at most ``until``, if given) with their node, and
+    rows per (node, address, class).
 
     A node is the address text as it is written; texts of one address are
     linked through the address. Flows without an address stand alone.
     """
     vocab = table(spark, d, "label_vocab").filter("dataset = 'cicids2018'").select(label_key("raw_label").alias("_key"), F.col("raw_label").alias("cls")).dropDuplicates(["_key"])
     rows = table(spark, d, "nf_cicids2018_v3").select("flow_id", F.col("IPV4_SRC_ADDR").alias("written"), label_key("Attack").alias("_key"))
+    if until is not None:
+        rows = rows.filter(F.col("flow_id") <= until)
     rows = rows.join(broadcast_if_small(vocab, MAX_VOCABULARY), "_key", "left").withColumn("cls", F.coalesce("cls", F.lit("?"))).drop("_key")
     named = ipv4("written")
     counts = rows.groupBy("written", "cls").agg(F.count(F.lit(1)).alias("n")).withColumn("addr", named)
@@ -202,16 +207,36 @@ def _links(counts: DataFrame) -> DataFrame:
 
 
 def _table_of(counts: DataFrame, flows: DataFrame, shares: dict[str, float], previous: DataFrame | None = None) -> DataFrame:
-    """The component table: ``node, component, split``."""
+    """The component table: ``node, component, split``. ``previous`` is an earlier
+    one; ``counts`` and ``flows`` are then those of all rows so far, old and new."""
     table_ = grouped_splits.extend_components(_links(counts), previous)
+    lone = flows.filter(F.col("node").startswith("flow ")).select("node", "cls")
+    if previous is None:
+        lone = lone.withColumn("split", F.lit(None).cast("string"))
+    else:
+        table_ = materialise(table_, "extended")
+        lone = lone.join(table_.filter(F.col("node").startswith("flow ")).select("node", "split"), "node", "left")
     weights = counts.join(table_, "node").filter("split IS NULL OR split <> 'quarantine'").groupBy("component", "cls", "split").agg(F.sum("n").alias("n"))
-    alone = flows.filter(F.col("node").startswith("flow ")).select(F.col("node").alias("component"), "cls", F.lit(None).cast("string").alias("split"), F.lit(1).cast("bigint").alias("n"))
+    alone = lone.select(F.col("node").alias("component"), "cls", "split", F.lit(1).cast("bigint").alias("n"))
     placed = grouped_splits.assign_splits(weights.select("component", "cls", "split", "n").unionByName(alone), shares)
     known = table_.join(placed.withColumnRenamed("split", "given"), "component", "left").select("node", "component", F.coalesce("split", "given").alias("split"))
     single = placed.filter(F.col("component").startswith("flow ")).select(F.col("component").alias("node"), "component", "split")
+    if previous is not None:
+        single = single.join(table_.select("node"), "node", "left_anti")
     return materialise(known.unionByName(single), "component-table")
 
 
+def component_path(spark: SparkSession, d: str) -> str:
+    """Where the component tables of ``d`` are kept, one folder per version."""
+    return f"{shared_dir(spark)}/flowmill-kept/component-table/{hashlib.sha256(d.encode()).hexdigest()[:16]}"
+
+
+def _carried(spark: SparkSession, d: str, path: str, flows: DataFrame, counts: DataFrame) -> DataFrame:
+    """The newest table under ``path`` carried on to ``flows``, kept as its next
+    version; the first one if there is none."""
+    return keep(_table_of(counts, flows, _shares(spark, d), kept(spark, path)), path)
+
+
 def _shares(spark: SparkSession, d: str) -> dict[str, float]:
     return {r["split_name"]: r["target_share"] for r in table(spark, d, "split_shares").limit(1000).collect()}  # a fixed table
 
@@ -245,6 +270,19 @@ def p6_splits(spark: SparkSession, d: str) -> DataFrame:
     return _attached(flows.select("flow_id", "written"), components, counts, ["component", "split"]).select("_row.flow_id", "component", "split")
 
 
+def p6_extended(spark: SparkSession, d: str) -> DataFrame:
+    """Every flow with its component and split, by carrying on the table kept for
+    ``d``. Where none is kept yet, that of the flows of the lower half of ids is
+    made and kept first; nodes in a kept table never change their split."""
+    path = component_path(spark, d)
+    if kept(spark, path) is None:
+        ends = table(spark, d, "nf_cicids2018_v3").agg(F.min("flow_id").alias("low"), F.max("flow_id").alias("high")).first()
+        _carried(spark, d, path, *_p6_nodes(spark, d, ((ends["low"] or 0) + (ends["high"] or 0)) // 2))
+    flows, counts = _p6_nodes(spark, d)
+    components = _carried(spark, d, path, flows, counts)
+    return _attached(flows.select("flow_id", "written"), components, counts, ["component", "split"]).select("_row.flow_id", "component", "split")
+
+
 def p6_report(spark: SparkSession, d: str) -> DataFrame:
     """Rows and share of each split, per class and overall (class ``all``)."""
     flows, counts = _p6_nodes(spark, d)
@@ -315,7 +353,7 @@ def p9_report(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     p2_found, p2_top_items, p3_found, p3_report, p3_sample, p4_found, p4_report, p5_percentiles, p5_daily_states, p5_merged,
-    p6_found, p6_splits, p6_report, p7_ids, p8_found, p8_mixture, p8_report, p9_found, p9_report,
+    p6_found, p6_splits, p6_extended, p6_report, p7_ids, p8_found, p8_mixture, p8_report, p9_found, p9_report,
 )}
 
 SQL = {

@@ -54,6 +54,34 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def versions(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the complete versions of the table kept under ``path``, ascending."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(p):
+        return []
+    whole = [f.getPath() for f in fs.listStatus(p) if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f.getPath(), "_SUCCESS"))]
+    return sorted(int(w.getName()) for w in whole)
+
+
+def keep(df: DataFrame, path: str) -> DataFrame:
+    """Write ``df`` as the next version under ``path`` and read it back.
+
+    Unlike ``materialise``, nothing is dropped at exit, and no version is ever
+    overwritten.
+    """
+    spark = df.sparkSession
+    to = f"{path}/{max(versions(spark, path), default=0) + 1}"
+    df.write.parquet(to)
+    return spark.read.schema(df.schema).parquet(to)
+
+
+def kept(spark: SparkSession, path: str, version: int | None = None) -> DataFrame | None:
+    """The newest (or the given) version under ``path``; None if there is none."""
+    there = versions(spark, path)
+    return spark.read.parquet(f"{path}/{version or there[-1]}") if there else None
+
+
 def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
     """Hint a broadcast only if ``df`` is proven to hold at most ``max_rows`` rows.
 
