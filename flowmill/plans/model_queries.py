@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from flowmill.functions.text import label_key
 from flowmill.operators import adversarial, baselines, clean, metrics, prototypes, splits
 from flowmill.sources.tables import flows_events, table
 
@@ -80,12 +81,19 @@ def evasion_summary(spark: SparkSession, d: str) -> DataFrame:
 _FEATS = ["IN_BYTES", "OUT_BYTES", "FLOW_DURATION_MILLISECONDS", "MIN_TTL", "duty_cycle", "pkt_rate", "TCP_FLAGS_SYN", "PROTOCOL_6"]
 
 
+def _plain_tables(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """All rows of train and test, whatever their label."""
+    keep = ["row_id", "canonical_label", *_FEATS, "IPV4_SRC_ADDR", "IPV4_DST_ADDR", "L4_DST_PORT"]
+    return table(spark, d, "train_features").select(keep), table(spark, d, "test_features").select(keep)
+
+
 def _tables(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Rows of train and test whose label names a class, however it is written, with ``y``."""
     names = clean.label_ids(table(spark, d, "label_vocab"), "family")
-    keep = ["row_id", "canonical_label", *_FEATS, "IPV4_SRC_ADDR", "IPV4_DST_ADDR", "L4_DST_PORT"]
-    family = table(spark, d, "label_vocab").select("canonical_label", "family").dropDuplicates(["canonical_label"]).join(names, "family")
-    pick = lambda n: table(spark, d, n).select(keep).join(F.broadcast(family), "canonical_label").withColumn("y", F.col("label_id").cast("double")).drop("label_id")  # noqa: E731  a fixed table
-    return pick("train_features"), pick("test_features")
+    family = table(spark, d, "label_vocab").select(label_key("canonical_label").alias("_key"), "family").dropDuplicates(["_key"]).join(names, "family")
+    pick = lambda t: t.withColumn("_key", label_key("canonical_label")).join(F.broadcast(family), "_key").withColumn("y", F.col("label_id").cast("double")).drop("label_id", "_key")  # noqa: E731  a fixed table
+    train, test = _plain_tables(spark, d)
+    return pick(train), pick(test)
 
 
 def _report(out: DataFrame) -> DataFrame:
@@ -114,7 +122,7 @@ def identity_floor(spark: SparkSession, d: str) -> DataFrame:
 
 
 def reconstruction_score(spark: SparkSession, d: str) -> DataFrame:
-    train, test = _tables(spark, d)
+    train, test = _plain_tables(spark, d)
     return baselines.reconstruction_error(train, test, _FEATS).select("row_id", F.round("score", 6).alias("score"))
 
 
@@ -144,7 +152,7 @@ def scale_fusion(spark: SparkSession, d: str) -> DataFrame:
 
 def identity_audit(spark: SparkSession, d: str) -> DataFrame:
     """The identity floor beside the share of unseen pairs."""
-    train, test = _tables(spark, d)
+    train, test = _plain_tables(spark, d)
     u = splits.unseen_pairs(test.na.drop(subset=["IPV4_SRC_ADDR", "IPV4_DST_ADDR"]), train.na.drop(subset=["IPV4_SRC_ADDR", "IPV4_DST_ADDR"]), "IPV4_SRC_ADDR", "IPV4_DST_ADDR")
     return u.withColumn("floor_macro_f1", F.lit(identity_floor(spark, d).first()["macro_f1"]))
 
