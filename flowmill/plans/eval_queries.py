@@ -276,7 +276,7 @@ def embed_attribution(spark: SparkSession, d: str) -> DataFrame:
 def integrated_gradients(spark: SparkSession, d: str) -> DataFrame:
     """Their sum against the difference of scores, per vector."""
     o = _own(spark, d).withColumn("base", F.transform("proto", lambda p: p * 0.5 + 0.01))
-    ig = explain.integrated_gradients(F.col("z"), F.col("base"), F.col("proto"), TAU, 12)
+    ig = explain.integrated_gradients(F.col("z"), F.col("base"), F.col("proto"), TAU)
     score = lambda v: vec.cosine(v, F.col("proto")) / TAU
     return o.select("vec_id", vec.total(ig).alias("attributed"), (score(F.col("z")) - score(F.col("base"))).alias("difference"))
 
@@ -315,8 +315,7 @@ def necessity_rate(spark: SparkSession, d: str) -> DataFrame:
 def kernel_shap(spark: SparkSession, d: str) -> DataFrame:
     e = _emb(spark, d)
     p = _bank(e).filter("class_id = 0").first()["proto"]
-    small = e.withColumn("v", F.slice("z", 1, 12))
-    return explain.kernel_shap(small, "v", [0.05] * 12, list(p)[:12], 60).select("vec_id", F.round(vec.total(F.col("shap")), 6).alias("total"))
+    return explain.kernel_shap(e, "z", [0.05] * DIM, list(p)).select("vec_id", F.round(vec.total(F.col("shap")), 6).alias("total"))
 
 
 def triage_report(spark: SparkSession, d: str) -> DataFrame:
