@@ -290,10 +290,19 @@ def fidelity(spark: SparkSession, d: str) -> DataFrame:
 
 
 def stability_spearman(spark: SparkSession, d: str) -> DataFrame:
-    """Rank agreement of attributions towards the prototypes of all classes."""
+    """Rank agreement of attributions towards the prototypes of classes 0, 1 and 2, as its SQL has it."""
+    return _stability(spark, d, 3)
+
+
+def stability_spearman_known(spark: SparkSession, d: str) -> DataFrame:
+    """Rank agreement of attributions towards the prototypes of all known classes."""
+    return _stability(spark, d, KNOWN)
+
+
+def _stability(spark: SparkSession, d: str, known: int) -> DataFrame:
     e = _emb(spark, d)
-    bank = F.broadcast(prototypes.check_bank(_bank(e, 3)))
-    pairs = e.withColumn("class_id", F.explode(F.array(*[F.lit(i) for i in range(3)]))).join(bank, "class_id")
+    bank = F.broadcast(prototypes.check_bank(_bank(e, known)))
+    pairs = e.withColumn("class_id", F.explode(F.array(*[F.lit(i) for i in range(known)]))).join(bank, "class_id")
     a = pairs.select("vec_id", "class_id", F.transform(explain.attribution(F.col("z"), F.col("proto"), TAU), lambda x: F.round(x, 9)).alias("a"))
     return explain.stability(a, "vec_id", "class_id", "a").select("vec_id", F.round("stability", 6).alias("stability"))
 
@@ -333,7 +342,7 @@ QUERIES = {f.__name__: f for f in (
     proto_bank, cosine_top2, evidence_verdict, softmax_verdict, distance_verdict, register_class, ema_drift, sub_prototypes, diversity_penalty, proto_allocation, mixup_unknowns,
     confusion_matrix, per_class_f1, closed_set_f1, tier_f1, pr_auc, auroc_known_unknown, unknown_tpr_fpr, openness, open_set_report, ece_equal_mass, ece_equal_width, reliability, brier, nll,
     risk_coverage, aurc, deferral_precision, forgetting_bwt, few_shot, bootstrap_ci, paired_bootstrap, over_seeds, latency_percentiles, thresholds, nmi_ari, kmeans_purity, nearest_prototype, gates,
-    energy_score, odin_score, openmax, embed_attribution, integrated_gradients, fidelity, stability_spearman, counterfactual_necessity, necessity_rate, kernel_shap, triage_report, vector_functions,
+    energy_score, odin_score, openmax, embed_attribution, integrated_gradients, fidelity, stability_spearman, stability_spearman_known, counterfactual_necessity, necessity_rate, kernel_shap, triage_report, vector_functions,
 )}
 
 # --- SQL ------------------------------------------------------------------------------

@@ -39,3 +39,14 @@ def test_integrated_gradients_run_fifty_steps(spark, vectors, protos):
             n = np.linalg.norm(x)
             total += (z - base) @ ((p / n - (x @ p) * x / n**3) / ev.TAU) / 50
         assert abs(got[i] - total) < 1e-9
+
+
+def test_stability_compares_all_known_classes(spark, vectors, protos):
+    import pandas as pd
+
+    got = {r["vec_id"]: r["stability"] for r in entry.queries()["stability_spearman_known"](spark, DIR).collect()}
+    assert set(got) == set(vectors)
+    for i, z in list(vectors.items())[:5]:
+        ranks = pd.DataFrame({c: np.round(z * protos[c] / ev.TAU, 9) for c in range(ev.KNOWN)}).rank()
+        rho = np.corrcoef(ranks.to_numpy().T)
+        assert abs(got[i] - rho[np.triu_indices(ev.KNOWN, 1)].mean()) < 1e-5
