@@ -215,7 +215,9 @@ def bootstrap_means(df: DataFrame, values: dict[str, Column], key: str, resample
     """
     draws = df.select(F.col(key).alias("_k"), *[c.cast("double").alias(n) for n, c in values.items()]).withColumn("resample", F.explode(F.sequence(F.lit(1), F.lit(resamples))))
     mixed = F.pmod(F.pmod(F.col("_k"), F.lit(1_000_003)) * F.lit(7_919) + F.col("resample") * F.lit(104_729) + F.lit(seed), F.lit(1_000_003))
-    u = F.pmod(mixed * F.lit(2_654_435_761), F.lit(1_000_003)) / 1_000_003.0
+    plain = F.pmod(mixed * F.lit(2_654_435_761), F.lit(1_000_003)) / 1_000_003.0
+    wide = F.pmod(F.xxhash64("_k", "resample", F.lit(seed)), F.lit(1_000_000_007)) / 1_000_000_007.0
+    u = F.when(F.col("_k").between(0, 1_000_002), plain).otherwise(wide)  # keys beyond the modulus would repeat the draws of others
     weight, cdf = F.lit(0), 0.0
     for k in range(8):
         cdf += math.exp(-1) / math.factorial(k)

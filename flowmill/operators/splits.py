@@ -120,11 +120,14 @@ def random_rows(df: DataFrame, n: int, key: str, seed: int = 0) -> DataFrame:
 
 
 def redraw(df: DataFrame, n: int, key: str, seed: int = 0) -> DataFrame:
-    """``n`` draws with replacement: each draw picks a rank by hash and joins it."""
+    """``n`` draws with replacement: each draw picks a rank by hash and joins it
+    (by a 64-bit hash where the modulus of the plain one would not reach every rank)."""
     total = df.count()
     if not total:
         return df.withColumn("draw", F.lit(0).cast("bigint")).limit(0)
-    draws = df.sparkSession.range(1, n + 1).select(F.col("id").alias("draw"), (F.pmod(F.col("id") * F.lit(2_654_435_761) + F.lit(seed * 40_503), F.lit(1_000_003)) % F.lit(total) + 1).alias("_at"))
+    plain = F.pmod(F.col("id") * F.lit(2_654_435_761) + F.lit(seed * 40_503), F.lit(1_000_003)) % F.lit(total)
+    at = plain if total <= 1_000_003 else F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(total))
+    draws = df.sparkSession.range(1, n + 1).select(F.col("id").alias("draw"), (at + 1).alias("_at"))
     r = ranked(df.withColumn("_all", F.lit(0)), ["_all"], [F.col(key)])
     return r.join(draws, F.col("rank") == F.col("_at")).select(*df.columns, "draw")
 
