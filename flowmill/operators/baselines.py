@@ -26,7 +26,7 @@ def _assembled(df: DataFrame, features: list[str], label: str | None) -> DataFra
 
 def tabular(kind: str, train: DataFrame, test: DataFrame, features: list[str], label: str, seed: int = 0, **params) -> DataFrame:
     """``test`` with ``predicted``: a forest (``rf``), extra-random forest
-    (``et``: more trees on random feature subsets), depth-limited tree (``dt``)
+    (``et``: smaller random feature subsets), depth-limited tree (``dt``)
     or multilayer perceptron (``mlp``), classes weighted by inverse frequency."""
     from pyspark.ml.classification import DecisionTreeClassifier, MultilayerPerceptronClassifier, RandomForestClassifier
 
@@ -34,7 +34,7 @@ def tabular(kind: str, train: DataFrame, test: DataFrame, features: list[str], l
     common = {"featuresCol": "_x", "labelCol": label, "predictionCol": "predicted"}
     if kind == "mlp":
         n = int(data.agg(F.max(label).alias("m")).first()["m"]) + 1
-        model = MultilayerPerceptronClassifier(layers=[len(features), params.get("hidden", 32), n], maxIter=params.get("iterations", 40), seed=seed, **common).fit(data)
+        model = MultilayerPerceptronClassifier(layers=[len(features), *params.get("hidden", (32,)), n], maxIter=params.get("iterations", 40), seed=seed, **common).fit(data)
     elif kind == "dt":
         model = DecisionTreeClassifier(maxDepth=params.get("depth", 8), weightCol="_w", seed=seed, **common).fit(data)
     elif kind in ("rf", "et"):

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from flowmill.functions.text import label_key
 from flowmill.operators import adversarial, baselines, clean, metrics, prototypes, splits
-from flowmill.sources.tables import flows_events, table
+from flowmill.sources.tables import feature_columns, flows_events, table
 
 T = "nf_cicids2018_v3"
 DAY = 86_400_000
@@ -78,12 +78,16 @@ def evasion_summary(spark: SparkSession, d: str) -> DataFrame:
     return s.join(b, "Attack").withColumn("asr", F.round("asr", 9))
 
 
-_FEATS = ["IN_BYTES", "OUT_BYTES", "FLOW_DURATION_MILLISECONDS", "MIN_TTL", "duty_cycle", "pkt_rate", "TCP_FLAGS_SYN", "PROTOCOL_6"]
+TREES, HIDDEN, ITERATIONS = 100, (128, 64), 200
+
+
+def _feats(spark: SparkSession, d: str) -> list[str]:
+    return feature_columns(table(spark, d, "train_features"))
 
 
 def _plain_tables(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """All rows of train and test, whatever their label."""
-    keep = ["row_id", "canonical_label", *_FEATS, "IPV4_SRC_ADDR", "IPV4_DST_ADDR", "L4_DST_PORT"]
+    keep = ["row_id", "canonical_label", *_feats(spark, d), "IPV4_SRC_ADDR", "IPV4_DST_ADDR", "L4_DST_PORT"]
     return table(spark, d, "train_features").select(keep), table(spark, d, "test_features").select(keep)
 
 
@@ -102,17 +106,17 @@ def _report(out: DataFrame) -> DataFrame:
 
 def baseline_forest(spark: SparkSession, d: str) -> DataFrame:
     train, test = _tables(spark, d)
-    return _report(baselines.tabular("rf", train, test, _FEATS, "y"))
+    return _report(baselines.tabular("rf", train, test, _feats(spark, d), "y", trees=TREES))
 
 
 def baseline_extra_trees(spark: SparkSession, d: str) -> DataFrame:
     train, test = _tables(spark, d)
-    return _report(baselines.tabular("et", train, test, _FEATS, "y", trees=10))
+    return _report(baselines.tabular("et", train, test, _feats(spark, d), "y", trees=TREES))
 
 
 def baseline_perceptron(spark: SparkSession, d: str) -> DataFrame:
     train, test = _tables(spark, d)
-    return _report(baselines.tabular("mlp", train, test, _FEATS, "y", iterations=20))
+    return _report(baselines.tabular("mlp", train, test, _feats(spark, d), "y", hidden=HIDDEN, iterations=ITERATIONS))
 
 
 def identity_floor(spark: SparkSession, d: str) -> DataFrame:
@@ -123,7 +127,7 @@ def identity_floor(spark: SparkSession, d: str) -> DataFrame:
 
 def reconstruction_score(spark: SparkSession, d: str) -> DataFrame:
     train, test = _plain_tables(spark, d)
-    return baselines.reconstruction_error(train, test, _FEATS).select("row_id", F.round("score", 6).alias("score"))
+    return baselines.reconstruction_error(train, test, _feats(spark, d)).select("row_id", F.round("score", 6).alias("score"))
 
 
 def _graph(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:

@@ -28,3 +28,9 @@ def flows_events(spark: SparkSession, directory: str) -> DataFrame:
 def flows(spark: SparkSession, directory: str, name: str = "nf_cicids2018_v3") -> DataFrame:
     """A raw flow table as it is."""
     return table(spark, directory, name)
+
+
+def feature_columns(df: DataFrame) -> list[str]:
+    """The features of a feature table: all columns between dataset and canonical_label."""
+    c = df.columns
+    return c[c.index("dataset") + 1 : c.index("canonical_label")]

@@ -36,3 +36,15 @@ def test_rows_without_label_have_a_score_and_count_as_pairs(spark, untidy):
     q = entry.queries()
     assert sorted(r[0] for r in q["reconstruction_score"](spark, untidy).select("row_id").collect()) == sorted(r[0] for r in test.select("row_id").collect())
     assert q["identity_audit"](spark, untidy).first()["test_rows"] == test.na.drop(subset=["IPV4_SRC_ADDR", "IPV4_DST_ADDR"]).count()
+
+
+def test_models_see_all_features(spark, monkeypatch):
+    from flowmill.operators import baselines
+
+    told = {}
+    monkeypatch.setattr(baselines, "tabular", lambda kind, train, test, features, label, **more: told.update({kind: (features, more)}) or test.withColumn("predicted", F.col("y")))
+    monkeypatch.setattr(baselines, "reconstruction_error", lambda train, test, features: told.update(pca=(features, {})) or test.withColumn("score", F.lit(0.0)))
+    for n in ("baseline_forest", "baseline_extra_trees", "baseline_perceptron", "reconstruction_score"):
+        entry.queries()[n](spark, DIR)
+    assert [len(set(told[k][0])) for k in ("rf", "et", "mlp", "pca")] == [84] * 4
+    assert told["rf"][1] == told["et"][1] == {"trees": 100} and told["mlp"][1] == {"hidden": (128, 64), "iterations": 200}
