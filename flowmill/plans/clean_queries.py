@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowmill import schema
-from flowmill.functions.text import label_key_sql
+from flowmill.functions.text import label_key, label_key_sql
 from flowmill.operators import clean, features
-from flowmill.sources.tables import table
+from flowmill.plans.shared import broadcast_if_small
+from flowmill.sources.tables import feature_columns, table
 
 T = "nf_cicids2018_v3"
 LOW, HIGH = schema.VALID_MS
@@ -50,6 +51,15 @@ def canonical_labels_strict(spark: SparkSession, d: str) -> DataFrame:
     return clean.canonical_labels(t, table(spark, d, "label_vocab"), "bot_iot", strict=True, exact=True).select("flow_id", "canonical_label")
 
 
+def canonical_labels_strict_all(spark: SparkSession, d: str) -> DataFrame:
+    """All rows that name a class in any writing; an unknown label raises."""
+    t = table(spark, d, "nf_bot_iot_v3").select("flow_id", "Attack")
+    vocab = table(spark, d, "label_vocab")
+    names = vocab.filter("dataset = 'bot_iot'").select(label_key("raw_label").alias("_key")).distinct()
+    named = t.withColumn("_key", label_key("Attack")).join(broadcast_if_small(names, 100_000), "_key", "left_semi").drop("_key")
+    return clean.canonical_labels(named, vocab, "bot_iot", strict=True).select("flow_id", "canonical_label")
+
+
 def family_counts(spark: SparkSession, d: str) -> DataFrame:
     c = clean.canonical_labels(table(spark, d, T).select("Attack"), table(spark, d, "label_vocab"), "cicids2018")
     return c.groupBy(F.coalesce("family", F.lit("other")).alias("family")).agg(F.count(F.lit(1)).alias("n"))
@@ -177,6 +187,13 @@ def class_medians(spark: SparkSession, d: str) -> DataFrame:
     return t.agg(*[F.round(F.percentile(c, F.lit(0.5)), 9).alias(c) for c in ("IN_BYTES", "OUT_BYTES", "MIN_TTL", "duty_cycle")])
 
 
+def class_medians_all(spark: SparkSession, d: str) -> DataFrame:
+    """Benign medians of every feature, one row each, whatever the label's writing."""
+    t = table(spark, d, "train_features").filter(label_key("canonical_label") == "benign")
+    pairs = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("x")) for c in feature_columns(t)])
+    return t.select(F.inline(pairs)).groupBy("feature").agg(F.round(F.percentile("x", F.lit(0.5)), 9).alias("median"))
+
+
 def row_hash_groups(spark: SparkSession, d: str) -> DataFrame:
     """Copies of a flow: distinct tuples by how often they occur."""
     t = table(spark, d, T).groupBy(F.xxhash64(*FEATS).alias("a"), F.xxhash64(F.lit(11), *FEATS).alias("b")).agg(F.count(F.lit(1)).alias("copies"))
@@ -184,9 +201,9 @@ def row_hash_groups(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    drop_unusable, clip_negative, clean_report, dedup_flows, canonical_labels, canonical_labels_strict, family_counts, class_counts, label_ids,
+    drop_unusable, clip_negative, clean_report, dedup_flows, canonical_labels, canonical_labels_strict, canonical_labels_strict_all, family_counts, class_counts, label_ids,
     project_feasible, feasibility_violations, source_guard, te2_descriptors, flag_bits, port_features, port_buckets, hist_simplex, topk_categories,
-    topk_onehot, topk_onehot_other_rate, robust_fit, robust_scale, quantile_knots, te1_conditioned, signed_log, feature_pipeline, feature_channels, class_weights, class_medians, row_hash_groups,
+    topk_onehot, topk_onehot_other_rate, robust_fit, robust_scale, quantile_knots, te1_conditioned, signed_log, feature_pipeline, feature_channels, class_weights, class_medians, class_medians_all, row_hash_groups,
 )}
 
 _fin = lambda e: f"(CASE WHEN isfinite({e}) THEN {e} ELSE 0.0 END)"
