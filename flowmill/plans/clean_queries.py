@@ -148,14 +148,14 @@ def robust_scale(spark: SparkSession, d: str) -> DataFrame:
 
 
 def quantile_knots(spark: SparkSession, d: str) -> DataFrame:
-    knots = features.knots_fit(table(spark, d, T), {c: features.signed_log(features.finite(F.col(c).cast("double"))) for c in schema.HEAVY_TAILED}, 100)
+    knots = features.knots_fit(table(spark, d, T), {c: features.signed_log(features.finite(F.col(c).cast("double"))) for c in schema.HEAVY_TAILED})
     return spark.createDataFrame([(c, i, v) for c, ks in knots.items() for i, v in enumerate(ks)], "feature string, i int, knot double")
 
 
 def te1_conditioned(spark: SparkSession, d: str) -> DataFrame:
     t = table(spark, d, T)
     cols = {c: features.signed_log(features.finite(F.col(c).cast("double"))) for c in ("IN_BYTES", "FLOW_DURATION_MILLISECONDS", "SRC_TO_DST_IAT_AVG")}
-    knots = features.knots_fit(t, cols, 200)
+    knots = features.knots_fit(t, cols)
     return t.select("flow_id", features.to_normal(cols, knots).alias("n")).select("flow_id", *[F.col("n")[i].alias(c) for i, c in enumerate(cols)])
 
 
@@ -166,7 +166,7 @@ def signed_log(spark: SparkSession, d: str) -> DataFrame:
 
 def feature_pipeline(spark: SparkSession, d: str) -> DataFrame:
     t = table(spark, d, T)
-    return features.FeaturePipeline(quantiles=200).fit(t).transform(t, ["flow_id"])
+    return features.FeaturePipeline().fit(t).transform(t, ["flow_id"])
 
 
 def feature_channels(spark: SparkSession, d: str) -> DataFrame:
