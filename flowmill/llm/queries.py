@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from flowmill.functions.text import ipv4, ipv4_sql, label_key, label_key_sql, measure
 from flowmill.llm import grouped_splits, mixing, overlaps, percentiles, proportions, tokenize, top_items
-from flowmill.llm.shared_spans import SharedSpans
+from flowmill.llm.shared_spans import SentenceRuns, SharedSpans
 from flowmill.plans.shared import broadcast_if_small, keep, kept, materialise, shared_dir
 from flowmill.sources.tables import table
 
@@ -351,9 +351,19 @@ def p9_report(spark: SparkSession, d: str) -> DataFrame:
     return r.select(F.col("doc").alias("doc_id"), F.col("rep").alias("class_id"), "copies", "n_chars", "shared_chars", "repeated_chars", share.alias("shared_share"))
 
 
+def p9_cleaned(spark: SparkSession, d: str) -> DataFrame:
+    """Every text without the sentences that a non-first sentence run covers."""
+    return SentenceRuns(table(spark, d, "documents"), "doc_id", "text").cleaned().withColumnRenamed("doc", "doc_id")
+
+
+def p9_run_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of documents with a whole run of sentences of 160 characters in common."""
+    return SentenceRuns(table(spark, d, "documents"), "doc_id", "text").pairs()
+
+
 QUERIES = {f.__name__: f for f in (
     p2_found, p2_top_items, p3_found, p3_report, p3_sample, p4_found, p4_report, p5_percentiles, p5_daily_states, p5_merged,
-    p6_found, p6_splits, p6_extended, p6_report, p7_ids, p8_found, p8_mixture, p8_report, p9_found, p9_report,
+    p6_found, p6_splits, p6_extended, p6_report, p7_ids, p8_found, p8_mixture, p8_report, p9_found, p9_report, p9_cleaned, p9_run_pairs,
 )}
 
 SQL = {
@@ -368,4 +378,7 @@ SQL = {
     "p6_found": f"""WITH t AS (SELECT flow_id, IPV4_SRC_ADDR w, {ipv4_sql("IPV4_SRC_ADDR")} addr FROM nf_cicids2018_v3),
         many AS (SELECT addr FROM t WHERE addr IS NOT NULL GROUP BY 1 HAVING count(DISTINCT w) > 1)
         SELECT flow_id FROM t JOIN many USING (addr) WHERE w <> addr""",
+    "p9_found": """WITH w AS (SELECT DISTINCT doc_id, substr(text, i, 160) x FROM (SELECT doc_id, text, unnest(range(1, n_chars - 158)) i FROM documents WHERE n_chars >= 160)),
+        h AS (SELECT md5(x) k, list(doc_id) ids FROM w GROUP BY x HAVING count(*) > 1), s AS (SELECT DISTINCT list_sort(ids) ids FROM h), e AS (SELECT ids, unnest(ids) a FROM s)
+        SELECT DISTINCT a doc_a, b doc_b FROM (SELECT a, unnest(ids) b FROM e) WHERE a < b""",
 }

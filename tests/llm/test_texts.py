@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from flowmill.llm import tokenize
 from flowmill.llm.bpe import DEFAULT_DIR, SPLIT, BytePairEncoder, _ranks
-from flowmill.llm.shared_spans import SharedSpans
+from flowmill.llm.shared_spans import Hashed, SentenceRuns, SharedSpans, sentences
 
 ODD = ["", " ", "a", "a" * 3000, "ab" * 900, "日本語のテキスト、検出。" * 5, "<|endoftext|> and <|startoftext|>", "don't we'll I'M\n\n\t  x  ", " 　 ​\x00\x07", "é 😀👩‍👩‍👧 ﷺ", "0123456789" * 50]
 
@@ -119,3 +119,32 @@ def test_very_long_texts(spark):
     long = "".join(rng.choice("abcdef ") for _ in range(300_000))
     df = spark.createDataFrame([(1, long), (2, "x" + long[200_000:200_160]), (3, long[5:164])], "doc_id bigint, text string")
     assert [tuple(r) for r in SharedSpans(df, "doc_id", "text").pairs().collect()] == [(1, 2)]
+
+
+def test_sentences():
+    texts = ["One. Two!  Three? v1.2 stays.\nNext line", "", " \n ", "日本語。次の文。", "no stop"]
+    t = Hashed(texts)
+    text, begin, end = sentences(t)
+    got = [(int(i), t.joined[a:b]) for i, a, b in zip(text, begin, end, strict=True)]
+    assert got == [(0, "One."), (0, "Two!"), (0, "Three?"), (0, "v1.2 stays."), (0, "Next line"), (3, "日本語。"), (3, "次の文。"), (4, "no stop")]
+
+
+def test_repeated_sentence_runs_are_removed_once(spark):
+    a, b, c = "Alpha host sent forty bytes to the sink.", "Beta host saw nothing at all today.", "Gamma closed the ticket without comment."
+    docs = [(1, f"Head one. {a} {b} {c} Tail one."), (2, f"Head two. {a}  {b} {c}"), (3, f"{a} {b} {c} And more. {a} {b} {c}"), (4, f"{a} Only this."), (5, None), (6, ""), (7, f"x {b} {c}")]
+    df = spark.createDataFrame([(i, t, "z") for i, t in docs] + [(None, docs[0][1], "z")], "doc_id bigint, text string, doc string").repartition(3)
+    r = SentenceRuns(df, "doc_id", "text", 70)
+    got = {x["doc"]: x for x in r.cleaned().collect()}
+    assert set(got) == {i for i, _ in docs} and got[1]["text"] == docs[0][1] and got[1]["removed"] == 0
+    assert got[2]["text"] == f"Head two. {a}  " and got[2]["removed"] == 2  # two blanks stand inside the first run
+    assert got[3]["text"] == "And more. " and got[3]["removed"] == 6
+    assert got[4]["text"] == docs[3][1] and got[5]["text"] is None and got[6]["text"] == ""
+    assert got[7]["text"] == docs[6][1]  # its run begins with another sentence
+    assert sorted(tuple(x) for x in r.pairs().collect()) == [(1, 2), (1, 3), (2, 3)]
+    assert {tuple(x) for x in r.pairs().collect()} <= {tuple(x) for x in SharedSpans(df, "doc_id", "text", 70, 30).pairs().collect()}
+
+
+def test_sentence_runs_of_nothing(spark):
+    empty = spark.createDataFrame([], "doc_id bigint, text string")
+    r = SentenceRuns(empty, "doc_id", "text")
+    assert r.cleaned().collect() == [] and r.pairs().collect() == []
