@@ -1,156 +1,168 @@
 """Records of evaluation splits that occur, exactly or almost, in training.
 
-Records are canonicalised (labels and sources: case, punctuation and blanks;
-features: null reads as 0, as does -0) and hashed, and evaluation hashes are
-joined with training hashes. So that *almost* equal records meet as well, the
-hashed form of a numeric record is its cell in a coarse grid over its
-features: a training record hashes its own cell, an evaluation record also
-probes the neighbouring cells that lie within the radius. Two records within
-the radius differ by at most the radius in every feature, so one of the probes
-always hits: no pair is lost, whatever the data. Cells are wide against the
-radius (few probes) and many features are hashed (few chance meetings); every
-meeting is then settled by the exact distance.
-
-Cell hashes combine by XOR, one term per feature, so that a probe is the base
-hash XOR the differences of the features it moves.
+**Exactly.** Records are canonicalised (texts: case, punctuation and blanks;
+numbers: null reads as 0, as does -0) and hashed to 128 bits; evaluation hashes
+are joined with training hashes. Both sides are folded to one row per hash
+(*class*) first, so copies cost nothing, and matches are counted by split and
+source.
+
+**Almost.** Nearly equal records do not share that hash, so classes also get the
+hash of a cell: the numbers are projected to ``PROJECTIONS`` sums of disjoint
+groups (unit vectors, so a projection moves by at most the distance), and the
+cell is the tuple of sums cut at ``width``. A training class hashes its own
+cell; an evaluation class also probes the cell beyond each border within the
+radius, at most ``2 ** PROJECTIONS`` in all, about two on average. Two records
+within the radius therefore always meet, whatever the data. Meetings are of
+keys only; the vectors of classes that met are fetched afterwards and the exact
+distance settles it.
+
+Records with NaN or infinite numbers lie within no distance of anything and
+match nothing.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Boundaries lie at (k + OFFSET) * width, off the values features often take.
+from flowmill.plans.shared import materialise
+
+PROJECTIONS = 10
+#: Boundaries lie at (k + OFFSET) * width, off the values sums often take.
 OFFSET = 0.3719
-#: An evaluation record that probes more than 2 ** MAX_MOVES cells is matched
-#: by its first features alone (see ``_parts``).
-MAX_MOVES = 8
+#: Numbers beyond are cut off before they are projected (cutting brings no records apart).
+LARGEST = 1e9
+
 
+def normalised(c: Column) -> Column:
+    """Text for comparing: lower case, one blank for each run of punctuation,
+    symbols and blanks, none outside."""
+    return F.trim(F.regexp_replace(F.lower(c), r"[^\p{L}\p{M}\p{N}]+", " "))
 
-def feature_array(columns: list[str]) -> Column:
-    """Features as one array of doubles; null (and -0) as 0."""
+
+def numbers(columns: list[str]) -> Column:
+    """The numbers as one array of doubles; null (and -0) as 0."""
     return F.array(*[F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(0.0)) + F.lit(0.0) for c in columns])
 
 
-def _cell(value: Column, width: float) -> Column:
-    return F.floor(value / F.lit(width) - F.lit(OFFSET))
+def record_hash(columns: list[str], texts: list[str] = ()) -> list[Column]:
+    """Two 64-bit hashes of the canonical record."""
+    parts = [numbers(columns), *[normalised(F.col(f"`{t}`").cast("string")) for t in texts]]
+    return [F.xxhash64(*parts), F.xxhash64(F.lit(7), *parts)]
 
 
-def _xor(terms: Column) -> Column:
-    return F.aggregate(terms, F.lit(0).cast("bigint"), lambda a, b: a.bitwiseXOR(b))
+def _finite(columns: list[str]) -> Column:
+    return F.forall(numbers(columns), lambda x: ~F.isnan(x) & (F.abs(x) < float("inf")))
 
 
-def _values(columns: list[str]) -> Column:
-    # NaN and infinities lie within no distance of anything; they get a cell of their own
-    return F.transform(feature_array(columns), lambda v: F.when(F.isnan(v) | (F.abs(v) >= 1e15), F.lit(1e15)).otherwise(v))
+def _sums(columns: list[str]) -> Column:
+    """The projections: sums of every PROJECTIONS-th number, signs alternating,
+    scaled to unit vectors."""
+    groups = [columns[k::PROJECTIONS] for k in range(min(PROJECTIONS, len(columns)))]
 
+    def one(names: list[str]) -> Column:
+        signs = F.lit([(-1.0) ** i / len(names) ** 0.5 for i in range(len(names))])
+        held = F.zip_with(numbers(names), signs, lambda x, s: F.greatest(F.least(x, F.lit(LARGEST)), F.lit(-LARGEST)) * s)
+        return F.aggregate(held, F.lit(0.0), lambda a, x: a + x)
 
-def base_hash(columns: list[str], width: float) -> Column:
-    """The hash of a record's own cell.
+    return F.array(*[one(g) for g in groups])
 
-    One short expression over the array of features: a term per feature written
-    out would make methods too long to compile.
-    """
-    return _xor(F.transform(_values(columns), lambda v, i: F.xxhash64(i, _cell(v, width))))
 
+def _cell(value: Column, width: float) -> Column:
+    return F.floor(value / F.lit(width) - F.lit(OFFSET))
 
-def moves(columns: list[str], width: float, radius: float) -> Column:
-    """For each feature within ``radius`` of its cell's border, the XOR
-    difference that moves the hash to the cell beyond the border."""
-    reach = F.lit(radius * (1 + 1e-9))
+
+def cell_hash(sums: Column, width: float) -> Column:
+    """The hash of a record's own cell: one term per projection, joined by XOR."""
+    return F.aggregate(F.transform(sums, lambda v, i: F.xxhash64(i, _cell(v, width))), F.lit(0).cast("bigint"), lambda a, b: a.bitwiseXOR(b))
+
+
+def probes(sums: Column, width: float, radius: float) -> Column:
+    """All cells within ``radius``: the own hash and, for each projection near a
+    border, the same with that projection's term exchanged."""
+    reach = F.lit(radius * (1 + 1e-9) + LARGEST * 1e-14)
 
     def move(v: Column, i: Column) -> Column:
         low, high, here = _cell(v - reach, width), _cell(v + reach, width), _cell(v, width)
         other = F.when(low != here, low).when(high != here, high)
         return F.when(other.isNotNull(), F.xxhash64(i, other).bitwiseXOR(F.xxhash64(i, here)))
 
-    return F.filter(F.transform(_values(columns), move), lambda x: x.isNotNull())
-
-
-def probes(base: Column, differences: Column) -> Column:
-    """All hashes reached by any subset of the moves."""
-    return F.aggregate(differences, F.array(base), lambda acc, x: F.concat(acc, F.transform(acc, lambda h: h.bitwiseXOR(x))))
+    moves = F.filter(F.transform(sums, move), lambda x: x.isNotNull())
+    return F.aggregate(moves, F.array(cell_hash(sums, width)), lambda acc, x: F.concat(acc, F.transform(acc, lambda h: h.bitwiseXOR(x))))
 
 
 def squared_distance(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
 
 
-def _keyed(df: DataFrame, keys: Column, features: list[str], carry: dict[str, Column]) -> DataFrame:
-    return df.select(keys.alias("_h"), feature_array(features).alias("_f"), *[c.alias(n) for n, c in carry.items()])
-
-
-def _parts(evaluation: DataFrame, hashed: list[str], width: float, radius: float) -> list[tuple[list[str], Column | None]]:
-    """Which features to hash, and for which evaluation records: all of them for
-    nearly every record; the first MAX_MOVES alone for records that lie close
-    to so many borders that their probes would not be bounded otherwise."""
-    n = F.size(moves(hashed, width, radius))
-    if len(hashed) <= MAX_MOVES:
-        return [(hashed, None)]
-    many = evaluation.select(n.alias("n")).filter(F.col("n") > MAX_MOVES).limit(1).count()
-    if not many:
-        return [(hashed, None)]
-    return [(hashed, n <= MAX_MOVES), (hashed[:MAX_MOVES], n > MAX_MOVES)]
-
-
-def near_pairs(
-    training: DataFrame,
-    evaluation: DataFrame,
-    features: list[str],
-    hashed: list[str],
-    radius: float,
-    width: float,
-    training_carry: dict[str, Column],
-    evaluation_carry: dict[str, Column],
-) -> DataFrame:
-    """Every (training, evaluation) pair within ``radius`` over ``features``.
-
-    ``hashed`` (a subset of ``features``) spans the grid of cell ``width``
-    (which must exceed twice the radius, so that a record is near one border
-    of a cell at most). Output: the carried columns of both sides (their names
-    must differ) and ``distance``. A pair comes out once: a training record has
-    one hash, and an evaluation record's probes are all different cells.
-    Features travel once through the shuffle; AQE splits cells that hold many
-    rows. Empty inputs give no rows; NaN and infinite features match nothing.
-    """
-    if width <= 2 * radius:
-        raise ValueError("the cells must be wider than twice the radius")
-    out = []
-    for cols, which in _parts(evaluation, hashed, width, radius):
-        chosen = evaluation if which is None else evaluation.filter(which)
-        t = _keyed(training, base_hash(cols, width), features, training_carry)
-        e = _keyed(chosen, F.explode(probes(base_hash(cols, width), moves(cols, width, radius))), features, evaluation_carry).withColumnRenamed("_f", "_g")
-        d2 = squared_distance(F.col("_f"), F.col("_g"))
-        pair = t.join(e, "_h").withColumn("distance", F.sqrt(d2)).filter(F.col("distance") <= radius)
-        out.append(pair.select(*training_carry, *evaluation_carry, "distance"))
-    return reduce(DataFrame.unionByName, out)
-
-
-def near_classes(
-    training: DataFrame, evaluation: DataFrame, features: list[str], hashed: list[str], radius: float, width: float, evaluation_carry: dict[str, Column]
-) -> DataFrame:
-    """Per evaluation record: whether it occurs in training exactly or nearly.
-
-    Copies are folded first: training records to distinct feature vectors (on
-    the map side, so a vector that a third of all rows share is one row), so
-    the work is one row per class, not per pair. Output: the carried columns,
-    ``n_exact`` and ``n_near`` (training *rows* at distance 0 / within the
-    radius but not 0), 0 where there is none.
+class Overlaps:
+    """The overlaps of two tables of records; results are its methods.
+
+    ``columns`` are the numbers compared, ``spread`` those projected (a subset
+    that tells records apart), ``carry`` the columns kept of each side. Other
+    columns are not looked at, carried ones may be null; empty inputs give no
+    rows, repeated rows count as rows.
     """
-    t = training.select(F.struct("*").alias("_r"), feature_array(features).alias("_f"))
-    vid = F.struct(F.xxhash64("_f").alias("a"), F.xxhash64(F.lit(7), F.col("_f")).alias("b"))
-    classes = t.withColumn("_v", vid).groupBy("_v").agg(F.first("_f").alias("_f"), F.count(F.lit(1)).alias("_n"))
-    classes = classes.select("_n", *[F.col("_f")[i].alias(c) for i, c in enumerate(features)])
-    pairs = near_pairs(classes, evaluation, features, hashed, radius, width, {"_n": F.col("_n")}, evaluation_carry)
-    keys = list(evaluation_carry)
-    hits = pairs.groupBy(*keys).agg(
-        F.sum(F.when(F.col("distance") == 0, F.col("_n")).otherwise(0)).alias("n_exact"),
-        F.sum(F.when(F.col("distance") > 0, F.col("_n")).otherwise(0)).alias("n_near"),
-    )
-    everyone = evaluation.select(*[c.alias(n) for n, c in evaluation_carry.items()])
-    # carried columns may be null, so they are matched null-safely
-    found = hits.withColumnsRenamed({k: f"_k_{k}" for k in keys})
-    same = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]
-    return everyone.join(found, same, "left").na.fill(0, ["n_exact", "n_near"]).select(*keys, "n_exact", "n_near")
+
+    def __init__(self, training: DataFrame, evaluation: DataFrame, columns: list[str], spread: list[str], radius: float, width: float, training_carry: dict[str, Column], evaluation_carry: dict[str, Column]):
+        if width <= 2 * (radius + LARGEST * 1e-13):
+            raise ValueError("the cells must be wider than twice the radius")
+        self.columns, self.radius, self.keys = columns, radius, (list(training_carry), list(evaluation_carry))
+        self.sources = training, evaluation
+        a, b = record_hash(columns)
+        sums = _sums(spread)
+
+        def keyed(df: DataFrame, carry: dict[str, Column], cells: Column) -> DataFrame:
+            inside = F.transform(F.array(F.struct(sums.alias("s"))), lambda t: cells(t["s"]))[0]  # the sums are computed once
+            return df.select(*[c.alias(n) for n, c in carry.items()], a.alias("_a"), b.alias("_b"), inside.alias("_cells"), _finite(columns).alias("_ok"))
+
+        self.t = materialise(keyed(training, training_carry, lambda s: F.array(cell_hash(s, width))).filter("_ok").drop("_ok"), "training-keys")
+        self.e = materialise(keyed(evaluation, evaluation_carry, lambda s: probes(s, width, radius)), "evaluation-keys")
+        self._near: DataFrame | None = None
+
+    def near(self) -> DataFrame:
+        """``ta, tb, ea, eb, distance``: pairs of different classes within the radius."""
+        if self._near is None:
+            classes = lambda df: df.groupBy("_a", "_b").agg(F.first("_cells").alias("_cells")).withColumn("_h", F.explode("_cells")).drop("_cells")
+            t = classes(self.t).withColumnsRenamed({"_a": "ta", "_b": "tb"})
+            e = classes(self.e.filter("_ok")).withColumnsRenamed({"_a": "ea", "_b": "eb"})
+            met = materialise(t.join(e, "_h").filter("ta <> ea OR tb <> eb").select("ta", "tb", "ea", "eb"), "meetings")
+            pair = met.join(self._vectors(0, met, "ta", "tb", "_f"), ["ta", "tb"]).join(self._vectors(1, met, "ea", "eb", "_g"), ["ea", "eb"])
+            close = pair.withColumn("distance", F.sqrt(squared_distance(F.col("_f"), F.col("_g")))).filter(F.col("distance") <= self.radius)
+            self._near = materialise(close.select("ta", "tb", "ea", "eb", "distance"), "near")
+        return self._near
+
+    def _vectors(self, side: int, met: DataFrame, a: str, b: str, name: str) -> DataFrame:
+        """The vector of each class of one side that met another."""
+        ha, hb = record_hash(self.columns)
+        all_ = self.sources[side].select(ha.alias(a), hb.alias(b), numbers(self.columns).alias(name))
+        return all_.join(met.select(a, b).distinct(), [a, b], "left_semi").groupBy(a, b).agg(F.first(name).alias(name))
+
+    def pairs(self) -> DataFrame:
+        """Every (training, evaluation) pair of rows that are equal or within the
+        radius: the carried columns of both sides (their names must differ) and ``distance``."""
+        own_t, own_e = self.keys
+        t, e = self.t.select(*own_t, F.col("_a").alias("ta"), F.col("_b").alias("tb")), self.e.filter("_ok").select(*own_e, F.col("_a").alias("ea"), F.col("_b").alias("eb"))
+        exact = t.join(e, [t["ta"] == e["ea"], t["tb"] == e["eb"]]).select(*own_t, *own_e, F.lit(0.0).alias("distance"))
+        close = self.near().join(t, ["ta", "tb"]).join(e, ["ea", "eb"]).select(*own_t, *own_e, "distance")
+        return exact.unionByName(close)
+
+    def classes(self) -> DataFrame:
+        """Per evaluation record its carried columns, ``n_exact`` and ``n_near``:
+        training rows equal to it, and others within the radius."""
+        n = self.t.groupBy("_a", "_b").agg(F.count(F.lit(1)).alias("_n"))
+        near = self.near().join(n.withColumnsRenamed({"_a": "ta", "_b": "tb"}), ["ta", "tb"]).groupBy(F.col("ea").alias("_a"), F.col("eb").alias("_b")).agg(F.sum("_n").alias("n_near"))
+        every = self.e.join(n.withColumnRenamed("_n", "n_exact"), ["_a", "_b"], "left").join(near, ["_a", "_b"], "left")
+        return every.select(*self.keys[1], F.coalesce("n_exact", F.lit(0)).alias("n_exact"), F.coalesce("n_near", F.lit(0)).alias("n_near"))
+
+    def counts(self, *by: str) -> DataFrame:
+        """Per value of the carried evaluation columns ``by``: ``n_rows``, and rows
+        that training has exactly, nearly, or at all. Evaluation is folded to
+        one row per class and ``by`` before it is joined."""
+        folded = self.e.groupBy("_a", "_b", *by).agg(F.count(F.lit(1)).alias("_rows"))
+        held = self.t.select("_a", "_b").distinct().withColumn("_exact", F.lit(1))
+        near = self.near().select(F.col("ea").alias("_a"), F.col("eb").alias("_b")).distinct().withColumn("_close", F.lit(1))
+        j = folded.join(held, ["_a", "_b"], "left").join(near, ["_a", "_b"], "left")
+        total = lambda c: F.sum(F.when(c, F.col("_rows")).otherwise(0))
+        exact, close = F.col("_exact").isNotNull(), F.col("_close").isNotNull()
+        return j.groupBy(*by).agg(F.sum("_rows").alias("n_rows"), total(exact).alias("exact_rows"), total(close).alias("near_rows"), total(exact | close).alias("overlap_rows"))

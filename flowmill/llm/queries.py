@@ -42,32 +42,39 @@ SAMPLE_SHARE = 0.2
 MAX_VOCABULARY = 10_000
 
 
+def _fixed(spark: SparkSession, d: str, name: str) -> list:
+    """A small fixed table; raises if it is not small."""
+    return proportions.bounded(table(spark, d, name), MAX_VOCABULARY, f"rows of {name}")
+
+
 def _p3_targets(spark: SparkSession, d: str) -> list:
-    rows = table(spark, d, "sample_targets").limit(MAX_VOCABULARY).collect()  # a fixed table
-    return sorted(rows, key=lambda r: r["attack"])
+    return sorted(_fixed(spark, d, "sample_targets"), key=lambda r: r["attack"])
 
 
-def _p3_usable(spark: SparkSession, d: str, columns: list[str]) -> DataFrame:
+def _p3_usable(spark: SparkSession, d: str) -> DataFrame:
     """Rows whose Attack names a class and whose Label agrees with it; ``attack``
-    is the class as spelled in sample_targets (else as in label_vocab)."""
+    is the class as spelled in sample_targets (else as in label_vocab),
+    ``protocol`` one of tcp, udp, icmp and other (null too)."""
     vocab = table(spark, d, "label_vocab").filter("dataset = 'cicids2018'").select(label_key("raw_label").alias("_key"), "raw_label").dropDuplicates(["_key"])
     targets = table(spark, d, "sample_targets").select(label_key("attack").alias("_key"), F.col("attack").alias("_spelled")).dropDuplicates(["_key"])
     names = vocab.join(targets, "_key", "left").select("_key", F.coalesce("_spelled", "raw_label").alias("attack"))
-    rows = table(spark, d, "nf_cicids2018_v3").select(*columns, F.col("Label").alias("label"), label_key("Attack").alias("_key"))
+    protocol = F.when(F.col("PROTOCOL") == 6, "tcp").when(F.col("PROTOCOL") == 17, "udp").when(F.col("PROTOCOL") == 1, "icmp").otherwise("other")
+    rows = table(spark, d, "nf_cicids2018_v3").select("flow_id", F.col("Label").alias("label"), protocol.alias("protocol"), label_key("Attack").alias("_key"))
     joined = rows.join(broadcast_if_small(names, MAX_VOCABULARY), "_key")
     return joined.filter(F.col("label") == F.when(F.col("_key") == "benign", 0).otherwise(1)).drop("_key")
 
 
-def _p3_plan(spark: SparkSession, d: str, columns: list[str]):
+def _p3_plan(spark: SparkSession, d: str):
+    """Margins: Attack and Label as targeted, and crossing them the protocols in
+    the proportions they have."""
     targets = _p3_targets(spark, d)
     shares = {r["attack"]: r["target_share"] for r in targets}
     by_label: dict = {}
     for r in targets:
         by_label[r["label"]] = by_label.get(r["label"], 0.0) + r["target_share"]
-    rows, plan = proportions.proportional_plan(
-        _p3_usable(spark, d, columns), {"attack": F.col("attack"), "label": F.col("label")}, F.col("flow_id"),
-        [proportions.Margin("attack", shares), proportions.Margin("label", by_label)], {r["attack"]: r["min_rows"] for r in targets}, SAMPLE_SHARE,
-    )
+    margins = [proportions.Margin("attack", shares), proportions.Margin("label", by_label), proportions.Margin("protocol", None)]
+    cells = {n: F.col(n) for n in ("attack", "label", "protocol")}
+    rows, plan = proportions.proportional_plan(_p3_usable(spark, d), cells, F.col("flow_id"), margins, {r["attack"]: r["min_rows"] for r in targets}, SAMPLE_SHARE)
     return rows, plan, [(r["attack"], r["target_share"], r["min_rows"]) for r in targets]
 
 
@@ -79,19 +86,46 @@ _P3_REPORT = (
 
 def p3_report(spark: SparkSession, d: str) -> DataFrame:
     """Per class: target, rows available, drawn and taken, and the gaps left."""
-    _, plan, targets = _p3_plan(spark, d, ["flow_id"])
-    return spark.createDataFrame(proportions.gap_report(plan, "attack", targets), _P3_REPORT)
+    rows, plan, targets = _p3_plan(spark, d)
+    return spark.createDataFrame(proportions.gap_report(plan, proportions.draw_counts(rows, plan), targets), _P3_REPORT)
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    """Classes for which the target or the minimum cannot be had."""
+    """Classes whose gap the repaired sample could not close."""
     return p3_report(spark, d).filter("short_of_share OR short_of_minimum").select("attack")
 
 
 def p3_sample(spark: SparkSession, d: str) -> DataFrame:
-    """The sampled flows: flow_id, attack, label."""
-    rows, plan, _ = _p3_plan(spark, d, ["flow_id"])
-    return proportions.proportional_sample(rows, plan).select("flow_id", "attack", "label")
+    """The sampled flows: flow_id, attack, label, protocol."""
+    rows, plan, _ = _p3_plan(spark, d)
+    return proportions.proportional_sample(rows, plan).select("flow_id", "attack", "label", "protocol")
+
+
+def p3_margins(spark: SparkSession, d: str) -> DataFrame:
+    """Per category of each margin: its share among usable rows, after raking, and in the sample."""
+    rows, plan, _ = _p3_plan(spark, d)
+    taken = proportions.proportional_sample(rows, plan).groupBy("attack", "label", "protocol").agg(F.count(F.lit(1)).alias("n")).collect()  # at most one row per cell
+    out = []
+    for m in ("attack", "label", "protocol"):
+        for v in sorted({c["cell"][m] for c in plan.cells}, key=str):
+            mine = [c for c in plan.cells if c["cell"][m] == v]
+            share = lambda part, whole: float(part) / max(float(whole), 1e-12)
+            out.append((m, str(v), share(sum(c["available"] for c in mine), sum(c["available"] for c in plan.cells)), share(sum(c["fitted"] for c in mine), sum(c["fitted"] for c in plan.cells)),
+                        share(sum(r["n"] for r in taken if r[m] == v), sum(r["n"] for r in taken))))
+    return spark.createDataFrame(out, "margin string, category string, table_share double, raked_share double, sample_share double")
+
+
+def p3_sample_facts(spark: SparkSession, d: str) -> DataFrame:
+    """What must hold of the sample, in one row: its size, distinct flows, flows
+    that are not usable, and the classes below their minimum though they have the rows."""
+    s = p3_sample(spark, d)
+    usable = _p3_usable(spark, d).select("flow_id", "attack", "label")
+    per = s.groupBy("attack").agg(F.count(F.lit(1)).alias("taken"))
+    have = usable.groupBy("attack").agg(F.count(F.lit(1)).alias("have"))
+    goal = table(spark, d, "sample_targets").join(have, "attack", "left").join(per, "attack", "left").na.fill(0, ["have", "taken"])
+    low = goal.agg(F.sum(F.when(F.col("taken") < F.least("min_rows", "have"), 1).otherwise(0)).alias("v"))
+    odd = s.join(usable, ["flow_id", "attack", "label"], "left_anti").agg(F.count(F.lit(1)).alias("v"))
+    return s.agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("flow_id").alias("n_flows")).withColumns({"not_usable": odd.scalar(), "below_minimum": low.scalar()})
 
 
 _P3_USABLE = f"""SELECT v.key, count(*) n FROM (SELECT DISTINCT {label_key_sql("raw_label")} AS key FROM label_vocab WHERE dataset = 'cicids2018') v
@@ -100,43 +134,47 @@ _P3_USABLE = f"""SELECT v.key, count(*) n FROM (SELECT DISTINCT {label_key_sql("
 
 # --- 4: records of training in evaluation splits ------------------------------
 
-RADIUS, CELL = 0.01, 1.0
+RADIUS, CELL = 0.01, 0.25
 _NOT_FEATURES = {"row_id", "dataset", "canonical_label", "FLOW_START_MILLISECONDS", "IPV4_SRC_ADDR", "IPV4_DST_ADDR", "L4_SRC_PORT", "L4_DST_PORT"}
 
 
 def _p4_features(df: DataFrame) -> tuple[list[str], list[str]]:
-    """All features, and those hashed: the continuous ones (not flags, one-hot
+    """All features, and those projected: the continuous ones (not flags, one-hot
     or histogram columns, which tell few records apart)."""
     names = [c for c in df.columns if c not in _NOT_FEATURES]
     dull = ("TCP_FLAGS", "CLIENT_TCP_FLAGS", "SERVER_TCP_FLAGS", "PROTOCOL_", "pkt_size_hist_norm_", "iat_undefined")
     return names, [c for c in names if not c.startswith(dull)]
 
 
-def _p4_tables(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+def _p4_overlaps(spark: SparkSession, d: str) -> overlaps.Overlaps:
+    train = table(spark, d, "train_features")
     val, test = (table(spark, d, f"{s}_features").withColumn("_split", F.lit(s)) for s in ("val", "test"))
-    return table(spark, d, "train_features"), val.unionByName(test)
+    names, spread = _p4_features(train)
+    carry = {"e": F.col("row_id"), "split": F.col("_split"), "source": overlaps.normalised(F.col("dataset"))}
+    return overlaps.Overlaps(train, val.unionByName(test), names, spread, RADIUS, CELL, {"t": F.col("row_id")}, carry)
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of a training and an evaluation row within distance 0.01."""
-    train, evaluation = _p4_tables(spark, d)
-    names, hashed = _p4_features(train)
-    pairs = overlaps.near_pairs(train, evaluation, names, hashed, RADIUS, CELL, {"t": F.col("row_id")}, {"e": F.col("row_id")})
-    return pairs.select(F.least("t", "e").alias("row_a"), F.greatest("t", "e").alias("row_b"))
+    return _p4_overlaps(spark, d).pairs().select(F.least("t", "e").alias("row_a"), F.greatest("t", "e").alias("row_b"))
 
 
 def p4_report(spark: SparkSession, d: str) -> DataFrame:
     """Per split and dataset: rows, and rows that occur in training exactly,
     nearly, or at all."""
-    train, evaluation = _p4_tables(spark, d)
-    names, hashed = _p4_features(train)
-    carry = {"split": F.col("_split"), "source": label_key("dataset"), "row": F.col("row_id")}
-    hits = overlaps.near_classes(train, evaluation, names, hashed, RADIUS, CELL, carry)
-    flag = lambda c: F.sum(F.when(c, 1).otherwise(0))
-    return hits.groupBy("split", "source").agg(
-        F.count(F.lit(1)).alias("n_rows"), flag(F.col("n_exact") > 0).alias("exact_rows"),
-        flag(F.col("n_near") > 0).alias("near_rows"), flag(F.col("n_exact") + F.col("n_near") > 0).alias("overlap_rows"),
-    )
+    return _p4_overlaps(spark, d).counts("split", "source")
+
+
+def p4_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Per evaluation row the number of equal and of other near rows of training."""
+    return _p4_overlaps(spark, d).classes().select(F.col("e").alias("row_id"), "split", "source", "n_exact", "n_near")
+
+
+_F84 = "[" + ", ".join(f"coalesce(x[{i}], 0)" for i in range(1, 85)) + "]"
+_P4_VECTORS = f"""v AS (SELECT split, row_id, source, {_F84} f FROM (SELECT split, row_id, source, list_value(*COLUMNS(* EXCLUDE (split, source, {", ".join(sorted(_NOT_FEATURES))}))) x FROM (
+    SELECT *, 'train' split, dataset source FROM train_features UNION ALL BY NAME SELECT *, 'val' split, dataset source FROM val_features UNION ALL BY NAME SELECT *, 'test' split, dataset source FROM test_features)))"""
+_P4_PAIRS = """t AS (SELECT row_id t, f, f[1] k FROM v WHERE split = 'train'), e AS (SELECT row_id e, split, source, f g, f[1] k FROM v WHERE split <> 'train'),
+    c AS (SELECT t, e, split, source, list_distance(f, g) dist FROM t JOIN e ON t.k BETWEEN e.k - 0.01 AND e.k + 0.01 WHERE list_distance(f, g) <= 0.01)"""
 
 
 # --- 5: percentiles -----------------------------------------------------------
@@ -238,7 +276,7 @@ def _carried(spark: SparkSession, d: str, path: str, flows: DataFrame, counts: D
 
 
 def _shares(spark: SparkSession, d: str) -> dict[str, float]:
-    return {r["split_name"]: r["target_share"] for r in table(spark, d, "split_shares").limit(1000).collect()}  # a fixed table
+    return {r["split_name"]: r["target_share"] for r in _fixed(spark, d, "split_shares")}
 
 
 def _attached(flows: DataFrame, components: DataFrame, counts: DataFrame, columns: list[str]) -> DataFrame:
@@ -362,7 +400,7 @@ def p9_run_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    p2_found, p2_top_items, p3_found, p3_report, p3_sample, p4_found, p4_report, p5_percentiles, p5_daily_states, p5_merged,
+    p2_found, p2_top_items, p3_found, p3_report, p3_sample, p3_margins, p3_sample_facts, p4_found, p4_report, p4_rows, p5_percentiles, p5_daily_states, p5_merged,
     p6_found, p6_splits, p6_extended, p6_report, p7_ids, p8_found, p8_mixture, p8_report, p9_found, p9_report, p9_cleaned, p9_run_pairs,
 )}
 
@@ -373,6 +411,12 @@ SQL = {
     "p3_found": f"""WITH u AS ({_P3_USABLE}), s AS (SELECT floor(coalesce(sum(n), 0) / 5) size FROM u)
         SELECT t.attack FROM sample_targets t CROSS JOIN s LEFT JOIN u ON u.key = {label_key_sql("t.attack")}
         WHERE coalesce(u.n, 0) < t.target_share * s.size OR coalesce(u.n, 0) < t.min_rows""",
+    "p3_sample_facts": f"SELECT floor(sum(n) / 5)::BIGINT n_rows, floor(sum(n) / 5)::BIGINT n_flows, 0::BIGINT not_usable, 0::BIGINT below_minimum FROM ({_P3_USABLE})",
+    "p4_found": f"WITH {_P4_VECTORS}, {_P4_PAIRS} SELECT least(t, e) row_a, greatest(t, e) row_b FROM c",
+    "p4_rows": f"""WITH {_P4_VECTORS}, {_P4_PAIRS}, n AS (SELECT e, count(*) FILTER (dist = 0) a, count(*) FILTER (dist > 0) b FROM c GROUP BY 1)
+        SELECT e.e row_id, split, replace(lower(source), '_', ' ') source, coalesce(a, 0) n_exact, coalesce(b, 0) n_near FROM e LEFT JOIN n ON n.e = e.e""",
+    "p4_report": f"""WITH {_P4_VECTORS}, {_P4_PAIRS}, n AS (SELECT e, count(*) FILTER (dist = 0) a, count(*) FILTER (dist > 0) b FROM c GROUP BY 1)
+        SELECT split, replace(lower(source), '_', ' ') source, count(*) n_rows, count(*) FILTER (a > 0) exact_rows, count(*) FILTER (b > 0) near_rows, count(*) FILTER (a + b > 0) overlap_rows FROM e LEFT JOIN n ON n.e = e.e GROUP BY 1, 2""",
     "p5_percentiles": f"""WITH v AS ({_P5_VALUES}), r AS (SELECT *, row_number() OVER (PARTITION BY attack, field_name ORDER BY x) k, count(*) OVER (PARTITION BY attack, field_name) n FROM v)
         SELECT attack, field_name, p.p, x AS value, n FROM r JOIN (SELECT unnest({PERCENTILES})::DOUBLE p) p ON k = greatest(1, ceil(p.p * n))""",
     "p6_found": f"""WITH t AS (SELECT flow_id, IPV4_SRC_ADDR w, {ipv4_sql("IPV4_SRC_ADDR")} addr FROM nf_cicids2018_v3),

@@ -45,15 +45,17 @@ def _plan(spark, df, shares, minimums, share=0.5):
 
 def test_sample_meets_shares_and_repairs_minimums(spark):
     cats = ["big"] * 3000 + ["mid"] * 900 + ["small"] * 60 + [None] * 40
-    df = spark.createDataFrame(list(enumerate(cats)), "id bigint, cat string").withColumn("_bucket", F.lit(1)).withColumn("cut", F.lit(2))
+    df = spark.createDataFrame(list(enumerate(cats)), "id bigint, cat string").withColumn("_bucket", F.lit(1)).withColumn("_cut", F.lit(2))
     r, plan = _plan(spark, df, {"big": 0.5, "mid": 0.49, "small": 0.01}, {"small": 40})
     got = proportions.proportional_sample(r, plan)
-    assert got.columns == ["id", "cat", "_bucket", "cut"]
+    assert got.columns == ["id", "cat", "_bucket", "_cut"]
     n = Counter(x[1] for x in rows(got))
     total = (3000 + 900 + 60) // 2
     assert sum(n.values()) == total and len({x[0] for x in rows(got)}) == total
     assert 40 <= n["small"] <= 45 and n["mid"] == 900  # all of mid there are
-    report = {x[0]: x for x in proportions.gap_report(plan, "cat", [("big", 0.5, 0), ("mid", 0.49, 0), ("small", 0.01, 40), ("none", 0.1, 5)])}
+    drawn = proportions.draw_counts(r, plan)
+    assert abs(sum(drawn.values()) - total) < 60 and drawn["small"] < n["small"] and drawn["mid"] < 900  # before the repair
+    report = {x[0]: x for x in proportions.gap_report(plan, drawn, [("big", 0.5, 0), ("mid", 0.49, 0), ("small", 0.01, 40), ("none", 0.1, 5)])}
     assert report["mid"][9] and not report["big"][9] and report["none"][9] and report["none"][10] and not report["small"][10]
 
 
@@ -67,7 +69,32 @@ def test_sample_of_nothing(spark):
     df = spark.createDataFrame([], "id bigint, cat string")
     r, plan = _plan(spark, df, {"a": 1.0}, {"a": 3})
     assert rows(proportions.proportional_sample(r, plan)) == []
-    assert proportions.gap_report(plan, "cat", [("a", 1.0, 3)])[0][10]
+    assert proportions.gap_report(plan, {}, [("a", 1.0, 3)])[0][10]
+
+
+def test_sample_holds_the_smallest_keys_of_each_class_over_crossing_margins(spark):
+    rng = random.Random(8)
+    data = [(i, "ab"[rng.random() < 0.2], "xyz"[rng.randrange(3)] if rng.random() < 0.9 else "x") for i in range(4000)]
+    df = spark.createDataFrame(data, "id bigint, cat string, side string")
+    margins = [proportions.Margin("cat", {"a": 0.5, "b": 0.5}), proportions.Margin("side", {"x": 0.2, "y": 0.4, "z": 0.4})]
+    r, plan = proportions.proportional_plan(df, {"cat": F.col("cat"), "side": F.col("side")}, F.col("id"), margins, {}, 0.1)
+    got = rows(proportions.proportional_sample(r, plan))
+    assert len(got) == 400 and abs(Counter(x[1] for x in got)["a"] - 200) <= 1 and abs(Counter(x[2] for x in got)["x"] - 80) < 30
+    weight = {(c["cell"]["cat"], c["cell"]["side"]): c["weight"] for c in plan.cells}
+    assert np.isclose(sum(c["fitted"] for c in plan.cells if c["cell"]["side"] == "y"), 160, rtol=1e-3)
+    keys = {x["id"]: -np.log(x["_u"]) / weight[x["cat"], x["side"]] for x in r.select("_row.*", "_u").collect()}
+    for c in "ab":
+        mine = sorted(keys[i] for i, cat, _ in data if cat == c)
+        taken = sorted(keys[x[0]] for x in got if x[1] == c)
+        assert np.allclose(taken, mine[: len(taken)])
+    drawn = proportions.draw_counts(r, plan)
+    assert drawn == Counter(cat for i, cat, _ in data if keys[i] <= plan.threshold)
+
+
+def test_too_many_cells_raise(spark):
+    df = spark.createDataFrame([(i, f"c{i}") for i in range(30)], "id bigint, cat string")
+    with pytest.raises(ValueError, match="more than 20 cells"):
+        proportions.proportional_plan(df, {"cat": F.col("cat")}, F.col("id"), [proportions.Margin("cat", {})], {}, 0.5, max_cells=20)
 
 
 def test_raking_fits_two_margins():
@@ -80,42 +107,52 @@ def test_raking_fits_two_margins():
 
 
 @pytest.mark.parametrize("width", [0.05, 1.0])
-def test_near_pairs_lose_nothing(spark, width):
+@pytest.mark.parametrize("n", [12, 3])
+def test_near_pairs_lose_nothing(spark, width, n):
     rng = np.random.default_rng(3)
-    train = rng.normal(size=(120, 12)).round(2)
-    train[5, 3], train[6] = np.nan, train[7]
-    noise = rng.normal(size=(120, 12))
+    train = rng.normal(size=(120, n)).round(2)
+    train[5, 2], train[6] = np.nan, train[7]
+    noise = rng.normal(size=(120, n))
     noise *= rng.uniform(0, 0.02, size=(120, 1)) / np.linalg.norm(noise, axis=1, keepdims=True)
     ev = np.vstack([train + noise, train[:10]])
-    names = [f"f{i}" for i in range(12)]
-    clean = lambda m: [[None if np.isnan(x) and j == 3 and i % 2 else float(x) for j, x in enumerate(r)] for i, r in enumerate(m)]
+    names = [f"f{i}" for i in range(n)]
+    clean = lambda m: [[None if np.isnan(x) and j == 2 and i % 2 else float(x) for j, x in enumerate(r)] for i, r in enumerate(m)]
     make = lambda m, base: spark.createDataFrame([(base + i, "s", *r) for i, r in enumerate(clean(m))], f"id bigint, distance string, {', '.join(n + ' double' for n in names)}")
     t, e = make(train, 0), make(ev, 1000)
-    got = {(r[0], r[1]) for r in rows(overlaps.near_pairs(t, e, names, names, 0.01, width, {"t": F.col("id")}, {"e": F.col("id")}))}
+    got = [(r[0], r[1]) for r in rows(overlaps.Overlaps(t, e, names, names, 0.01, width, {"t": F.col("id")}, {"e": F.col("id")}).pairs())]
     read = lambda m: np.array([[0.0 if x is None else x for x in r] for r in clean(m)])
     d = np.linalg.norm(read(train)[:, None] - read(ev)[None], axis=2)
-    assert got == {(i, 1000 + j) for i, j in zip(*np.where(d <= 0.01), strict=True)}
-    assert len(got) > 20
+    assert set(got) == {(i, 1000 + j) for i, j in zip(*np.where(d <= 0.01), strict=True)}
+    assert len(got) == len(set(got)) > 20
 
 
-def test_rows_near_many_borders_still_match(spark):
-    edge = overlaps.OFFSET + 1e-4
-    names = [f"f{i}" for i in range(12)]
-    t = spark.createDataFrame([(1, *[edge - 2e-4] * 12)], "id bigint, " + ", ".join(n + " double" for n in names))
-    e = spark.createDataFrame([(2, *[edge] * 12), (3, *[edge + 1] * 12)], t.schema)
-    assert [r[:2] for r in rows(overlaps.near_pairs(t, e, names, names, 0.01, 1.0, {"a": F.col("id")}, {"b": F.col("id")}))] == [(1, 2)]
+def test_rows_near_all_borders_still_match(spark):
+    edge = (overlaps.OFFSET + 3) * 0.25
+    names = [f"f{i}" for i in range(overlaps.PROJECTIONS)]  # each is a projection of its own
+    t = spark.createDataFrame([(1, *[edge - 2e-4] * 10), (9, *[edge + 2e-4, *[edge - 2e-4] * 9])], "id bigint, " + ", ".join(n + " double" for n in names))
+    e = spark.createDataFrame([(2, *[edge + 1e-4] * 10), (3, *[edge + 1] * 10)], t.schema)
+    got = overlaps.Overlaps(t, e, names, names, 0.01, 0.25, {"a": F.col("id")}, {"b": F.col("id")}).pairs()
+    assert sorted(r[:2] for r in rows(got)) == [(1, 2), (9, 2)]
 
 
-def test_near_classes_counts_copies_with_null_sources(spark):
+def test_overlap_classes_and_counts_with_null_sources(spark):
     t = spark.createDataFrame([(1, 0.5), (2, 0.5), (3, 0.505), (4, None), (5, float("nan")), (6, float("inf"))], "id bigint, x double")
-    e = spark.createDataFrame([(10, None, 0.5), (11, "s", 0.0), (12, "s", float("nan")), (13, "s", 9.0), (14, "s", float("inf"))], "id bigint, src string, x double")
-    got = {r[0]: r[2:] for r in rows(overlaps.near_classes(t, e, ["x"], ["x"], 0.01, 1.0, {"row": F.col("id"), "source": F.col("src")}))}
-    assert got == {10: (2, 1), 11: (1, 0), 12: (0, 0), 13: (0, 0), 14: (0, 0)}
+    e = spark.createDataFrame([(10, None, 0.5), (11, "s", 0.0), (12, "s", float("nan")), (13, "s", 9.0), (14, "s", float("inf")), (15, "s", -0.0), (None, "s", 0.509)], "id bigint, src string, x double")
+    o = overlaps.Overlaps(t, e, ["x"], ["x"], 0.01, 1.0, {"t": F.col("id")}, {"row": F.col("id"), "source": F.col("src")})
+    assert {r[0]: r[2:] for r in rows(o.classes())} == {10: (2, 1), 11: (1, 0), 12: (0, 0), 13: (0, 0), 14: (0, 0), 15: (1, 0), None: (0, 3)}
+    assert sorted(rows(o.counts("source")), key=str) == [("s", 6, 2, 1, 3), (None, 1, 1, 1, 1)]
 
 
-def test_near_pairs_of_nothing(spark):
+def test_canonical_texts(spark):
+    df = spark.createDataFrame([("  Ton--IoT!", 1.0), ("ton iot", 1.0), ("toniot", 1.0), (None, 1.0)], "s string, x double")
+    h = [tuple(r) for r in df.select(*overlaps.record_hash(["x"], ["s"])).collect()]
+    assert h[0] == h[1] and len(set(h)) == 3
+
+
+def test_overlaps_of_nothing(spark):
     e = spark.createDataFrame([], "id bigint, x double")
-    assert rows(overlaps.near_pairs(e, e, ["x"], ["x"], 0.01, 1.0, {"a": F.col("id")}, {"b": F.col("id")})) == []
+    o = overlaps.Overlaps(e, e, ["x"], ["x"], 0.01, 1.0, {"a": F.col("id")}, {"b": F.col("id")})
+    assert rows(o.pairs()) == rows(o.classes()) == rows(o.counts("b")) == []
 
 
 # --- 5 -----------------------------------------------------------------------------
