@@ -20,13 +20,14 @@ bounds; the relative error is at most ``2 ** (1 / cells_per_octave) - 1``.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowmill.plans.shared import broadcast_if_small, materialise
 
 SECTIONS = 1024
-MAX_PASSES = 64
 #: Intervals above this many rows are joined by a shuffle instead of a broadcast.
 BROADCAST_INTERVALS = 100_000
 CELLS_PER_OCTAVE = 32
@@ -91,9 +92,9 @@ def exact_percentiles(df: DataFrame, group: Column, fields: dict[str, Column], p
     ranked = sizes.select("grp", "field", "lo", "hi", _ranks(percentiles).alias("r"))
     state = ranked.groupBy("grp", "field", "lo", "hi").agg(F.collect_list("r").alias("ranks")).withColumn("passes", F.lit(1))
     done, open_ = state.filter("lo = hi"), state.filter("lo < hi").drop("passes")
-    for turn in range(2, MAX_PASSES):
-        if open_.isEmpty():
-            break
+    turn = 1
+    while not open_.isEmpty():
+        turn += 1  # every pass narrows every open interval, so this ends
         step = materialise(_narrow(source, open_, sections).withColumn("passes", F.lit(turn)), "p5-intervals")
         done = done.unionByName(step.filter("lo = hi"))
         open_ = step.filter("lo < hi").drop("passes")
@@ -109,7 +110,7 @@ def value_states(df: DataFrame, part: Column, group: Column, fields: dict[str, C
     a state has at most a few thousand rows, however many rows it stands for.
     Rows whose part is null form a part of their own (null).
     """
-    cell = F.floor(F.log2(1 + F.col("x")) * CELLS_PER_OCTAVE).cast("int")
+    cell = F.floor(F.ln(1 + F.col("x")) / math.log(2) * CELLS_PER_OCTAVE).cast("int")
     tagged = df.select(F.struct(part.alias("part"), group.alias("grp")).alias("_g"), *[c.alias(f"_x{i}") for i, c in enumerate(fields.values())])
     values = long_values(tagged, F.when(F.col("_g.grp").isNotNull(), F.col("_g")), {n: F.col(f"_x{i}") for i, n in enumerate(fields)})
     return values.groupBy(F.col("grp.part").alias("part"), F.col("grp.grp").alias("grp"), "field", cell.alias("cell")).agg(

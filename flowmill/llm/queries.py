@@ -213,9 +213,9 @@ def p5_merged(spark: SparkSession, d: str) -> DataFrame:
     return merged.select(F.col("grp").alias("attack"), F.col("field").alias("field_name"), "p", "low", "high", "n")
 
 
-_P5_VALUES = f"""SELECT v.raw_label attack, field_name, x FROM (
-    SELECT Attack, 'FLOW_DURATION_MILLISECONDS' field_name, FLOW_DURATION_MILLISECONDS x FROM nf_cicids2018_v3
-    UNION ALL SELECT Attack, 'IN_BYTES', IN_BYTES FROM nf_cicids2018_v3) f
+_P5_VALUES = f"""SELECT v.raw_label attack, field_name, x, ms FROM (
+    SELECT Attack, 'FLOW_DURATION_MILLISECONDS' field_name, FLOW_DURATION_MILLISECONDS x, FLOW_START_MILLISECONDS ms FROM nf_cicids2018_v3
+    UNION ALL SELECT Attack, 'IN_BYTES', IN_BYTES, FLOW_START_MILLISECONDS FROM nf_cicids2018_v3) f
     JOIN (SELECT {label_key_sql("raw_label")} AS key, min(raw_label) raw_label FROM label_vocab WHERE dataset = 'cicids2018' GROUP BY 1) v ON {label_key_sql("f.Attack")} = v.key
     WHERE isfinite(x) AND x >= 0"""
 
@@ -321,6 +321,67 @@ def p6_extended(spark: SparkSession, d: str) -> DataFrame:
     return _attached(flows.select("flow_id", "written"), components, counts, ["component", "split"]).select("_row.flow_id", "component", "split")
 
 
+def _p6_quarantined(spark: SparkSession, d: str) -> DataFrame:
+    """``node, component, split, conflict``: split by the texts as written, then
+    carried on when the texts are found to name addresses."""
+    _, counts = _p6_nodes(spark, d)
+    alone = grouped_splits.assign_splits(counts.select(F.col("node").alias("component"), "cls", "n", F.lit(None).cast("string").alias("split")), _shares(spark, d))
+    first = materialise(alone.select(F.col("component").alias("node"), "component", "split"), "texts-split")
+    return materialise(grouped_splits.extend_components(_links(counts.select("node", "addr").distinct()), first), "relinked")
+
+
+def p6_quarantine(spark: SparkSession, d: str) -> DataFrame:
+    """Address texts whose splits were given before they were known to mean the
+    same, with the split they keep; the address that joins them is quarantined
+    where their splits differ."""
+    return _p6_quarantined(spark, d).select("node", "component", "split", "conflict")
+
+
+def p6_quarantine_facts(spark: SparkSession, d: str) -> DataFrame:
+    """What must hold of it, in one row: nodes, texts that lost their split,
+    components with several splits, addresses whose texts differ in split but
+    are not marked, and marked ones whose texts do not differ."""
+    t = _p6_quarantined(spark, d)
+    _, counts = _p6_nodes(spark, d)
+    texts = counts.select("node", "addr").distinct()
+    per = t.join(texts, "node").groupBy("addr").agg(F.countDistinct("split").alias("k"), F.max("conflict").alias("marked"))
+    addr = t.filter(F.col("node").startswith("addr ")).select(F.substring("node", 6, 64).alias("addr"), F.col("split").alias("given"))
+    both = per.join(addr, "addr").agg(
+        F.sum(F.when((F.col("k") > 1) & ~(F.col("marked") & (F.col("given") == grouped_splits.QUARANTINE)), 1).otherwise(0)).alias("unmarked"),
+        F.sum(F.when((F.col("k") == 1) & F.col("marked"), 1).otherwise(0)).alias("wrongly_marked"),
+    )
+    parted = t.groupBy("component").agg(F.countDistinct("split").alias("k")).agg(F.sum(F.when(F.col("k") > 1, 1).otherwise(0)).alias("parted"))
+    lost = t.filter(F.col("node").startswith("text ")).agg(F.sum(F.when(F.col("split").isNull() | (F.col("split") == grouped_splits.QUARANTINE), 1).otherwise(0)).alias("lost"))
+    one = lambda df, c: df.select(F.coalesce(c, F.lit(0)).cast("bigint")).scalar()
+    return t.agg(F.count(F.lit(1)).alias("n_nodes")).withColumns({"lost_split": one(lost, "lost"), "parted_components": one(parted, "parted"), "unmarked": one(both, "unmarked"), "wrongly_marked": one(both, "wrongly_marked")})
+
+
+def _split_facts(spark: SparkSession, d: str, splits: DataFrame) -> DataFrame:
+    flows = table(spark, d, "nf_cicids2018_v3").select("flow_id", ipv4("IPV4_SRC_ADDR").alias("addr"))
+    j = materialise(flows.join(splits, "flow_id"), "split-facts")
+    several = lambda by: j.filter(F.col(by).isNotNull()).groupBy(by).agg(F.min("split").alias("a"), F.max("split").alias("b")).agg(F.sum(F.when(F.col("a") < F.col("b"), 1).otherwise(0)).alias("n")).select(F.coalesce("n", F.lit(0)).cast("bigint")).scalar()
+    names = table(spark, d, "split_shares").select(F.col("split_name").alias("split"))
+    return j.agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("flow_id").alias("n_flows")).withColumns({
+        "parted_addresses": several("addr"), "parted_components": several("component"),
+        "no_split": j.join(names, "split", "left_anti").agg(F.count(F.lit(1)).alias("n")).scalar(),
+    })
+
+
+def p6_splits_facts(spark: SparkSession, d: str) -> DataFrame:
+    """What must hold of the splits, in one row: every flow has one, and no
+    address and no component has two."""
+    return _split_facts(spark, d, p6_splits(spark, d))
+
+
+def p6_extended_facts(spark: SparkSession, d: str) -> DataFrame:
+    """The same of the carried-on table, and the nodes of its first version that moved."""
+    out = p6_extended(spark, d)
+    path = component_path(spark, d)
+    first, last = kept(spark, path, 1), kept(spark, path)
+    moved = first.select("node", F.col("split").alias("was")).join(last.select("node", "split"), "node", "left").filter(~F.col("split").eqNullSafe(F.col("was")))
+    return _split_facts(spark, d, out).withColumn("moved", moved.agg(F.count(F.lit(1)).alias("n")).scalar())
+
+
 def p6_report(spark: SparkSession, d: str) -> DataFrame:
     """Rows and share of each split, per class and overall (class ``all``)."""
     flows, counts = _p6_nodes(spark, d)
@@ -401,7 +462,7 @@ def p9_run_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     p2_found, p2_top_items, p3_found, p3_report, p3_sample, p3_margins, p3_sample_facts, p4_found, p4_report, p4_rows, p5_percentiles, p5_daily_states, p5_merged,
-    p6_found, p6_splits, p6_extended, p6_report, p7_ids, p8_found, p8_mixture, p8_report, p9_found, p9_report, p9_cleaned, p9_run_pairs,
+    p6_found, p6_splits, p6_extended, p6_report, p6_quarantine, p6_quarantine_facts, p6_splits_facts, p6_extended_facts, p7_ids, p8_found, p8_mixture, p8_report, p9_found, p9_report, p9_cleaned, p9_run_pairs,
 )}
 
 SQL = {
@@ -422,6 +483,14 @@ SQL = {
     "p6_found": f"""WITH t AS (SELECT flow_id, IPV4_SRC_ADDR w, {ipv4_sql("IPV4_SRC_ADDR")} addr FROM nf_cicids2018_v3),
         many AS (SELECT addr FROM t WHERE addr IS NOT NULL GROUP BY 1 HAVING count(DISTINCT w) > 1)
         SELECT flow_id FROM t JOIN many USING (addr) WHERE w <> addr""",
+    "p6_splits_facts": "SELECT count(*) n_rows, count(*) n_flows, 0::BIGINT parted_addresses, 0::BIGINT parted_components, 0::BIGINT no_split FROM nf_cicids2018_v3",
+    "p6_extended_facts": "SELECT count(*) n_rows, count(*) n_flows, 0::BIGINT parted_addresses, 0::BIGINT parted_components, 0::BIGINT no_split, 0::BIGINT moved FROM nf_cicids2018_v3",
+    "p6_quarantine_facts": f"""SELECT count(DISTINCT w) + count(DISTINCT addr) n_nodes, 0::BIGINT lost_split, 0::BIGINT parted_components, 0::BIGINT unmarked, 0::BIGINT wrongly_marked
+        FROM (SELECT IPV4_SRC_ADDR w, {ipv4_sql("IPV4_SRC_ADDR")} addr FROM nf_cicids2018_v3) WHERE addr IS NOT NULL""",
+    "p5_daily_states": f"""SELECT floor(ms / 86400000)::BIGINT AS day, attack, field_name, floor(ln(1 + x) / ln(2) * 32)::INT cell, count(*) n, min(x) min_x, max(x) max_x FROM ({_P5_VALUES}) GROUP BY 1, 2, 3, 4""",
+    "p5_merged": f"""WITH c AS (SELECT attack, field_name, floor(ln(1 + x) / ln(2) * 32)::INT cell, count(*) c, min(x) low, max(x) high FROM ({_P5_VALUES}) GROUP BY 1, 2, 3),
+        u AS (SELECT *, sum(c) OVER w upto, sum(c) OVER (PARTITION BY attack, field_name) n FROM c WINDOW w AS (PARTITION BY attack, field_name ORDER BY cell ROWS UNBOUNDED PRECEDING))
+        SELECT attack, field_name, p.p, low, high, n::BIGINT n FROM u JOIN (SELECT unnest({PERCENTILES})::DOUBLE p) p ON greatest(1, ceil(p.p * n)) BETWEEN upto - c + 1 AND upto""",
     "p9_found": """WITH w AS (SELECT DISTINCT doc_id, substr(text, i, 160) x FROM (SELECT doc_id, text, unnest(range(1, n_chars - 158)) i FROM documents WHERE n_chars >= 160)),
         h AS (SELECT md5(x) k, list(doc_id) ids FROM w GROUP BY x HAVING count(*) > 1), s AS (SELECT DISTINCT list_sort(ids) ids FROM h), e AS (SELECT ids, unnest(ids) a FROM s)
         SELECT DISTINCT a doc_a, b doc_b FROM (SELECT a, unnest(ids) b FROM e) WHERE a < b""",
