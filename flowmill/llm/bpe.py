@@ -68,6 +68,9 @@ class _Pieces(dict):
 
 #: Where the public vocabularies lie, unless a path is given.
 DEFAULT_DIR = "/opt/tokenizers"
+#: Bits of a token id; ids, lengths and pairs are packed into one integer.
+_BITS = 24
+_MASK = (1 << _BITS) - 1
 CACHE_PIECES, CACHE_PIECE_BYTES, CACHE_PAIRS = 200_000, 64, 500_000
 
 
@@ -97,10 +100,10 @@ class BytePairEncoder:
         self.tokens = _ranks(path)
         self.id_of = {t: i for i, t in enumerate(self.tokens) if t}
         self.halves = self._halves()
-        self.merged = {lr: i for i, lr in enumerate(self.halves) if lr[0] >= 0}
+        self.merged = {a << _BITS | b: i for i, (a, b) in enumerate(self.halves) if a >= 0}
         self.automaton = ahocorasick.Automaton()
         for t, i in self.id_of.items():
-            self.automaton.add_word(t.decode("latin-1"), (len(t), i))
+            self.automaton.add_word(t.decode("latin-1"), len(t) << _BITS | i)  # longer tokens are larger numbers
         self.automaton.make_automaton()
         self.shorter = self._shorter()
         self.blob = b"".join(self.tokens)
@@ -109,7 +112,7 @@ class BytePairEncoder:
 
     def _fresh(self) -> None:
         self.split = regex.compile(SPLIT)
-        self._pairs: dict[tuple[int, int], bool] = {}
+        self._pairs: dict[int, bool] = {}
         self._pieces = _Pieces(self._encode_raw)
 
     def __getstate__(self) -> dict:
@@ -161,57 +164,59 @@ class BytePairEncoder:
 
     def compatible(self, left: int, right: int) -> bool:
         """Whether the two tokens' bytes together encode to just them."""
-        known = self._pairs.get((left, right))
+        pair = left << _BITS | right
+        known = self._pairs.get(pair)
         if known is None:
             known = self._check(left, right)
             if len(self._pairs) >= CACHE_PAIRS:
                 self._pairs.clear()
-            self._pairs[left, right] = known
+            self._pairs[pair] = known
         return known
 
     def _check(self, a: int, b: int) -> bool:
         # Walk back in time: the later-made of the two border tokens is undone
         # first. `before` is the rank from which on a merge across the border
         # comes too late, as one of its sides had been merged on by then.
-        before = len(self.tokens)
+        merged, halves = self.merged.get, self.halves
+        before = len(halves)
         while True:
-            across = self.merged.get((a, b))
-            if across is not None and across < before:
+            if merged(a << _BITS | b, before) < before:
                 return False
-            if self.halves[a][0] < 0 and self.halves[b][0] < 0:
+            last, first = halves[a][1], halves[b][0]
+            if last < 0 and first < 0:
                 return True
             # ties (a == b): merging runs left to right, so a was made first
-            if self.halves[b][0] < 0 or (self.halves[a][0] >= 0 and a > b):
-                before, a = a, self.halves[a][1]
+            if first < 0 or (last >= 0 and a > b):
+                before, a = a, last
             else:
                 # a merge of equal rank further left still comes first
-                before, b = b + 1, self.halves[b][0]
+                before, b = b + 1, first
 
     def _encode_piece(self, piece: bytes) -> list[int]:
         n = len(piece)
-        longest, size = [-1] * n, [0] * n
-        for end, (length, token) in self.automaton.iter(piece.decode("latin-1")):
-            start = end - length + 1
-            if length > size[start]:
-                size[start], longest[start] = length, token
-        tokens, shorter, pairs, compatible = self.tokens, self.shorter, self._pairs, self.compatible
+        longest = [0] * n
+        for end, found in self.automaton.iter(piece.decode("latin-1")):
+            start = end + 1 - (found >> _BITS)
+            if found > longest[start]:
+                longest[start] = found
+        tokens, shorter, pairs, compatible = self.tokens, self.shorter, self._pairs.get, self.compatible
         out: list[int] = []
         dead: set[int] = set()
-        pos, last, token = 0, -1, longest[0]
+        pos, last, token = 0, -1, longest[0] & _MASK
         while pos < n:
             while token >= 0:
                 end = pos + len(tokens[token])
                 if end not in dead:
                     if last < 0:
                         break
-                    fits = pairs.get((last, token))
+                    fits = pairs(last << _BITS | token)
                     if fits or fits is None and compatible(last, token):
                         break
                 token = shorter[token]
             if token >= 0:
                 out.append(token)
                 pos, last = end, token
-                token = longest[pos] if pos < n else -1
+                token = longest[pos] & _MASK if pos < n else -1
             else:
                 dead.add(pos)
                 token = out.pop()
