@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from flowmill.functions import vec
 from flowmill.functions.mathx import probit
 from flowmill.operators.clean import feasible
+from flowmill.operators.ranking import ranked, uniform
 
 BUDGETS = (0, 1, 2, 4, 8, 16, 32, 64)
 SIGMAS = (0.0, 0.05, 0.1, 0.25, 0.5, 1.0)
@@ -21,11 +22,8 @@ _DURATIONS = ("FLOW_DURATION_MILLISECONDS", "DURATION_IN", "DURATION_OUT")
 
 
 def hashed_uniform(*parts: Column, seed: int = 0) -> Column:
-    """A number in (0, 1) fixed by BIGINT parts, by arithmetic any engine repeats."""
-    x = F.lit(seed * 40_503 + 1).cast("bigint")
-    for p in parts:
-        x = F.pmod(x * F.lit(1_003_987) + F.pmod(p.cast("bigint"), F.lit(1_000_003)) * F.lit(2_654_435), F.lit(1_000_003))
-    return (x + 0.5) / 1_000_003.5
+    """A number in [0, 1) fixed by its parts."""
+    return uniform(*parts, seed=seed)
 
 
 def inject_edges(targets: DataFrame, pool: DataFrame, window_ms: int, budgets: tuple = BUDGETS, spread: str = "all_strata", strata: int = 4, seed: int = 0) -> DataFrame:
@@ -39,8 +37,6 @@ def inject_edges(targets: DataFrame, pool: DataFrame, window_ms: int, budgets: t
     """
     if spread not in ("single_stratum", "all_strata"):
         raise ValueError(f"unknown spread {spread!r}")
-    from flowmill.operators.ranking import ranked
-
     each = targets.select(F.col("flow_id").alias("target_id"), F.col("ms").alias("at"), "src", "dst", F.explode(F.array(*[F.lit(b) for b in budgets])).alias("budget")).filter("budget > 0")
     each = each.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("budget") - 1)))
     u = hashed_uniform(F.col("target_id"), F.col("budget"), F.col("i"), seed=seed)
@@ -70,7 +66,7 @@ def jitter(df: DataFrame, key: str, sigmas: tuple = SIGMAS, seed: int = 0) -> Da
     f = {}
     for i, d in enumerate(("SRC_TO_DST_IAT", "DST_TO_SRC_IAT")):
         if f"{d}_AVG" in df.columns:
-            u = hashed_uniform(F.col(key), F.lit(i), seed=seed)
+            u = hashed_uniform(F.col(key), F.lit(i), seed=seed) * (1 - 1e-12) + 5e-13  # inside (0, 1)
             f[d] = F.exp(probit(u) * F.col("sigma"))
     for i, (d, c) in enumerate(f.items()):
         each = each.withColumn(f"_f{i}", c).withColumns({f"{d}_{s}": F.col(f"{d}_{s}") * F.col(f"_f{i}") for s in ("MIN", "AVG", "MAX", "STDDEV") if f"{d}_{s}" in df.columns})
@@ -120,7 +116,7 @@ def poison_drift(bank: DataFrame, poison: list[float], rate: float, momentum: fl
     accept = lambda cur: F.lit(True) if gate is None else F.exp((vec.dot(z, cur) - 1 + margin) / tau) >= gate
 
     def step(s, i):
-        tried = F.pmod(i * F.lit(2_654_435) + F.lit(seed), F.lit(1_000_003)) / 1_000_003.0 < rate
+        tried = uniform(i, seed=seed) < rate
         ok = tried & accept(s["v"])
         moved = vec.unit(F.zip_with(s["v"], z, lambda a, b: a * momentum + b * (1 - momentum)))
         return F.struct(F.when(ok, moved).otherwise(s["v"]).alias("v"), (s["a"] + ok.cast("int")).alias("a"), (s["t"] + tried.cast("int")).alias("t"))

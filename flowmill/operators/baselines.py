@@ -5,11 +5,14 @@ from __future__ import annotations
 
 import math
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowmill.functions import vec
 from flowmill.functions.mathx import log_sum_exp
+from flowmill.operators.ranking import ranked
+from flowmill.plans.shared import broadcast_if_small
 
 
 def _assembled(df: DataFrame, features: list[str], label: str | None) -> DataFrame:
@@ -46,13 +49,16 @@ def tabular(kind: str, train: DataFrame, test: DataFrame, features: list[str], l
 
 def identity_tree(train: DataFrame, test: DataFrame, source: str, target: str, ports: list[str], label: str) -> DataFrame:
     """The floor that identities alone reach: a tree of depth 8 on host codes
-    (ordinal; hosts unseen in train share one code) and ports."""
-    from pyspark.ml.feature import StringIndexer
+    (places in the order of train's hosts, as numbers; hosts unseen in train
+    share the code -1) and ports. Codes are a joined table, never a model's state."""
 
-    model = StringIndexer(inputCols=[source, target], outputCols=["_s", "_t"], handleInvalid="keep", stringOrderType="alphabetAsc").fit(train)
-    plain = lambda d: model.transform(d).withColumns({c: F.col(c).cast("double") for c in ("_s", "_t")})
-    strip = lambda d: d.select(*[F.col(c).alias(c, metadata={}) for c in d.columns])  # noqa: E731  codes as numbers, not categories
-    return tabular("dt", strip(plain(train)), strip(plain(test)), ["_s", "_t", *ports], label).drop("_s", "_t")
+    def coded(df: DataFrame, column: str, out: str) -> DataFrame:
+        hosts = train.select(F.col(column).alias("_host")).filter(F.col("_host").isNotNull()).distinct().withColumn("_all", F.lit(0))
+        codes = ranked(hosts, ["_all"], [F.col("_host").asc()]).select("_host", F.col("rank").cast("double").alias(out))
+        return df.join(broadcast_if_small(codes, 1_000_000), F.col(column) == F.col("_host"), "left").drop("_host").na.fill(-1.0, [out])
+
+    both = lambda d: coded(coded(d, source, "_s"), target, "_t")
+    return tabular("dt", both(train), both(test), ["_s", "_t", *ports], label).drop("_s", "_t")
 
 
 def reconstruction_error(train: DataFrame, test: DataFrame, features: list[str], k: int = 3) -> DataFrame:
@@ -124,7 +130,11 @@ def openmax_fit(df: DataFrame, label: str, logits: str, size: int, tail: int = 2
     far = df.join(F.broadcast(check_bank(means)), F.col(label) == F.col("class_id")).withColumn("d", F.sqrt(vec.total(F.zip_with(logits, "mean", lambda a, b: (a - b) * (a - b)))))
     w = Window.partitionBy("class_id").orderBy(F.desc("d"))
     top = far.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= tail).groupBy("class_id").agg(F.collect_list("d").alias("t"))
-    fit = F.udf(lambda t: weibull_fit(t), "shape double, scale double")  # once per class
+
+    @F.pandas_udf("shape double, scale double")
+    def fit(tails: pd.Series) -> pd.DataFrame:  # once per class
+        return pd.DataFrame([weibull_fit(list(t)) for t in tails], columns=["shape", "scale"])
+
     return top.withColumn("w", fit("t")).join(means, "class_id").select("class_id", "mean", "w.shape", "w.scale")
 
 

@@ -28,8 +28,9 @@ def drop_unusable(df: DataFrame, low_ms: int = schema.VALID_MS[0], high_ms: int
 
 
 def clip_negative(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Negative measures become 0; null and NaN stay as they are."""
-    return df.withColumns({c: F.when(F.col(c) < 0, F.lit(0).cast(df.schema[c].dataType)).otherwise(F.col(c)) for c in columns})
+    """Negative measures become 0; NaN becomes null, null stays."""
+    known = lambda c: F.nullif(F.col(c), F.lit(float("nan"))) if df.schema[c].dataType.typeName() in ("double", "float") else F.col(c)
+    return df.withColumns({c: F.when(F.col(c) < 0, F.lit(0).cast(df.schema[c].dataType)).otherwise(known(c)) for c in columns})
 
 
 def deduplicate(df: DataFrame, columns: list[str] | None = None) -> DataFrame:

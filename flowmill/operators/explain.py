@@ -81,26 +81,25 @@ def counterfactual(df: DataFrame, group: str, contribution: str, tie: str, need:
 
 def kernel_shap(df: DataFrame, vector: str, base: list[float], weights: list[float], coalitions: int = 200, seed: int = 0) -> DataFrame:
     """``shap``: Shapley estimates of a linear-cosine score by weighted least
-    squares over random coalitions; rows are solved alone, in Arrow batches."""
+    squares over random coalitions, in Arrow batches: the coalitions, and so the
+    solving matrix, are the same for all rows, so a batch is a few products."""
     b, w = np.array(base, dtype=float), np.array(weights, dtype=float)
 
+    m = len(b)
+    rng = np.random.default_rng(seed)
+    masks = np.zeros((coalitions, m))
+    for i, s in enumerate(rng.integers(1, m, size=coalitions)):
+        masks[i, rng.choice(m, size=s, replace=False)] = 1
+    masks = np.vstack([masks, np.ones((1, m))])
+    pull = np.sqrt(np.concatenate([np.ones(coalitions), [1e4]]))
+    solve = np.linalg.pinv(masks * pull[:, None])  # the same for all rows
+
     def run(v: pd.Series) -> pd.Series:
-        m = len(b)
-        rng = np.random.default_rng(seed)
-        size = rng.integers(1, m, size=coalitions)
-        masks = np.zeros((coalitions, m))
-        for i, s in enumerate(size):
-            masks[i, rng.choice(m, size=s, replace=False)] = 1
-        design = np.vstack([masks, np.ones((1, m))])
-        pull = np.concatenate([np.ones(coalitions), [1e4]])
-        out = []
-        for x in v:
-            x = np.asarray(x, dtype=float)
-            f = lambda y: y @ w / max(np.linalg.norm(y), 1e-12)
-            y = np.array([f(np.where(k > 0, x, b)) - f(b) for k in masks] + [f(x) - f(b)])
-            sol, *_ = np.linalg.lstsq(design * np.sqrt(pull)[:, None], y * np.sqrt(pull), rcond=None)
-            out.append(sol)
-        return pd.Series(out)
+        x = np.array(v.tolist(), dtype=float).reshape(len(v), m)
+        off = 1 - masks
+        score = ((x * w) @ masks.T + off @ (b * w)) / np.maximum(np.sqrt((x * x) @ masks.T + off @ (b * b)), 1e-12)
+        y = score - (b @ w) / max(np.linalg.norm(b), 1e-12)
+        return pd.Series(list((y * pull) @ solve.T))
 
     return df.withColumn("shap", F.pandas_udf(run, "array<double>")(F.transform(F.col(vector), lambda y: y.cast("double"))))
 

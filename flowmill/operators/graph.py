@@ -178,12 +178,23 @@ def node_features(binned: DataFrame, long_ms: int, k: int = CAP, port: str | Non
     )
 
 
-def send_gaps(binned: DataFrame) -> DataFrame:
+def send_gaps(binned: DataFrame, block_ms: int = 1_000) -> DataFrame:
     """Gap of each edge to its source's edge before it in the bin, and its log
-    in seconds; null for the first."""
-    w = Window.partitionBy("bin", "src").orderBy("ms", "flow_id")
-    gap = (F.col("ms") - F.lag("ms").over(w)).cast("bigint")
-    return binned.withColumn("gap_ms", gap).withColumn("log_gap", F.log1p(F.col("gap_ms") / 1000.0))
+    in seconds; null for the first.
+
+    Edges are ordered within blocks of time; the first of a block follows the
+    last of the source's block before, found among blocks, not edges. So a hot
+    source is never ordered in one task.
+    """
+    keys = ["bin", "src"]
+    cut = binned.withColumn("_block", F.floor(F.col("ms") / F.lit(block_ms)))
+    w = Window.partitionBy(*keys, "_block").orderBy("ms", "flow_id")
+    lasts = cut.groupBy(*keys, "_block").agg(F.max("ms").alias("_last")).withColumn("_before", F.lag("_last").over(Window.partitionBy(*keys).orderBy("_block")))
+    named = lasts.select(*[F.col(k).alias(f"_k_{k}") for k in [*keys, "_block"]], "_before")
+    same = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in [*keys, "_block"]]
+    gap = (F.col("ms") - F.coalesce("_lag", "_before")).cast("bigint")
+    out = cut.withColumn("_lag", F.lag("ms").over(w)).join(named, same, "left").withColumn("gap_ms", gap)
+    return out.withColumn("log_gap", F.log1p(F.col("gap_ms") / 1000.0)).select(*binned.columns, "gap_ms", "log_gap")
 
 
 def spectrum(binned: DataFrame, long_ms: int, bins: int = SPECTRUM, least: int = 8) -> DataFrame:

@@ -9,11 +9,14 @@ rows is never sorted in one task. Everything after the first fold is small.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowmill.operators.ranking import ranked
+from flowmill.operators.ranking import mixed, mixed_number, quantiles, ranked
 
 
 def _zero(c: Column) -> Column:
@@ -205,40 +208,98 @@ def forgetting(before: DataFrame, after: DataFrame) -> DataFrame:
 # --- bootstrap, latency, seeds ----------------------------------------------------------------
 
 
+_PRIME = (1 << 31) - 1
+_POISSON = [sum(math.exp(-1) / math.factorial(j) for j in range(k + 1)) for k in range(8)]
+
+
+def _draws(resamples: int, seed: int) -> list[tuple[int, int]]:
+    """Per resample the two numbers of its hash function of keys."""
+    return [(1 + mixed_number(b, "a", seed=seed) % (_PRIME - 1), mixed_number(b, "c", seed=seed) % _PRIME) for b in range(1, resamples + 1)]
+
+
+def _weights(keys: np.ndarray, a: int, c: int) -> np.ndarray:
+    """Poisson(1) weights: a row decides alone how often it is in a resample."""
+    u = ((keys * a + c) % _PRIME) / float(_PRIME)
+    return np.searchsorted(np.array(_POISSON), u, side="right")
+
+
 def bootstrap_means(df: DataFrame, values: dict[str, Column], key: str, resamples: int = 200, seed: int = 5) -> DataFrame:
     """``resample, n, <name>...``: the mean of each value in each resample, all on the
-    same draws (so differences are paired).
+    same draws (so differences are paired); null values count as 0.
 
-    Poisson(1) weights by hash instead of drawn indices: a row decides alone how
-    often it is in a resample, so rows are not moved; each partition folds its
-    share of every resample.
+    Poisson(1) weights by hash instead of drawn indices: rows are neither moved
+    nor multiplied. Each batch adds its weighted sums to those of its partition,
+    which leaves one row per resample.
     """
-    draws = df.select(F.col(key).alias("_k"), *[c.cast("double").alias(n) for n, c in values.items()]).withColumn("resample", F.explode(F.sequence(F.lit(1), F.lit(resamples))))
-    mixed = F.pmod(F.pmod(F.col("_k"), F.lit(1_000_003)) * F.lit(7_919) + F.col("resample") * F.lit(104_729) + F.lit(seed), F.lit(1_000_003))
-    plain = F.pmod(mixed * F.lit(2_654_435_761), F.lit(1_000_003)) / 1_000_003.0
-    wide = F.pmod(F.xxhash64("_k", "resample", F.lit(seed)), F.lit(1_000_000_007)) / 1_000_000_007.0
-    u = F.when(F.col("_k").between(0, 1_000_002), plain).otherwise(wide)  # keys beyond the modulus would repeat the draws of others
-    weight, cdf = F.lit(0), 0.0
-    for k in range(8):
-        cdf += math.exp(-1) / math.factorial(k)
-        weight = weight + F.when(u >= cdf, 1).otherwise(0)
-    drawn = draws.withColumn("_w", weight)
-    return drawn.groupBy("resample").agg(F.sum("_w").alias("n"), *[_ratio(F.sum(F.col("_w") * F.col(n)), F.sum("_w")).alias(n) for n in values])
+    pairs, names = _draws(resamples, seed), list(values)
+    rows = df.select((mixed(F.col(key), seed=seed) % F.lit(_PRIME)).alias("_k"), *[F.coalesce(c.cast("double"), F.lit(0.0)).alias(n) for n, c in values.items()])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((resamples, len(names) + 1))
+        for b in batches:
+            keys = b.column(0).to_numpy()
+            held = np.column_stack([np.ones(len(keys)), *[b.column(i + 1).to_numpy() for i in range(len(names))]])
+            for i, (a, c) in enumerate(pairs):
+                sums[i] += _weights(keys, a, c) @ held
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(1, resamples + 1, dtype=np.int32)), *[pa.array(sums[:, i]) for i in range(len(names) + 1)]], ["resample", "n", *names])
+
+    parts = rows.mapInArrow(run, ", ".join(["resample int, n double", *[f"`{n}` double" for n in names]]))
+    return parts.groupBy("resample").agg(F.sum("n").cast("bigint").alias("n"), *[_ratio(F.sum(n), F.sum("n")).alias(n) for n in names])
+
+
+def bootstrap_counts(df: DataFrame, groups: list[str], key: str, resamples: int = 200, seed: int = 5, max_groups: int = 10_000) -> DataFrame:
+    """``resample, groups..., n``: weighted rows of each tuple of ``groups`` (few:
+    truths and predictions) in each resample, for any metric of such counts."""
+    pairs = _draws(resamples, seed)
+    kinds = [F.col(g) for g in groups]
+    tuples = df.select(*kinds).distinct()
+    told = tuples.limit(max_groups + 1).collect()
+    if len(told) > max_groups:
+        raise ValueError(f"more than {max_groups} tuples of groups")
+    names = df.sparkSession.createDataFrame([(i, *t) for i, t in enumerate(told)], "_g int, " + ", ".join(f"`_n_{f.name}` {f.dataType.simpleString()}" for f in tuples.schema.fields))
+    same = [F.col(g).eqNullSafe(F.col(f"_n_{g}")) for g in groups]
+    rows = df.join(F.broadcast(names), same).select((mixed(F.col(key), seed=seed) % F.lit(_PRIME)).alias("_k"), "_g")
+    size = len(told)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((resamples, size))
+        for b in batches:
+            keys, g = b.column(0).to_numpy(), b.column(1).to_numpy()
+            for i, (a, c) in enumerate(pairs):
+                sums[i] += np.bincount(g, weights=_weights(keys, a, c), minlength=size)
+        for i in range(resamples):
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(size, i + 1, dtype=np.int32)), pa.array(np.arange(size, dtype=np.int32)), pa.array(sums[i])], ["resample", "_g", "n"])
+
+    folded = rows.mapInArrow(run, "resample int, _g int, n double").groupBy("resample", "_g").agg(F.sum("n").cast("bigint").alias("n")).filter("n > 0")
+    return folded.join(F.broadcast(names), "_g").select("resample", *[F.col(f"_n_{g}").alias(g) for g in groups], "n")
+
+
+def macro_f1(counts: DataFrame, by: list[str], y: str, pred: str) -> DataFrame:
+    """``by, macro_f1``: mean F1 over the classes of either side, per value of ``by``."""
+    true = counts.groupBy(*by, F.col(y).alias("cls")).agg(F.sum("n").alias("support"), F.sum(F.when(F.col(y) == F.col(pred), F.col("n")).otherwise(0)).alias("tp"))
+    made = counts.groupBy(*by, F.col(pred).alias("cls")).agg(F.sum("n").alias("predicted"))
+    j = true.join(made, [*by, "cls"], "full").na.fill(0, ["support", "tp", "predicted"])
+    return j.groupBy(*by).agg(F.avg(_ratio(2 * F.col("tp"), F.col("support") + F.col("predicted"))).alias("macro_f1"))
 
 
 def interval(means: DataFrame, name: str, level: float = 0.95) -> DataFrame:
-    """One row: mean and quantile bounds of the resampled means."""
+    """One row: mean, deviation and quantile bounds of the resampled means (one row
+    per resample, so few)."""
     a = (1 - level) / 2
     q = F.percentile(name, F.array(F.lit(a), F.lit(1 - a)))
-    return means.agg(F.avg(name).alias("mean"), q[0].alias("ci_lower"), q[1].alias("ci_upper"))
+    return means.agg(F.avg(name).alias("mean"), F.stddev_samp(name).alias("std"), q[0].alias("ci_lower"), q[1].alias("ci_upper"))
 
 
 def latency_percentiles(df: DataFrame, ms: str, groups: list[str] | None = None) -> DataFrame:
-    """p50, p90, p95, p99, mean and max; exact."""
-    q = F.percentile(ms, F.array(*[F.lit(p) for p in (0.5, 0.9, 0.95, 0.99)]))
-    return df.groupBy(*(groups or [])).agg(q.alias("_q"), F.avg(ms).alias("mean"), F.max(ms).alias("max"), F.count(ms).alias("n")).select(
-        *(groups or []), *[F.col("_q")[i].alias(n) for i, n in enumerate(("p50", "p90", "p95", "p99"))], "mean", "max", "n"
-    )
+    """p50, p90, p95, p99, mean and max; exact (see :func:`ranking.quantiles`)."""
+    g = groups or []
+    marks = {"p50": 0.5, "p90": 0.9, "p95": 0.95, "p99": 0.99}
+    q = quantiles(df, g, F.col(ms), list(marks.values())).groupBy(*g).agg(*[F.max(F.when(F.col("q") == v, F.col("value"))).alias(n) for n, v in marks.items()])
+    rest = df.groupBy(*g).agg(F.avg(ms).alias("mean"), F.max(ms).alias("max"), F.count(ms).alias("n"))
+    if not g:  # one row each
+        return rest.withColumns({n: q.select(n).scalar() for n in marks}).select(*marks, "mean", "max", "n")
+    joined = rest.withColumnsRenamed({x: f"_r_{x}" for x in g}).join(q, [F.col(f"_r_{x}").eqNullSafe(F.col(x)) for x in g], "left")
+    return joined.select(*[F.col(f"_r_{x}").alias(x) for x in g], *marks, "mean", "max", "n")
 
 
 def over_seeds(df: DataFrame, metric: str, value: str) -> DataFrame:
@@ -248,7 +309,7 @@ def over_seeds(df: DataFrame, metric: str, value: str) -> DataFrame:
 
 def threshold(df: DataFrame, value: str, q: float) -> DataFrame:
     """The q-quantile (linear between rows) for a cut-off; 0 for no rows."""
-    return df.agg(F.coalesce(F.percentile(value, F.lit(q)), F.lit(0.0)).alias("theta"))
+    return quantiles(df, [], F.col(value), [q]).agg(F.coalesce(F.max("value"), F.lit(0.0)).alias("theta"))
 
 
 # --- clusters ---------------------------------------------------------------------------------

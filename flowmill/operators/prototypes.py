@@ -147,11 +147,11 @@ def mixed_unknowns(df: DataFrame, key: str, label: str, vector: str, low: float
 
     Partners are found by rank: rows are ranked in hash order (balanced slices),
     and each is joined with the next rank, so there is one partner per row."""
-    from flowmill.operators.ranking import hash_order, ranked
+    from flowmill.operators.ranking import hash_order, ranked, uniform
 
     r = ranked(df.select(key, label, vector).withColumn("_all", F.lit(0)), ["_all"], [hash_order(key, 13), F.col(key)])
     nxt = r.select((F.col("rank") - 1).alias("rank"), F.col(label).alias("_l"), F.col(vector).alias("_v"), F.col(key).alias("partner"))
-    mu = F.lit(low) + hash_order(key, 17) / 1_000_003.0 * (high - low)
+    mu = F.lit(low) + uniform(F.col(key), seed=17) * (high - low)
     pair = r.join(nxt, "rank").filter(F.col(label) != F.col("_l")).withColumn("mu", mu)
     mixed = pair.withColumn("mixed", vec.unit(F.zip_with(vector, "_v", lambda a, b: a.cast("double") * F.col("mu") + b.cast("double") * (1 - F.col("mu")))))
     near = F.greatest(vec.cosine(F.col("mixed"), F.col(vector)), vec.cosine(F.col("mixed"), F.col("_v")))

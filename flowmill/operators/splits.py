@@ -11,7 +11,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowmill.operators.ranking import hash_order, ranked
+from flowmill.operators.ranking import hash_order, mixed, ranked, uniform
 
 UNKNOWN = "UNKNOWN"
 
@@ -60,9 +60,9 @@ def _lcg(seed: int):
 
 
 def host_disjoint(df: DataFrame, host: str, key: str, seed: int = 3, shares: tuple[float, float] = (0.70, 0.15)) -> DataFrame:
-    """Protocol D: all rows of a source host in one split, by a hash of the host
-    (arithmetic on BIGINT hosts). No shuffle: the split is a column."""
-    u = hash_order(host, seed) / 1_000_003.0
+    """Protocol D: all rows of a source host in one split, by a hash of the host.
+    No shuffle: the split is a column."""
+    u = uniform(F.col(host), seed=seed)
     return df.withColumn("split", F.when(u < shares[0], "train").when(u < shares[0] + shares[1], "val").otherwise("test"))
 
 
@@ -120,14 +120,11 @@ def random_rows(df: DataFrame, n: int, key: str, seed: int = 0) -> DataFrame:
 
 
 def redraw(df: DataFrame, n: int, key: str, seed: int = 0) -> DataFrame:
-    """``n`` draws with replacement: each draw picks a rank by hash and joins it
-    (by a 64-bit hash where the modulus of the plain one would not reach every rank)."""
+    """``n`` draws with replacement: each draw picks a rank by hash and joins it."""
     total = df.count()
     if not total:
         return df.withColumn("draw", F.lit(0).cast("bigint")).limit(0)
-    plain = F.pmod(F.col("id") * F.lit(2_654_435_761) + F.lit(seed * 40_503), F.lit(1_000_003)) % F.lit(total)
-    at = plain if total <= 1_000_003 else F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(total))
-    draws = df.sparkSession.range(1, n + 1).select(F.col("id").alias("draw"), (at + 1).alias("_at"))
+    draws = df.sparkSession.range(1, n + 1).select(F.col("id").alias("draw"), (mixed(F.col("id"), seed=seed) % F.lit(total) + 1).alias("_at"))
     r = ranked(df.withColumn("_all", F.lit(0)), ["_all"], [F.col(key)])
     return r.join(draws, F.col("rank") == F.col("_at")).select(*df.columns, "draw")
 

@@ -233,7 +233,7 @@ _up = lambda e, v: f"CASE WHEN {e} < {v} THEN {v} ELSE {e} END"
 
 SQL = {
     "drop_unusable": f"SELECT flow_id, Attack, FLOW_START_MILLISECONDS FROM {T} WHERE Attack IS NOT NULL AND FLOW_START_MILLISECONDS BETWEEN {LOW} AND {TO_MS}",
-    "clip_negative": "SELECT flow_id, " + ", ".join(f"CASE WHEN {c} < 0 THEN 0 ELSE {c} END {c}" for c in CLIPPED) + f" FROM {T}",
+    "clip_negative": "SELECT flow_id, " + ", ".join(f"CASE WHEN {c} < 0 THEN 0 WHEN isnan({c}) THEN NULL ELSE {c} END {c}" for c in CLIPPED) + f" FROM {T}",
     "clean_report": f"""WITH v AS (SELECT *, CASE WHEN Attack IS NULL THEN 'l' WHEN FLOW_START_MILLISECONDS IS NULL THEN 't'
         WHEN NOT FLOW_START_MILLISECONDS BETWEEN {LOW} AND {HIGH} THEN 'i' ELSE 'ok' END v FROM {T}), k AS (SELECT count(*) n FROM (SELECT DISTINCT {_F} FROM v WHERE v = 'ok'))
         SELECT count(*) rows_in, count(*) FILTER (v = 'l') dropped_null_label, count(*) FILTER (v = 't') dropped_null_time, count(*) FILTER (v = 'i') dropped_implausible_time,

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from flowmill.functions import vec
 from flowmill.operators import baselines, explain, metrics, prototypes
-from flowmill.operators.ranking import hash_order_sql
+from flowmill.operators.ranking import hash_order_sql, mixed_sql, uniform_sql
 from flowmill.sources.tables import flows_events, table
 
 DIM, KNOWN, MARGIN, TAU = 64, 8, 0.2, 0.1
@@ -197,18 +197,35 @@ def few_shot(spark: SparkSession, d: str) -> DataFrame:
     return s.groupBy("y").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg((~_w()).cast("double")), 9).alias("recall"))
 
 
+RESAMPLES = 1000
+
+
 def _boot(spark: SparkSession, d: str) -> DataFrame:
     s = _scored(spark, d, 10)
-    return metrics.bootstrap_means(s, {"a": (~_w()).cast("double"), "b": (F.col("conf") > 0.11).cast("double")}, "vec_id", 100)
+    return metrics.bootstrap_means(s, {"a": (~_w()).cast("double"), "b": (F.col("conf") > 0.11).cast("double")}, "vec_id", RESAMPLES)
+
+
+def bootstrap_resamples(spark: SparkSession, d: str) -> DataFrame:
+    """The mean of each resample."""
+    return _r(_boot(spark, d), "a", "b", digits=9)
 
 
 def bootstrap_ci(spark: SparkSession, d: str) -> DataFrame:
-    return _r(metrics.interval(_boot(spark, d), "a"), "mean", "ci_lower", "ci_upper", digits=8)
+    return _r(metrics.interval(_boot(spark, d), "a"), "mean", "std", "ci_lower", "ci_upper", digits=8)
 
 
 def paired_bootstrap(spark: SparkSession, d: str) -> DataFrame:
     b = _boot(spark, d).withColumn("diff", F.col("a") - F.col("b"))
-    return _r(metrics.interval(b, "diff"), "mean", "ci_lower", "ci_upper", digits=8)
+    return _r(metrics.interval(b, "diff"), "mean", "std", "ci_lower", "ci_upper", digits=8)
+
+
+def paired_bootstrap_f1(spark: SparkSession, d: str) -> DataFrame:
+    """Interval of the difference in macro F1 of two models on the same draws: the
+    prediction, and the one that names class 0 where it is not confident."""
+    s = _scored(spark, d, 10).select("vec_id", "y", "predicted", F.when(F.col("conf") > 0.11, F.col("predicted")).otherwise(0).alias("other"))
+    c = metrics.bootstrap_counts(s, ["y", "predicted", "other"], "vec_id", 200)
+    a, b = metrics.macro_f1(c, ["resample"], "y", "predicted"), metrics.macro_f1(c, ["resample"], "y", "other").withColumnRenamed("macro_f1", "b")
+    return _r(metrics.interval(a.join(b, "resample").withColumn("diff", F.col("macro_f1") - F.col("b")), "diff"), "mean", "std", "ci_lower", "ci_upper", digits=8)
 
 
 def over_seeds(spark: SparkSession, d: str) -> DataFrame:
@@ -341,7 +358,7 @@ def vector_functions(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     proto_bank, cosine_top2, evidence_verdict, softmax_verdict, distance_verdict, register_class, ema_drift, sub_prototypes, diversity_penalty, proto_allocation, mixup_unknowns,
     confusion_matrix, per_class_f1, closed_set_f1, tier_f1, pr_auc, auroc_known_unknown, unknown_tpr_fpr, openness, open_set_report, ece_equal_mass, ece_equal_width, reliability, brier, nll,
-    risk_coverage, aurc, deferral_precision, forgetting_bwt, few_shot, bootstrap_ci, paired_bootstrap, over_seeds, latency_percentiles, thresholds, nmi_ari, kmeans_purity, nearest_prototype, gates,
+    risk_coverage, aurc, deferral_precision, forgetting_bwt, few_shot, bootstrap_resamples, bootstrap_ci, paired_bootstrap, paired_bootstrap_f1, over_seeds, latency_percentiles, thresholds, nmi_ari, kmeans_purity, nearest_prototype, gates,
     energy_score, odin_score, openmax, embed_attribution, integrated_gradients, fidelity, stability_spearman, stability_spearman_known, counterfactual_necessity, necessity_rate, kernel_shap, triage_report, vector_functions,
 )}
 
@@ -377,9 +394,12 @@ _EQW = "bn AS (SELECT greatest(least(floor(conf * 15), 14), 0) bin, count(*) n,
 _ECE = "SELECT round(sum(n * abs(acc - conf)) / sum(n), 8) ece, round(max(abs(acc - conf)), 8) mce FROM bn"
 _CURVE = """rc AS (SELECT i, 1 - i / 49.0::DOUBLE coverage, r kept, rw / r risk, vac threshold FROM (SELECT *, row_number() OVER (ORDER BY vac, vec_id) r, sum(w) OVER (ORDER BY vac, vec_id ROWS UNBOUNDED PRECEDING) rw, count(*) OVER () n FROM sc) x
     JOIN range(50) g(i) ON r = greatest(round_even((1 - i / 49.0::DOUBLE) * n, 0), 1))"""
-_BOOT = f"""bt AS (SELECT b, sum(wt) n, coalesce(sum(wt * (1 - w)) / nullif(sum(wt), 0), 0) a, coalesce(sum(wt * (conf > 0.11)::INT) / nullif(sum(wt), 0), 0) bb FROM (SELECT *, {" + ".join(f"(u >= {c!r})::INT" for c in [sum(__import__("math").exp(-1) / __import__("math").factorial(j) for j in range(k + 1)) for k in range(8)])} wt
-    FROM (SELECT sc.*, b, ((((vec_id % 1000003) * 7919 + b * 104729 + 5) % 1000003) * 2654435761 % 1000003) / 1000003.0::DOUBLE u FROM sc CROSS JOIN range(1, 101) t(b))) GROUP BY 1)"""
-_ci = lambda e: f"SELECT round(avg({e}), 8) mean, round(quantile_cont({e}, {(1 - 0.95) / 2!r}), 8) ci_lower, round(quantile_cont({e}, {1 - (1 - 0.95) / 2!r}), 8) ci_upper FROM bt"
+_WT = " + ".join(f"(u >= {c!r})::INT" for c in metrics._POISSON)
+_DRAW = lambda n: f"""dr AS (SELECT b, 1 + {mixed_sql("b", "'a'", seed=5)} % 2147483646 da, {mixed_sql("b", "'c'", seed=5)} % 2147483647 dc FROM range(1, {n + 1}) t(b)),
+    wt AS (SELECT *, {_WT} wt FROM (SELECT sc.*, b, ((({mixed_sql("vec_id", seed=5)} % 2147483647) * da + dc) % 2147483647) / 2147483647.0::DOUBLE u FROM sc CROSS JOIN dr))"""
+_BOOT = f"{_DRAW(RESAMPLES)}, bt AS (SELECT b, sum(wt) n, coalesce(sum(wt * (1 - w)) / nullif(sum(wt), 0), 0) a, coalesce(sum(wt * (conf > 0.11)::INT) / nullif(sum(wt), 0), 0) bb FROM wt GROUP BY 1)"
+_ci = lambda e: f"SELECT round(avg({e}), 8) mean, round(stddev_samp({e}), 8) std, round(quantile_cont({e}, {(1 - 0.95) / 2!r}), 8) ci_lower, round(quantile_cont({e}, {1 - (1 - 0.95) / 2!r}), 8) ci_upper FROM bt"
+_F1 = lambda p, n: f"""{n} AS (SELECT b, avg(coalesce(2 * tp / nullif(coalesce(support, 0) + coalesce(made, 0), 0), 0)) f FROM (SELECT b, y k, sum(wt) support, coalesce(sum(wt) FILTER (y = {p}), 0) tp FROM pv GROUP BY 1, 2) FULL JOIN (SELECT b, {p} k, sum(wt) made FROM pv GROUP BY 1, 2) USING (b, k) GROUP BY 1)"""
 _OWN = "ow AS (SELECT vec_id, z, pv FROM s0 JOIN e USING (vec_id) JOIN pr ON pr.c = s0.predicted), att AS (SELECT vec_id, unnest(z) zz, unnest(pv) pz, generate_subscripts(z, 1) i FROM ow)"
 
 SQL = {
@@ -393,7 +413,7 @@ SQL = {
         q AS (SELECT c, pv, list_transform(list_zip(pv, m), lambda t: t[1] * 0.9 + t[2] * 0.1) qv FROM pr, bu) SELECT c::INT class_id, CASE WHEN c = 1 THEN round(1 - list_dot_product(pv, qv) / sqrt(list_dot_product(qv, qv)), 6) ELSE round(1 - list_dot_product(pv, pv), 6) END moved FROM q""",
     "proto_allocation": "SELECT Attack, count(*) n, CASE WHEN lower(Attack) = 'benign' THEN 4 WHEN count(*) >= 1000 THEN 2 ELSE 1 END n_sub FROM nf_ton_iot_v3 GROUP BY 1",
     "mixup_unknowns": f"""WITH e AS (SELECT vec_id, label y, embedding::DOUBLE[] z, row_number() OVER (ORDER BY {hash_order_sql("vec_id", 13)}, vec_id) r FROM embeddings),
-        m AS (SELECT a.vec_id, b.vec_id partner, 0.35::DOUBLE + ({hash_order_sql("a.vec_id", 17)}) / 1000003.0::DOUBLE * (0.65::DOUBLE - 0.35::DOUBLE) mu, a.z za, b.z zb FROM e a JOIN e b ON b.r = a.r + 1 AND a.y <> b.y),
+        m AS (SELECT a.vec_id, b.vec_id partner, 0.35::DOUBLE + {uniform_sql("a.vec_id", seed=17)} * (0.65::DOUBLE - 0.35::DOUBLE) mu, a.z za, b.z zb FROM e a JOIN e b ON b.r = a.r + 1 AND a.y <> b.y),
         x AS (SELECT *, list_transform(list_zip(za, zb), lambda t: t[1] * mu + t[2] * (1 - mu)) x FROM m), c AS (SELECT *, greatest(list_cosine_similarity(x, za), list_cosine_similarity(x, zb)) near FROM x)
         SELECT vec_id, partner, round(mu, 6) mu, round(near, 6) nearest FROM c WHERE near <= 0.9""",
     "confusion_matrix": f"{_A} SELECT y, predicted pred, count(*) n FROM sc GROUP BY 1, 2",
@@ -415,6 +435,8 @@ SQL = {
         round(sum((coverage - c0) * (risk + r0) / 2) - sum((coverage - c0) * fr * (1 - coverage + 1 - c0) / 2), 8) e_aurc, (SELECT round(risk, 8) FROM rc ORDER BY round(abs(coverage - 0.9), 9), coverage DESC LIMIT 1) risk_at_90 FROM st""",
     "deferral_precision": f"{_A} SELECT count(*) FILTER (decision = -2) n_deferred, round(coalesce(count(*) FILTER (decision = -2 AND w = 1) / nullif(count(*) FILTER (decision = -2), 0), 1), 9) deferral_precision FROM sc",
     "few_shot": f"{_A} SELECT y, count(*) n, round(avg(1 - w), 9) recall FROM sc WHERE y >= {KNOWN} GROUP BY 1",
+    "bootstrap_resamples": f"{_A}, {_BOOT} SELECT b::INT resample, n::BIGINT n, round(a, 9) a, round(bb, 9) b FROM bt",
+    "paired_bootstrap_f1": f"{_A}, {_DRAW(200)}, pv AS (SELECT b, wt, y, predicted, CASE WHEN conf > 0.11 THEN predicted ELSE 0 END other FROM wt WHERE wt > 0), {_F1('predicted', 'fa')}, {_F1('other', 'fb')}, bt AS (SELECT fa.f - fb.f x FROM fa JOIN fb USING (b)) {_ci('x')}",
     "bootstrap_ci": f"{_A}, {_BOOT} {_ci('a')}", "paired_bootstrap": f"{_A}, {_BOOT} {_ci('(a - bb)')}",
     "over_seeds": "SELECT event_type metric, round(avg(value), 6) mean, round(stddev_samp(value), 6) std, count(value) n FROM events GROUP BY 1",
     "latency_percentiles": "SELECT event_type dst, " + ", ".join(f"round(quantile_cont(value, {q}), 6) p{int(q * 100)}" for q in (0.5, 0.9, 0.95, 0.99)) + ", round(avg(value), 6) mean, round(max(value), 6) AS max, count(value) n FROM events GROUP BY 1",

@@ -15,6 +15,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _local: list[str] = []
+_written: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -22,6 +23,8 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if not _local:
         _local.append(tempfile.mkdtemp(prefix="flowmill-shared-"))
         atexit.register(shutil.rmtree, _local[0], ignore_errors=True)
@@ -50,10 +53,19 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
-    atexit.register(_drop, spark, path)
+    if not _written:
+        atexit.register(release, spark)
+    _written.add(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Deletes all that ``materialise`` wrote so far. For long sessions, once the
+    results made from it have been read; else it happens at exit."""
+    while _written:
+        _drop(spark, _written.pop())
+
+
 def versions(spark: SparkSession, path: str) -> list[int]:
     """Numbers of the complete versions of the table kept under ``path``, ascending."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from flowmill.functions.text import label_key_sql
 from flowmill.operators import clean, splits
-from flowmill.operators.ranking import hash_order_sql
+from flowmill.operators.ranking import hash_order_sql, mixed_sql, uniform_sql
 from flowmill.sources.tables import flows_events, table
 
 T = "nf_cicids2018_v3"
@@ -46,7 +46,7 @@ def split_host_disjoint(spark: SparkSession, d: str) -> DataFrame:
 
 
 def holdout_sets(spark: SparkSession, d: str) -> DataFrame:
-    names = [r[0] for r in table(spark, d, "label_vocab").filter("dataset = 'cicids2018' AND canonical_label <> 'benign'").select("canonical_label").distinct().orderBy("canonical_label").limit(1000).collect()]
+    names = [r[0] for r in table(spark, d, "label_vocab").filter("dataset = 'cicids2018' AND canonical_label <> 'benign'").select("canonical_label").distinct().orderBy("canonical_label").collect()]  # a fixed table
     rows = [(i, c) for i, s in enumerate(splits.holdout_sets(names, 3, 5, 11)) for c in s]
     return spark.createDataFrame(rows, "set_id int, canonical_label string")
 
@@ -63,7 +63,7 @@ def subsample_quota(spark: SparkSession, d: str) -> DataFrame:
 
 
 def quota_plan(spark: SparkSession, d: str) -> DataFrame:
-    counts = {r[0]: r[1] for r in _labelled(spark, d).groupBy("canonical_label").count().limit(1000).collect()}
+    counts = {r[0]: r[1] for r in _labelled(spark, d).groupBy("canonical_label").count().collect()}  # one row per class of a fixed table
     plan = splits.plan_quotas(counts, sum(counts.values()) // 3, 500, "benign")
     return spark.createDataFrame(list(plan.items()), "canonical_label string, quota bigint")
 
@@ -127,12 +127,12 @@ SQL = {
     "split_protocol_b": f"WITH {_LAB} SELECT flow_id, split, CASE WHEN canonical_label IN ({_HELD}) THEN 'UNKNOWN' ELSE canonical_label END target FROM s WHERE canonical_label NOT IN ({_HELD}) OR split = 'test'",
     "split_family_holdout": f"WITH {_LAB} SELECT split, CASE WHEN canonical_label = 'dos_hulk' THEN 'UNKNOWN' ELSE canonical_label END target, count(*) n FROM s WHERE canonical_label <> 'dos_hulk' OR split = 'test' GROUP BY 1, 2",
     "split_cross_dataset": "SELECT 'cicids2018' dataset, 'train' split, Label, count(*) n FROM nf_cicids2018_v3 GROUP BY 3 UNION ALL SELECT 'ton_iot', 'test', Label, count(*) FROM nf_ton_iot_v3 GROUP BY 3",
-    "split_host_disjoint": f"SELECT flow_id, src, CASE WHEN u < 0.7::DOUBLE THEN 'train' WHEN u < 0.7::DOUBLE + 0.15::DOUBLE THEN 'val' ELSE 'test' END split FROM (SELECT *, ({hash_order_sql('src', 3)}) / 1000003.0::DOUBLE u FROM ({_EV}))",
+    "split_host_disjoint": f"SELECT flow_id, src, CASE WHEN u < 0.7::DOUBLE THEN 'train' WHEN u < 0.7::DOUBLE + 0.15::DOUBLE THEN 'val' ELSE 'test' END split FROM (SELECT *, {uniform_sql('src', seed=3)} u FROM ({_EV}))",
     "subsample_temporal": f"""WITH {_LAB}, b AS (SELECT *, {_QUOTA} q, floor((rk - 1) * 20 / n) bin FROM rk), k AS (SELECT *, row_number() OVER (PARTITION BY canonical_label, bin ORDER BY {hash_order_sql('flow_id', 1)}, flow_id) r FROM b)
         SELECT flow_id, canonical_label FROM k WHERE q IS NULL OR r <= ceil(q / 20)""",
     "subsample_quota": f"WITH {_LAB} SELECT flow_id, canonical_label FROM rk WHERE coalesce(rk <= {_QUOTA}, true)",
     "sample_rows": f"SELECT flow_id, src FROM ({_EV}) ORDER BY {hash_order_sql('flow_id', 9)}, flow_id LIMIT 500",
-    "sample_with_replacement": f"""WITH e AS (SELECT *, row_number() OVER (ORDER BY flow_id) r FROM ({_EV})), d AS (SELECT id draw, ((id * 2654435761 + {4 * 40503}) % 1000003) % (SELECT count(*) FROM e) + 1 a FROM range(1, 301) t(id))
+    "sample_with_replacement": f"""WITH e AS (SELECT *, row_number() OVER (ORDER BY flow_id) r FROM ({_EV})), d AS (SELECT id draw, {mixed_sql('id', seed=4)} % (SELECT count(*) FROM e) + 1 a FROM range(1, 301) t(id))
         SELECT flow_id, bytes, draw FROM d JOIN e ON r = a""",
     "audit_split": f"""WITH {_LAB}, seen AS (SELECT DISTINCT {_A} FROM s WHERE split = 'train'), m AS (SELECT s.split, s.canonical_label, ms, split <> 'train' AND EXISTS (SELECT 1 FROM seen t WHERE {" AND ".join(f"s.{c} IS NOT DISTINCT FROM t.{c}" for c in _AUDIT)}) hit FROM s)
         SELECT split, canonical_label, count(*) n_rows, min(ms) first_ms, max(ms) last_ms, count(*) FILTER (hit) in_train, round(count(*) / sum(count(*)) OVER (PARTITION BY split), 9) AS "share" FROM m GROUP BY 1, 2""",

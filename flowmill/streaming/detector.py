@@ -58,16 +58,19 @@ def _rates(widths: tuple[int, int, int]):
         if state.hasTimedOut:
             state.remove()
             return
-        kept = np.array(state.get[0] if state.exists else [], dtype=np.int64)
+        kept, held = (np.array(x, dtype=np.int64) for x in (state.get if state.exists else ([], [])))
         new = pd.concat(list(batches)).sort_values(["ms", "flow_id"], kind="stable")
         times = new["ms"].to_numpy(dtype=np.int64)
-        everything = np.sort(np.concatenate([kept, times]))
-        upto = np.searchsorted(everything, times, side="right")
+        at, where = np.unique(np.concatenate([kept, times]), return_inverse=True)
+        count = np.bincount(where, weights=np.concatenate([held, np.ones(len(times))])).astype(np.int64)
+        total = np.concatenate([[0], np.cumsum(count)])
+        upto = total[np.searchsorted(at, times, side="right")]
         out = {"flow_id": new["flow_id"].to_numpy(), "src": str(key[0]), "ms": times}
         for name, w in zip(("n_short", "n_mid", "n_long"), widths, strict=True):
-            out[name] = upto - np.searchsorted(everything, times - w, side="left")
-        last = int(everything[-1])
-        state.update((everything[everything >= last - long].tolist(),))
+            out[name] = upto - total[np.searchsorted(at, times - w, side="left")]
+        last = int(at[-1])
+        recent = at >= last - long
+        state.update((at[recent].tolist(), count[recent].tolist()))
         if state.getCurrentWatermarkMs() < last + long:
             state.setTimeoutTimestamp(last + long)
         yield pd.DataFrame(out)
@@ -80,10 +83,11 @@ def node_rates(stream: DataFrame, widths: tuple[int, int, int] = (1_000, 30_000,
     ``flow_id, src, ms, ts`` (ts a TIMESTAMP of ms).
 
     A source's records are taken in time order within a micro-batch. State holds
-    at most the times of one long window per source.
+    the distinct times of one long window per source with their counts: at most
+    one entry per millisecond, however many records there are.
     """
     keyed = stream.withWatermark("ts", lateness).withColumn("src", F.col("src").cast("string"))
-    return keyed.groupBy("src").applyInPandasWithState(_rates(widths), RATES, "times array<bigint>", "append", GroupStateTimeout.EventTimeTimeout)
+    return keyed.groupBy("src").applyInPandasWithState(_rates(widths), RATES, "times array<bigint>, counts array<bigint>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 class OutOfOrder(ValueError):

@@ -23,7 +23,7 @@ def canonical(value):
     if isinstance(value, (int,)):
         return float(value) if abs(value) < 2**53 else value
     if isinstance(value, float):
-        return "nan" if math.isnan(value) else float(f"{value:.12g}") + 0.0
+        return f"nan {id(object())}" if math.isnan(value) else float(f"{value:.12g}") + 0.0
     if isinstance(value, (list, tuple)):
         return tuple(canonical(v) for v in value)
     if isinstance(value, dict):
