@@ -8,13 +8,16 @@ import json
 import math
 from dataclasses import asdict, dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from flowmill import schema
 from flowmill.functions.mathx import normal_scores
+from flowmill.operators.ranking import quantiles
+from flowmill.plans.shared import read_text, write_text
 
 EPS = 1e-6
+KNOT_CELLS = 4096
 
 
 def _d(c: str) -> Column:
@@ -107,27 +110,51 @@ def signed_log(c: Column, clip_negative: bool = True) -> Column:
 def robust_fit(df: DataFrame, columns: list[str]) -> dict[str, tuple[float, float]]:
     """Median and interquartile range (0 as 1) of each column, null read as 0.
 
-    All columns in one pass, one row out. ``percentile`` is exact; its state is
-    a count per distinct value, small for bounded integer columns.
+    All columns are stacked and ranked together, in balanced slices (exact; see
+    :func:`ranking.quantiles`); three numbers a column reach the driver.
     """
-    row = df.agg(*[F.percentile(F.coalesce(_d(c), F.lit(0.0)), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(c) for c in columns]).first()
-    return {c: (q[1], (q[2] - q[0]) or 1.0) if (q := row[c]) else (0.0, 1.0) for c in columns}
+    each = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("feature"), F.coalesce(_d(c), F.lit(0.0)).alias("x")) for c in columns])))
+    got: dict[str, dict[float, float]] = {}
+    for r in quantiles(each, ["feature"], F.col("x"), [0.25, 0.5, 0.75]).collect():
+        got.setdefault(r["feature"], {})[r["q"]] = r["value"]
+    return {c: (q[0.5], (q[0.75] - q[0.25]) or 1.0) if (q := got.get(c)) else (0.0, 1.0) for c in columns}
 
 
 def robust_scale(fit: dict[str, tuple[float, float]]) -> dict[str, Column]:
     return {c: (F.coalesce(_d(c), F.lit(0.0)) - m) / iqr for c, (m, iqr) in fit.items()}
 
 
-def knots_fit(df: DataFrame, values: dict[str, Column], n: int = 1000, accuracy: int = 10_000) -> dict[str, list[float]]:
-    """Up to ``n`` evenly spaced quantiles of each column, in one pass.
+def knots_fit(df: DataFrame, values: dict[str, Column], n: int = 1000) -> dict[str, list[float]]:
+    """``n`` evenly spaced quantiles of each column, in one pass.
 
-    Approximate (rank error 1 / accuracy) and so bounded in memory and
-    mergeable; 1e6 sampled rows, the usual fit, err more.
+    Rows are folded on the map side to counts, minima and maxima per column and
+    cell of width 1 / KNOT_CELLS; a knot is placed inside its cell by its rank.
+    So it errs by less than a cell (not at all where a cell holds one value),
+    and states of any parts add up.
     """
-    probs = [i / (n - 1) for i in range(n)]
-    usable = {k: F.when(~F.isnan(c), c) for k, c in values.items()}
-    row = df.agg(*[F.percentile_approx(c, probs, accuracy).alias(k) for k, c in usable.items()]).first()
-    return {k: list(row[k] or [0.0, 0.0]) for k in values}
+    each = df.select(F.inline(F.array(*[F.struct(F.lit(k).alias("feature"), c.alias("x")) for k, c in values.items()]))).filter(F.col("x").isNotNull() & ~F.isnan("x"))
+    cells = each.groupBy("feature", F.floor(F.col("x") * KNOT_CELLS).alias("cell")).agg(F.count(F.lit(1)).alias("c"), F.min("x").alias("lo"), F.max("x").alias("hi"))
+    upto = F.sum("c").over(Window.partitionBy("feature").orderBy("cell").rowsBetween(Window.unboundedPreceding, 0))  # over cells, not rows
+    placed = cells.withColumn("upto", upto).withColumn("rows", F.sum("c").over(Window.partitionBy("feature"))).withColumn("before", F.col("upto") - F.col("c"))
+    # knot i has the rank i * (rows - 1) div (n - 1), from 0
+    first = F.when(F.col("rows") > 1, F.ceil(F.col("before") * (n - 1) / (F.col("rows") - 1))).otherwise(0)
+    last = F.when(F.col("rows") > 1, F.least(F.ceil(F.col("upto") * (n - 1) / (F.col("rows") - 1)) - 1, F.lit(n - 1))).otherwise(n - 1)
+    asked = placed.filter(first <= last).withColumn("i", F.explode(F.sequence(first, last)))
+    rank = F.floor(F.col("i") * (F.col("rows") - 1) / (n - 1)) - F.col("before")
+    knot = F.col("lo") + (F.col("hi") - F.col("lo")) * F.least(F.greatest(rank, F.lit(0)), F.col("c") - 1) / F.greatest(F.col("c") - 1, F.lit(1))
+    found = asked.groupBy("feature").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", knot.alias("k")))), lambda x: x["k"]).alias("knots"))
+    told = {r["feature"]: list(r["knots"]) for r in found.collect()}  # n numbers a column
+    return {k: told.get(k) or [0.0, 0.0] for k in values}
+
+
+def vocabularies(df: DataFrame, sizes: dict[str, int]) -> dict[str, list]:
+    """The most frequent values of several columns, as :func:`top_categories` gives
+    them, from one fold of all."""
+    each = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("bigint").alias("x")) for c in sizes]))).filter(F.col("x").isNotNull())
+    w = Window.partitionBy("feature").orderBy(F.desc("n"), F.asc("x"))
+    top = each.groupBy("feature", "x").agg(F.count(F.lit(1)).alias("n")).withColumn("r", F.row_number().over(w)).filter(F.col("r") <= max(sizes.values()))
+    got = sorted(top.collect(), key=lambda r: r["r"])  # at most k a column
+    return {c: [r["x"] for r in got if r["feature"] == c][:k] for c, k in sizes.items()}
 
 
 def to_normal(values: dict[str, Column], knots: dict[str, list[float]], clip: float = 5.0) -> Column:
@@ -157,12 +184,13 @@ class FeaturePipeline:
     vocabulary: dict = field(default_factory=dict)
 
     def fit(self, df: DataFrame) -> "FeaturePipeline":
-        if self.temporal and self.condition:
-            self.knots = knots_fit(df, {c: signed_log(finite(_d(c))) for c in schema.HEAVY_TAILED}, self.quantiles)
-        if self.temporal and self.rhythm:
-            self.rhythm_knots = knots_fit(df, {n: signed_log(c) for n, c in rhythm().items() if n in RHYTHM}, self.quantiles)
+        tails = {c: signed_log(finite(_d(c))) for c in schema.HEAVY_TAILED} if self.temporal and self.condition else {}
+        beats = {n: signed_log(c) for n, c in rhythm().items() if n in RHYTHM} if self.temporal and self.rhythm else {}
+        if tails or beats:
+            found = knots_fit(df, tails | beats, self.quantiles)
+            self.knots, self.rhythm_knots = {c: found[c] for c in tails}, {c: found[c] for c in beats}
         self.scale = robust_fit(df, list(schema.BOUNDED))
-        self.vocabulary = {c: [r[c] for r in top_categories(df, c, k).collect()] for c, k in schema.CATEGORICAL.items()}  # k values
+        self.vocabulary = vocabularies(df, schema.CATEGORICAL)
         return self
 
     def _conditioned(self) -> tuple[dict[str, Column], dict[str, list[float]]]:
@@ -198,20 +226,33 @@ class FeaturePipeline:
         return {"feature_names": names, "n_features": len(names), "channels": {n: channel(n) for n in names}}
 
     def save(self, path: str) -> None:
-        with open(path, "w", encoding="utf-8") as f:
-            json.dump({"state": asdict(self), "manifest": self.manifest()}, f)
+        """State and manifest as JSON, anywhere the session's file systems reach."""
+        write_text(SparkSession.active(), path, json.dumps({"state": asdict(self), "manifest": self.manifest()}))
 
     @classmethod
     def load(cls, path: str) -> "FeaturePipeline":
-        with open(path, encoding="utf-8") as f:
-            return cls(**json.load(f)["state"])
-
-
-#: Who shapes a feature: the sender (A) or the path and the observer (B).
-_OBSERVED = {*(c for c in schema.HEAVY_TAILED if c not in ("IN_BYTES", "OUT_BYTES", "IN_PKTS", "OUT_PKTS")), "MIN_TTL", "MAX_TTL", "DNS_TTL_ANSWER",
-             *(n for n in RHYTHM if n not in ("pkt_size_spread", "bytes_per_pkt_in", "bytes_per_pkt_out")), "iat_undefined"}
-_SENT = {"IN_BYTES", "OUT_BYTES", "IN_PKTS", "OUT_PKTS", *schema.BOUNDED, *schema.PACKET_BINS, "pkt_size_hist_sum_log", "pkt_size_spread", "bytes_per_pkt_in", "bytes_per_pkt_out",
-         *(f"{c}_{b}" for c in schema.FLAG_COLUMNS for b in schema.FLAG_BITS), *(f"{p}_{s}" for p in schema.PORTS for s in ("is_well_known", "is_registered", "is_ephemeral", "log"))} - _OBSERVED
+        return cls(**json.loads(read_text(SparkSession.active(), path))["state"])
+
+
+# Features by who shapes them, the sender (channel A) or the path and the observer (channel B).
+_SENT = (
+    "IN_BYTES", "OUT_BYTES", "IN_PKTS", "OUT_PKTS", "LONGEST_FLOW_PKT", "SHORTEST_FLOW_PKT", "MIN_IP_PKT_LEN", "MAX_IP_PKT_LEN", "TCP_WIN_MAX_IN",
+    "TCP_WIN_MAX_OUT", "ICMP_TYPE", "ICMP_IPV4_TYPE", "DNS_QUERY_ID", "DNS_QUERY_TYPE", "FTP_COMMAND_RET_CODE", "NUM_PKTS_UP_TO_128_BYTES",
+    "NUM_PKTS_128_TO_256_BYTES", "NUM_PKTS_256_TO_512_BYTES", "NUM_PKTS_512_TO_1024_BYTES", "NUM_PKTS_1024_TO_1514_BYTES", "pkt_size_hist_sum_log",
+    "pkt_size_spread", "bytes_per_pkt_in", "bytes_per_pkt_out", "TCP_FLAGS_FIN", "TCP_FLAGS_SYN", "TCP_FLAGS_RST", "TCP_FLAGS_PSH", "TCP_FLAGS_ACK",
+    "TCP_FLAGS_URG", "TCP_FLAGS_ECE", "TCP_FLAGS_CWR", "CLIENT_TCP_FLAGS_FIN", "CLIENT_TCP_FLAGS_SYN", "CLIENT_TCP_FLAGS_RST", "CLIENT_TCP_FLAGS_PSH",
+    "CLIENT_TCP_FLAGS_ACK", "CLIENT_TCP_FLAGS_URG", "CLIENT_TCP_FLAGS_ECE", "CLIENT_TCP_FLAGS_CWR", "SERVER_TCP_FLAGS_FIN", "SERVER_TCP_FLAGS_SYN",
+    "SERVER_TCP_FLAGS_RST", "SERVER_TCP_FLAGS_PSH", "SERVER_TCP_FLAGS_ACK", "SERVER_TCP_FLAGS_URG", "SERVER_TCP_FLAGS_ECE", "SERVER_TCP_FLAGS_CWR",
+    "L4_SRC_PORT_is_well_known", "L4_SRC_PORT_is_registered", "L4_SRC_PORT_is_ephemeral", "L4_SRC_PORT_log", "L4_DST_PORT_is_well_known",
+    "L4_DST_PORT_is_registered", "L4_DST_PORT_is_ephemeral", "L4_DST_PORT_log",
+)
+_OBSERVED = (
+    "FLOW_DURATION_MILLISECONDS", "DURATION_IN", "DURATION_OUT", "SRC_TO_DST_SECOND_BYTES", "DST_TO_SRC_SECOND_BYTES", "SRC_TO_DST_AVG_THROUGHPUT",
+    "DST_TO_SRC_AVG_THROUGHPUT", "RETRANSMITTED_IN_BYTES", "RETRANSMITTED_IN_PKTS", "RETRANSMITTED_OUT_BYTES", "RETRANSMITTED_OUT_PKTS",
+    "SRC_TO_DST_IAT_MIN", "SRC_TO_DST_IAT_MAX", "SRC_TO_DST_IAT_AVG", "SRC_TO_DST_IAT_STDDEV", "DST_TO_SRC_IAT_MIN", "DST_TO_SRC_IAT_MAX",
+    "DST_TO_SRC_IAT_AVG", "DST_TO_SRC_IAT_STDDEV", "MIN_TTL", "MAX_TTL", "DNS_TTL_ANSWER", "iat_cv_fwd", "iat_cv_bwd", "iat_burst_fwd",
+    "iat_burst_bwd", "duty_cycle", "pkt_rate", "byte_rate", "dir_asymmetry", "retrans_ratio", "iat_undefined",
+)
 
 
 def channel(name: str) -> str | None:

@@ -9,6 +9,7 @@ from flowmill import schema
 from flowmill.functions.text import label_key, label_key_sql
 from flowmill.operators import clean, features
 from flowmill.plans.shared import broadcast_if_small
+from flowmill.operators.ranking import quantiles
 from flowmill.sources.tables import feature_columns, table
 
 T = "nf_cicids2018_v3"
@@ -149,7 +150,7 @@ def robust_scale(spark: SparkSession, d: str) -> DataFrame:
 
 def quantile_knots(spark: SparkSession, d: str) -> DataFrame:
     knots = features.knots_fit(table(spark, d, T), {c: features.signed_log(features.finite(F.col(c).cast("double"))) for c in schema.HEAVY_TAILED})
-    return spark.createDataFrame([(c, i, v) for c, ks in knots.items() for i, v in enumerate(ks)], "feature string, i int, knot double")
+    return spark.createDataFrame([(c, i, round(v, 9)) for c, ks in knots.items() for i, v in enumerate(ks)], "feature string, i int, knot double")
 
 
 def te1_conditioned(spark: SparkSession, d: str) -> DataFrame:
@@ -182,16 +183,11 @@ def class_weights(spark: SparkSession, d: str) -> DataFrame:
 
 
 def class_medians(spark: SparkSession, d: str) -> DataFrame:
-    """Benign medians per feature: the baseline of attributions."""
-    t = table(spark, d, "train_features").filter("canonical_label = 'benign'")
-    return t.agg(*[F.round(F.percentile(c, F.lit(0.5)), 9).alias(c) for c in ("IN_BYTES", "OUT_BYTES", "MIN_TTL", "duty_cycle")])
-
-
-def class_medians_all(spark: SparkSession, d: str) -> DataFrame:
-    """Benign medians of every feature, one row each, whatever the label's writing."""
+    """Benign medians of every feature, one row each, whatever the label's
+    writing: the baseline of attributions."""
     t = table(spark, d, "train_features").filter(label_key("canonical_label") == "benign")
     pairs = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("x")) for c in feature_columns(t)])
-    return t.select(F.inline(pairs)).groupBy("feature").agg(F.round(F.percentile("x", F.lit(0.5)), 9).alias("median"))
+    return quantiles(t.select(F.inline(pairs)), ["feature"], F.col("x"), [0.5]).select("feature", F.round("value", 9).alias("median"))
 
 
 def row_hash_groups(spark: SparkSession, d: str) -> DataFrame:
@@ -203,7 +199,7 @@ def row_hash_groups(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     drop_unusable, clip_negative, clean_report, dedup_flows, canonical_labels, canonical_labels_strict, canonical_labels_strict_all, family_counts, class_counts, label_ids,
     project_feasible, feasibility_violations, source_guard, te2_descriptors, flag_bits, port_features, port_buckets, hist_simplex, topk_categories,
-    topk_onehot, topk_onehot_other_rate, robust_fit, robust_scale, quantile_knots, te1_conditioned, signed_log, feature_pipeline, feature_channels, class_weights, class_medians, class_medians_all, row_hash_groups,
+    topk_onehot, topk_onehot_other_rate, robust_fit, robust_scale, quantile_knots, te1_conditioned, signed_log, feature_pipeline, feature_channels, class_weights, class_medians, row_hash_groups,
 )}
 
 _fin = lambda e: f"(CASE WHEN isfinite({e}) THEN {e} ELSE 0.0 END)"
@@ -242,6 +238,7 @@ SQL = {
     "canonical_labels": f"""SELECT flow_id, v.canonical_label, v.family FROM {T} f LEFT JOIN (SELECT {label_key_sql("raw_label")} AS key, canonical_label, family FROM label_vocab WHERE dataset = 'cicids2018') v
         ON {label_key_sql("f.Attack")} = v.key""",
     "canonical_labels_strict": "SELECT flow_id, v.canonical_label FROM nf_bot_iot_v3 f JOIN label_vocab v ON v.dataset = 'bot_iot' AND v.raw_label = f.Attack",
+    "canonical_labels_strict_all": f"SELECT flow_id, v.canonical_label FROM nf_bot_iot_v3 f JOIN (SELECT DISTINCT {label_key_sql('raw_label')} AS key, canonical_label FROM label_vocab WHERE dataset = 'bot_iot') v ON {label_key_sql('f.Attack')} = v.key",
     "family_counts": f"""SELECT coalesce(v.family, 'other') family, count(*) n FROM {T} f LEFT JOIN (SELECT {label_key_sql("raw_label")} AS key, family FROM label_vocab WHERE dataset = 'cicids2018') v
         ON {label_key_sql("f.Attack")} = v.key GROUP BY 1""",
     "class_counts": f"SELECT Attack, Label, count(*) n FROM {T} GROUP BY 1, 2",
@@ -270,6 +267,11 @@ SQL = {
     "robust_scale": f"WITH q AS (SELECT {', '.join(f'{_q(c, 0.5)} m{i}, {_iqr(c)} r{i}' for i, c in enumerate(_SCALED))} FROM {T}) SELECT flow_id, " + ", ".join(f"round((coalesce({c}, 0) - m{i}) / r{i}, 6) {c}" for i, c in enumerate(_SCALED)) + f" FROM {T}, q",
     "signed_log": f"SELECT flow_id, round(ln(1 + greatest({_fin('IN_BYTES')}, 0)), 6) clipped, round(sign({_fin('IN_BYTES')}) * ln(1 + abs({_fin('IN_BYTES')})), 6) mirrored FROM {T}",
     "class_weights": f"SELECT Attack, count(*) n, round((1 - 0.999) / (1 - pow(0.999, count(*))), 9) weight FROM {T} GROUP BY 1",
-    "class_medians": "SELECT " + ", ".join(f"round(quantile_cont({c}, 0.5), 9) {c}" for c in ("IN_BYTES", "OUT_BYTES", "MIN_TTL", "duty_cycle")) + " FROM train_features WHERE canonical_label = 'benign'",
+    "class_medians": f"""WITH b AS (SELECT * FROM train_features WHERE {label_key_sql("canonical_label")} = 'benign'), u AS (UNPIVOT (SELECT COLUMNS(* EXCLUDE (row_id, dataset, canonical_label, FLOW_START_MILLISECONDS, IPV4_SRC_ADDR, IPV4_DST_ADDR, L4_SRC_PORT, L4_DST_PORT)) FROM b) ON COLUMNS(*) INTO NAME feature VALUE x)
+        SELECT feature, round(quantile_cont(x, 0.5), 9) median FROM u WHERE x IS NOT NULL GROUP BY 1""",
+    "quantile_knots": "WITH v AS (" + " UNION ALL ".join(f"SELECT '{c}' feature, ln(1 + greatest({_fin(f'coalesce({c}, 0)::DOUBLE')}, 0)) x FROM {T}" for c in schema.HEAVY_TAILED) + f"""),
+        c AS (SELECT feature, floor(x * {features.KNOT_CELLS}) cell, count(*) c, min(x) lo, max(x) hi FROM v GROUP BY 1, 2), u AS (SELECT *, sum(c) OVER (PARTITION BY feature ORDER BY cell)::BIGINT upto, sum(c) OVER (PARTITION BY feature)::BIGINT n FROM c),
+        k AS (SELECT feature, i, i * (n - 1) // 999 r FROM (SELECT DISTINCT feature, n FROM u) CROSS JOIN range(1000) t(i))
+        SELECT k.feature, i::INT i, round(lo + (hi - lo) * (r - (upto - c)) / greatest(c - 1, 1), 9) knot FROM k JOIN u ON u.feature = k.feature AND r >= upto - c AND r < upto""",
     "row_hash_groups": f"SELECT copies, count(*) n_tuples FROM (SELECT count(*) copies FROM {T} GROUP BY {_F}) GROUP BY 1",
 }

@@ -66,6 +66,45 @@ def release(spark: SparkSession) -> None:
         _drop(spark, _written.pop())
 
 
+def _at(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, p = _at(spark, path)
+    return fs.exists(p)
+
+
+def write_text(spark: SparkSession, path: str, text: str, overwrite: bool = True) -> bool:
+    """Writes a small text file where ``path`` points (any file system Spark knows).
+    Without ``overwrite`` an existing file stays and False is returned; of two
+    writers only one succeeds."""
+    fs, p = _at(spark, path)
+    if not overwrite and fs.exists(p):
+        return False
+    try:
+        out = fs.create(p, overwrite)
+    except Exception:
+        if not overwrite and fs.exists(p):
+            return False
+        raise
+    out.write(bytearray(text.encode("utf-8")))
+    out.close()
+    return True
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    """A small text file; raises if it is missing."""
+    fs, p = _at(spark, path)
+    size = fs.getFileStatus(p).getLen()
+    stream = fs.open(p)
+    try:
+        return bytes(stream.readNBytes(int(size))).decode("utf-8")
+    finally:
+        stream.close()
+
+
 def versions(spark: SparkSession, path: str) -> list[int]:
     """Numbers of the complete versions of the table kept under ``path``, ascending."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)

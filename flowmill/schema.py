@@ -7,23 +7,20 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
-_DIRS = ("SRC_TO_DST", "DST_TO_SRC")
-_IAT = tuple(f"{d}_IAT_{s}" for d in _DIRS for s in ("MIN", "MAX", "AVG", "STDDEV"))
-
 # Names of the flow format, as they stand in its files.
 HEAVY_TAILED = (
-    "IN_BYTES", "OUT_BYTES", "IN_PKTS", "OUT_PKTS",
-    "FLOW_DURATION_MILLISECONDS", "DURATION_IN", "DURATION_OUT",
-    *(f"{d}_SECOND_BYTES" for d in _DIRS), *(f"{d}_AVG_THROUGHPUT" for d in _DIRS),
-    *(f"RETRANSMITTED_{io}_{u}" for io in ("IN", "OUT") for u in ("BYTES", "PKTS")),
-    *_IAT,
+    "IN_BYTES", "OUT_BYTES", "IN_PKTS", "OUT_PKTS", "FLOW_DURATION_MILLISECONDS", "DURATION_IN", "DURATION_OUT", "SRC_TO_DST_SECOND_BYTES",
+    "DST_TO_SRC_SECOND_BYTES", "SRC_TO_DST_AVG_THROUGHPUT", "DST_TO_SRC_AVG_THROUGHPUT", "RETRANSMITTED_IN_BYTES", "RETRANSMITTED_IN_PKTS",
+    "RETRANSMITTED_OUT_BYTES", "RETRANSMITTED_OUT_PKTS", "SRC_TO_DST_IAT_MIN", "SRC_TO_DST_IAT_MAX", "SRC_TO_DST_IAT_AVG", "SRC_TO_DST_IAT_STDDEV",
+    "DST_TO_SRC_IAT_MIN", "DST_TO_SRC_IAT_MAX", "DST_TO_SRC_IAT_AVG", "DST_TO_SRC_IAT_STDDEV",
 )
 BOUNDED = (
-    "MIN_TTL", "MAX_TTL", "LONGEST_FLOW_PKT", "SHORTEST_FLOW_PKT", "MIN_IP_PKT_LEN", "MAX_IP_PKT_LEN",
-    "TCP_WIN_MAX_IN", "TCP_WIN_MAX_OUT", "ICMP_TYPE", "ICMP_IPV4_TYPE",
-    "DNS_QUERY_ID", "DNS_QUERY_TYPE", "DNS_TTL_ANSWER", "FTP_COMMAND_RET_CODE",
+    "MIN_TTL", "MAX_TTL", "LONGEST_FLOW_PKT", "SHORTEST_FLOW_PKT", "MIN_IP_PKT_LEN", "MAX_IP_PKT_LEN", "TCP_WIN_MAX_IN", "TCP_WIN_MAX_OUT",
+    "ICMP_TYPE", "ICMP_IPV4_TYPE", "DNS_QUERY_ID", "DNS_QUERY_TYPE", "DNS_TTL_ANSWER", "FTP_COMMAND_RET_CODE",
+)
+PACKET_BINS = (
+    "NUM_PKTS_UP_TO_128_BYTES", "NUM_PKTS_128_TO_256_BYTES", "NUM_PKTS_256_TO_512_BYTES", "NUM_PKTS_512_TO_1024_BYTES", "NUM_PKTS_1024_TO_1514_BYTES",
 )
-PACKET_BINS = tuple(f"NUM_PKTS_{b}_BYTES" for b in ("UP_TO_128", "128_TO_256", "256_TO_512", "512_TO_1024", "1024_TO_1514"))
 FLAG_COLUMNS = ("TCP_FLAGS", "CLIENT_TCP_FLAGS", "SERVER_TCP_FLAGS")
 FLAG_BITS = ("FIN", "SYN", "RST", "PSH", "ACK", "URG", "ECE", "CWR")
 TIMES = ("FLOW_START_MILLISECONDS", "FLOW_END_MILLISECONDS")
@@ -39,10 +36,12 @@ MIN_SOURCES = 1_000
 #: Classes below are kept whole when a table is thinned / get no prototype.
 MINORITY_ROWS, MIN_PROTOTYPE_ROWS = 200_000, 100
 
-_DOUBLE = {
-    "IN_BYTES", "OUT_BYTES", "FLOW_DURATION_MILLISECONDS", "DURATION_IN", "DURATION_OUT", "RETRANSMITTED_IN_BYTES", "RETRANSMITTED_OUT_BYTES",
-    *(f"{d}_{m}" for d in _DIRS for m in ("SECOND_BYTES", "AVG_THROUGHPUT")), *_IAT,
-}
+_DOUBLE = (
+    "IN_BYTES", "OUT_BYTES", "FLOW_DURATION_MILLISECONDS", "DURATION_IN", "DURATION_OUT", "SRC_TO_DST_SECOND_BYTES", "DST_TO_SRC_SECOND_BYTES",
+    "SRC_TO_DST_AVG_THROUGHPUT", "DST_TO_SRC_AVG_THROUGHPUT", "RETRANSMITTED_IN_BYTES", "RETRANSMITTED_OUT_BYTES", "SRC_TO_DST_IAT_MIN",
+    "SRC_TO_DST_IAT_MAX", "SRC_TO_DST_IAT_AVG", "SRC_TO_DST_IAT_STDDEV", "DST_TO_SRC_IAT_MIN", "DST_TO_SRC_IAT_MAX", "DST_TO_SRC_IAT_AVG",
+    "DST_TO_SRC_IAT_STDDEV",
+)
 RAW_FEATURES = tuple(dict.fromkeys([*TIMES, *ADDRESSES, *PORTS, "PROTOCOL", "L7_PROTO", *HEAVY_TAILED, *FLAG_COLUMNS, *BOUNDED, *PACKET_BINS]))
 
 

@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import math
 import time
+import uuid
 from datetime import datetime, timezone
-from pathlib import Path
 from typing import Any
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from flowmill import schema
+from flowmill.plans.shared import exists, keep, kept, read_text, write_text
 
 #: File names of the raw datasets.
 DISPLAY = {"cicids2018": "NF-CICIDS2018-v3", "ton_iot": "NF-ToN-IoT-v3", "unsw_nb15": "NF-UNSW-NB15-v3", "bot_iot": "NF-BoT-IoT-v3"}
@@ -78,13 +81,42 @@ def _plain(x: Any) -> Any:
 
 
 def save_json(value: Any, path: str) -> None:
-    """Rows, arrays and the like become plain JSON; NaN and infinities null."""
-    Path(path).parent.mkdir(parents=True, exist_ok=True)
-    Path(path).write_text(json.dumps(_plain(value), indent=2), encoding="utf-8")
+    """Rows, arrays and the like become plain JSON; NaN and infinities null.
+    Written through the session's file systems, so a shared folder will do."""
+    write_text(SparkSession.active(), path, json.dumps(_plain(value), indent=2))
 
 
 def load_json(path: str) -> Any:
-    return json.loads(Path(path).read_text(encoding="utf-8"))
+    return json.loads(read_text(SparkSession.active(), path))
+
+
+def save_checkpoint(spark: SparkSession, path: str, epoch: int, parameters: dict, facts: dict | None = None, rng: Any = None) -> None:
+    """A model's state as the next version under ``path``: parameters (arrays of
+    any shape) as a table, the rest (epoch, facts, generator state) as JSON."""
+    rows = [(n, [int(k) for k in v.shape], [float(x) for x in v.ravel()]) for n, v in ((n, np.asarray(v, dtype=float)) for n, v in parameters.items())]
+    told = json.dumps({"epoch": epoch, "facts": _plain(facts or {}), "rng": rng.bit_generator.state if rng is not None else None})
+    rows.append(("", [], []))
+    keep(spark.createDataFrame(rows, "name string, shape array<int>, x array<double>").withColumn("state", F.when(F.col("name") == "", F.lit(told))).coalesce(1), path)
+
+
+def load_checkpoint(spark: SparkSession, path: str, version: int | None = None) -> dict | None:
+    """The newest (or given) version as ``epoch, parameters, facts, rng`` (a
+    generator that goes on where the saved one was); None if there is none."""
+    df = kept(spark, path, version)
+    if df is None:
+        return None
+    rows = df.collect()  # one row per parameter
+    told = json.loads(next(r["state"] for r in rows if r["name"] == ""))
+    rng = None
+    if told["rng"] is not None:
+        rng = np.random.default_rng()
+        rng.bit_generator.state = told["rng"]
+    return {"epoch": told["epoch"], "facts": told["facts"], "rng": rng, "parameters": {r["name"]: np.array(r["x"], dtype=float).reshape(r["shape"]) for r in rows if r["name"]}}
+
+
+def read_vectors(spark: SparkSession, path: str) -> DataFrame:
+    """What :func:`write_vectors` wrote."""
+    return spark.read.parquet(path)
 
 
 def assemble_report(**families: Any) -> dict:
@@ -116,32 +148,31 @@ def flatten_entries(df: DataFrame, text: str, shape: str) -> DataFrame:
 
 
 class Registry:
-    """Completed runs as JSON lines. Appending is idempotent, and lines that are
-    not JSON are skipped."""
-
-    def __init__(self, path: str):
-        self.path = Path(path)
-
-    def runs(self) -> list[dict]:
-        out = []
-        if self.path.exists():
-            for line in self.path.read_text(encoding="utf-8").splitlines():
-                try:
-                    out.append(json.loads(line))
-                except ValueError:
-                    continue
-        return [r for r in out if isinstance(r, dict) and "run_id" in r]
+    """Completed runs, one small JSON file each in a folder of the shared store.
+
+    A run is registered by creating its file, which only one writer can, so
+    appending is idempotent, needs no reading and suits many writers. Files that
+    are not JSON are skipped.
+    """
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+
+    def _file(self, run_id: str) -> str:
+        return f"{self.path}/{hashlib.sha256(run_id.encode()).hexdigest()}.json"
+
+    def runs(self) -> DataFrame:
+        """``run_id, facts`` (a map of JSON texts) of every registered run."""
+        if not exists(self.spark, self.path):
+            return self.spark.createDataFrame([], "run_id string, facts map<string,string>")
+        text = self.spark.read.option("wholetext", True).text(self.path)
+        return text.select(F.get_json_object("value", "$.run_id").alias("run_id"), F.from_json("value", "map<string,string>").alias("facts")).filter("run_id IS NOT NULL")
 
     def is_complete(self, run_id: str) -> bool:
-        return any(r["run_id"] == run_id for r in self.runs())
+        return exists(self.spark, self._file(run_id))
 
     def register(self, run_id: str, **facts: Any) -> bool:
-        if self.is_complete(run_id):
-            return False
-        self.path.parent.mkdir(parents=True, exist_ok=True)
-        with self.path.open("a", encoding="utf-8") as f:
-            f.write(json.dumps(_plain({"run_id": run_id, **facts})) + "\n")
-        return True
+        return write_text(self.spark, self._file(run_id), json.dumps(_plain({"run_id": run_id, **facts})), overwrite=False)
 
 
 def pending_runs(planned: DataFrame, done: DataFrame, key: str = "run_id") -> DataFrame:
@@ -150,16 +181,16 @@ def pending_runs(planned: DataFrame, done: DataFrame, key: str = "run_id") -> Da
 
 
 class EventLog:
-    """Events as JSON lines with the UTC time and seconds since the start."""
+    """Events as JSON lines with the UTC time and seconds since the start, in a
+    folder of the shared store: one small file per event, so that writers never
+    meet and nothing is rewritten."""
 
-    def __init__(self, path: str):
-        self.path, self.began = Path(path), time.time()
-        self.path.parent.mkdir(parents=True, exist_ok=True)
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path, self.began = spark, path.rstrip("/"), time.time()
 
     def log(self, event: str, **facts: Any) -> None:
         row = {"event": event, "time": datetime.now(timezone.utc).isoformat(), "elapsed_s": round(time.time() - self.began, 3), **facts}
-        with self.path.open("a", encoding="utf-8") as f:
-            f.write(json.dumps(_plain(row)) + "\n")
+        write_text(self.spark, f"{self.path}/{time.time_ns()}-{uuid.uuid4().hex}.json", json.dumps(_plain(row)) + "\n", overwrite=False)
 
     def metric(self, name: str, value: float, step: int | None = None) -> None:
         self.log("metric", name=name, value=value, step=step)

@@ -319,17 +319,30 @@ def test_settings_are_strict(tmp_path):
             config.load(overrides=[bad])
 
 
-def test_registry_is_idempotent_and_skips_broken_lines(tmp_path, spark):
-    r = io.Registry(str(tmp_path / "runs.jsonl"))
-    assert r.register("a", f1=0.5) and not r.register("a", f1=0.6)
-    with (tmp_path / "runs.jsonl").open("a") as f:
-        f.write("{not json\n")
-    assert r.register("b") and [x["run_id"] for x in r.runs()] == ["a", "b"]
+def test_registry_is_idempotent_and_skips_broken_files(tmp_path, spark):
+    r = io.Registry(spark, f"{tmp_path}/runs")
+    assert r.runs().collect() == [] and r.register("a", f1=0.5) and not r.register("a", f1=0.6)
+    (tmp_path / "runs" / "odd.json").write_text("{not json\n")
+    assert r.register("b") and r.is_complete("b") and not r.is_complete("c")
+    assert {x["run_id"]: x["facts"].get("f1") for x in r.runs().collect()} == {"a": "0.5", "b": None}
     planned = spark.createDataFrame([("a",), ("c",)], "run_id string")
-    assert rows(io.pending_runs(planned, io.read_events(spark, str(tmp_path / "runs.jsonl")))) == [("c",)]
+    assert rows(io.pending_runs(planned, r.runs())) == [("c",)]
 
 
-def test_json_is_plain(tmp_path):
+def test_event_log_and_checkpoints(tmp_path, spark):
+    log = io.EventLog(spark, f"{tmp_path}/log")
+    log.log("begin", n=1), log.metric("f1", 0.5, 3)
+    assert {(x["event"], x["value"]) for x in io.read_events(spark, f"{tmp_path}/log").collect()} == {("begin", None), ("metric", 0.5)}
+    assert io.load_checkpoint(spark, f"{tmp_path}/model") is None
+    rng = np.random.default_rng(3)
+    io.save_checkpoint(spark, f"{tmp_path}/model", 1, {"w": np.zeros((2, 3))}, {"loss": 0.5}, rng)
+    io.save_checkpoint(spark, f"{tmp_path}/model", 2, {"w": np.arange(6.0).reshape(2, 3), "b": np.array([])}, {"loss": 0.25}, rng)
+    c, first = io.load_checkpoint(spark, f"{tmp_path}/model"), io.load_checkpoint(spark, f"{tmp_path}/model", 1)
+    assert c["epoch"] == 2 and c["facts"] == {"loss": 0.25} and (c["parameters"]["w"] == np.arange(6.0).reshape(2, 3)).all() and c["parameters"]["b"].size == 0
+    assert c["rng"].random() == first["rng"].random() == rng.random()
+
+
+def test_json_is_plain(tmp_path, spark):
     io.save_json(io.assemble_report(a={"x": np.float64(1.5), "y": float("nan"), "z": np.arange(2)}, b=None), str(tmp_path / "r.json"))
     r = io.load_json(str(tmp_path / "r.json"))
     assert r == {"a": {"x": 1.5, "y": None, "z": [0, 1]}} and io.nested(r, "a.x") == 1.5 and io.nested(r, "a.q.r", 7) == 7

@@ -21,7 +21,7 @@ def _sql(spark, name, sql):
 def test_medians_of_all_features_and_writings(spark):
     names = feature_columns(table(spark, DIR, "train_features"))
     want = _sql(spark, "train_features", f"SELECT {', '.join(f'round(quantile_cont({c}, 0.5), 9)' for c in names)} FROM train_features WHERE {label_key_sql('canonical_label')} = 'benign'")[0]
-    got = dict(tuple(r) for r in entry.queries()["class_medians_all"](spark, DIR).collect())
+    got = dict(tuple(r) for r in entry.queries()["class_medians"](spark, DIR).collect())
     assert len(got) == 84 and all(got[c] == pytest.approx(v, abs=1e-8) for c, v in zip(names, want, strict=True))
 
 
