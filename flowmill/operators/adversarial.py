@@ -6,6 +6,9 @@ same on every run.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -13,8 +16,11 @@ from pyspark.sql import functions as F
 
 from flowmill.functions import vec
 from flowmill.functions.mathx import probit
+from flowmill.operators import prototypes
 from flowmill.operators.clean import feasible
+from flowmill.operators.features import FeaturePipeline
 from flowmill.operators.ranking import ranked, uniform
+from flowmill.plans.shared import materialise
 
 BUDGETS = (0, 1, 2, 4, 8, 16, 32, 64)
 SIGMAS = (0.0, 0.05, 0.1, 0.25, 0.5, 1.0)
@@ -136,3 +142,105 @@ def evasion_summary(df: DataFrame, groups: list[str], evaded: Column) -> DataFra
 def breakdown_budget(summary: DataFrame, groups: list[str], budget: str, rate: str = "asr", at: float = 0.5) -> DataFrame:
     """The smallest budget at which the success rate reaches ``at`` (null if none)."""
     return summary.groupBy(*groups).agg(F.min(F.when(F.col(rate) >= at, F.col(budget))).alias("breakdown"))
+
+
+# --- attacks on raw flows: re-transformed, scored and judged anew ----------------
+
+
+@dataclass
+class Judge:
+    """A fitted detector of raw flows: features, a prototype bank and thresholds."""
+
+    pipeline: FeaturePipeline
+    bank: DataFrame
+    margin: float = 0.2
+    tau: float = 0.1
+    theta_unknown: float = 0.5
+    theta_defer: float = 0.1
+
+    def vectors(self, raw: DataFrame, keep: list[str]) -> DataFrame:
+        """``keep`` and ``z``: all features anew from the raw columns, so descriptors
+        that follow from a changed column change with it."""
+        names = list(self.pipeline.columns())
+        return self.pipeline.transform(raw, keep).select(*keep, F.array(*[F.col(f"`{n}`").cast("double") for n in names]).alias("z"))
+
+    def verdicts(self, raw: DataFrame, keep: list[str]) -> DataFrame:
+        z = materialise(self.vectors(raw, keep), "judged")  # so that scoring does not inline the features
+        return prototypes.decide(prototypes.evidence(prototypes.cosines(z, self.bank, "z"), self.margin, self.tau), self.theta_unknown, self.theta_defer)
+
+
+def evade(benign: int) -> Column:
+    """The objective of passing as benign: its cosine less the best other one."""
+    named = F.arrays_zip("classes", "cos")
+    best = lambda keep: F.array_max(F.transform(F.filter(named, keep), lambda t: t["cos"]))
+    return best(lambda t: t["classes"] == benign) - best(lambda t: t["classes"] != benign)
+
+
+def avoid_unknown() -> Column:
+    """The objective of not being held for unknown: all evidence."""
+    return F.col("evidence_total")
+
+
+def search_attack(raw: DataFrame, key: str, columns: list[str], epsilon: float, judge: Judge, goal: Callable[[], Column] | Column, rounds: int = 3, candidates: int = 8, seed: int = 0) -> DataFrame:
+    """``key, score_before, decision_before, score, decision`` and the attacked
+    ``columns``: each flow moved inside the box of relative width ``epsilon``
+    around itself towards a larger ``goal``, and always onto the feasible set.
+
+    Rounds of simultaneous random perturbation: every round proposes
+    ``candidates`` sign patterns at half the last step, all flows are
+    transformed and judged as one table, and each keeps its best proposal (its
+    own place is one of them, so the score never falls). A flow's proposals are
+    a fixed number, so nothing grows but by the input; lineage is cut per round.
+    """
+    goal = goal() if callable(goal) else goal
+    origin = {c: F.col(f"_o_{c}") for c in columns}
+    begin = raw.select(key, *[F.col(c).cast("double").alias(f"_o_{c}") for c in columns])
+    state, rest = raw, [c for c in raw.columns if c != key]  # making a proposal feasible may move any column, so all are kept
+
+    def judged(df: DataFrame) -> DataFrame:
+        return judge.verdicts(df, ["_cand_row"]).select("_cand_row.*", goal.alias("score"), "decision")
+
+    for r in range(rounds):
+        step = epsilon * 0.5**r
+        c = F.col("_cand")
+        each = state.join(begin, key).withColumn("_cand", F.explode(F.sequence(F.lit(0), F.lit(candidates if epsilon > 0 else 0))))
+        moved = {}
+        for i, n in enumerate(columns):
+            sign = F.when(uniform(F.col(key), c, i, r, seed=seed) < 0.5, -1.0).otherwise(1.0)
+            inside = F.greatest(F.least(F.col(n) + step * F.abs(origin[n]) * sign, origin[n] + epsilon * F.abs(origin[n])), origin[n] - epsilon * F.abs(origin[n]))
+            moved[n] = F.when(c == 0, F.col(n).cast("double")).otherwise(inside)
+        proposals = each.withColumns(moved)
+        # the flow's own place is not moved onto the feasible set: it is what was seen
+        proposals = feasible(proposals.filter(c > 0)).unionByName(proposals.filter(c == 0), allowMissingColumns=True) if epsilon > 0 else proposals
+        # written first: inlined into 150 features, the rules would be computed over and over
+        proposals = materialise(proposals.select(key, "_cand", *rest), "proposals").withColumn("_cand_row", F.struct(key, "_cand", *rest))
+        scored = judged(proposals)
+        best = scored.groupBy(key).agg(
+            F.max_by(F.struct("score", "decision", *rest), F.struct("score", -F.col("_cand"))).alias("b"),
+            *([F.max(F.when(F.col("_cand") == 0, F.struct("score", "decision"))).alias("_first")] if r == 0 else []),
+        )
+        first = [F.col("_first.score").alias("score_before"), F.col("_first.decision").alias("decision_before")] if r == 0 else []
+        best = materialise(best.select(key, *first, "b.*"), "attack")
+        if r == 0:
+            begun = best.select(key, "score_before", "decision_before")
+        state = best.select(key, *rest)
+    return begun.join(best.select(key, "score", "decision", *columns), key)
+
+
+def injection_shift(lists: DataFrame, injected: DataFrame, beta: float = 0.2) -> DataFrame:
+    """``target_id, budget, mean_shift, trimmed_shift``: how far the plain and the
+    trimmed mean of a target's neighbour list move when edges are injected.
+
+    ``lists``: ``target_id, flow_id, value`` (capped lists); ``injected``:
+    ``target_id, budget, i, value``. Folds and joins only; a list and its
+    injections are bounded by the cap and the budget.
+    """
+    from flowmill.operators.robust import trimmed_mean
+
+    budgets = injected.select("target_id", "budget").distinct()
+    own = lists.select("target_id", "flow_id", "value")
+    both = own.join(budgets, "target_id").select("target_id", "budget", "flow_id", "value").unionByName(injected.select("target_id", "budget", (-1 - F.col("i")).cast("bigint").alias("flow_id"), "value"))
+    one = lambda df, by: (df.groupBy(*by).agg(F.avg("value").alias("mean")), trimmed_mean(df.withColumn("weight", F.lit(1.0)), by, beta).withColumnRenamed("agg", "trimmed"))
+    (m0, t0), (m1, t1) = one(own, ["target_id"]), one(both, ["target_id", "budget"])
+    clean = m0.join(t0, "target_id").withColumnsRenamed({"mean": "_m", "trimmed": "_t"})
+    return m1.join(t1, ["target_id", "budget"]).join(clean, "target_id").select("target_id", "budget", F.abs(F.col("mean") - F.col("_m")).alias("mean_shift"), F.abs(F.col("trimmed") - F.col("_t")).alias("trimmed_shift"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -28,8 +29,8 @@ def _assembled(df: DataFrame, features: list[str], label: str | None) -> DataFra
 
 
 def tabular(kind: str, train: DataFrame, test: DataFrame, features: list[str], label: str, seed: int = 0, **params) -> DataFrame:
-    """``test`` with ``predicted``: a forest (``rf``), extra-random forest
-    (``et``: smaller random feature subsets), depth-limited tree (``dt``)
+    """``test`` with ``predicted``: a forest (``rf``), extremely randomised trees
+    (``et``, see :func:`_extra_trees`), depth-limited tree (``dt``)
     or multilayer perceptron (``mlp``), classes weighted by inverse frequency."""
     from pyspark.ml.classification import DecisionTreeClassifier, MultilayerPerceptronClassifier, RandomForestClassifier
 
@@ -40,13 +41,37 @@ def tabular(kind: str, train: DataFrame, test: DataFrame, features: list[str], l
         model = MultilayerPerceptronClassifier(layers=[len(features), *params.get("hidden", (32,)), n], maxIter=params.get("iterations", 40), seed=seed, **common).fit(data)
     elif kind == "dt":
         model = DecisionTreeClassifier(maxDepth=params.get("depth", 8), weightCol="_w", seed=seed, **common).fit(data)
-    elif kind in ("rf", "et"):
-        model = RandomForestClassifier(numTrees=params.get("trees", 20), maxDepth=params.get("depth", 8), featureSubsetStrategy="sqrt" if kind == "rf" else "log2", weightCol="_w", seed=seed, **common).fit(data)
+    elif kind == "rf":
+        model = RandomForestClassifier(numTrees=params.get("trees", 20), maxDepth=params.get("depth", 8), featureSubsetStrategy="sqrt", weightCol="_w", seed=seed, **common).fit(data)
+    elif kind == "et":
+        return _extra_trees(data, _assembled(test, features, None), features, common, params.get("trees", 20), params.get("depth", 8), seed, params.get("groups", 5))
     else:
         raise ValueError(f"unknown model {kind!r}")
     return model.transform(_assembled(test, features, None)).drop("_x", "rawPrediction", "probability")
 
 
+def _extra_trees(train: DataFrame, test: DataFrame, features: list[str], common: dict, trees: int, depth: int, seed: int, groups: int, cuts: int = 8) -> DataFrame:
+    """Trees that split at random thresholds, not at fitted ones, on all rows.
+
+    Every group of trees sees the features through its own random cuts (uniform
+    between each feature's minimum and maximum), so no other threshold can be
+    chosen; trees of a group differ by their random feature subsets. Votes of
+    all groups are added.
+    """
+    from pyspark.ml.classification import RandomForestClassifier
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    ends = train.agg(*[f(F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(0.0)), F.lit(0.0))).alias(f"{n}{i}") for i, c in enumerate(features) for n, f in (("a", F.min), ("b", F.max))]).first()
+    rng, votes = np.random.default_rng(seed), None
+    for g in range(groups):
+        bounds = [sorted((rng.uniform(ends[f"a{i}"], ends[f"b{i}"], size=cuts)).tolist()) if ends[f"a{i}"] is not None else [] for i in range(len(features))]
+        binned = array_to_vector(F.zip_with(vector_to_array("_x"), F.lit(bounds), lambda x, b: F.size(F.filter(b, lambda t: x > t)).cast("double")))
+        model = RandomForestClassifier(numTrees=max(trees // groups, 1), maxDepth=depth, featureSubsetStrategy="sqrt", bootstrap=False, maxBins=cuts + 1, weightCol="_w", seed=seed + g, **(common | {"featuresCol": "_b"})).fit(train.withColumn("_b", binned))
+        test = model.transform(test.withColumn("_b", binned)).withColumn(f"_v{g}", vector_to_array("rawPrediction")).drop("_b", "rawPrediction", "probability", common["predictionCol"])
+        votes = F.col(f"_v{g}") if votes is None else F.zip_with(votes, F.col(f"_v{g}"), lambda a, b: a + b)
+    return test.withColumn(common["predictionCol"], vec.argmax(votes).cast("double")).drop("_x", *[f"_v{g}" for g in range(groups)])
+
+
 def identity_tree(train: DataFrame, test: DataFrame, source: str, target: str, ports: list[str], label: str) -> DataFrame:
     """The floor that identities alone reach: a tree of depth 8 on host codes
     (places in the order of train's hosts, as numbers; hosts unseen in train

@@ -112,3 +112,62 @@ def triage(df: DataFrame, k: int = 2) -> DataFrame:
     r = df.filter("decision = -1").withColumn("nearest", F.transform(near, lambda t: F.struct(t["class_id"].alias("class_id"), t["cosine"].alias("cosine"))))
     prose = F.format_string("Unknown (evidence %.3f, vacuity %.2f): nearest class %d at cosine %.2f, too little evidence to name it.", "evidence_total", "vacuity", F.col("nearest")[0]["class_id"], F.col("nearest")[0]["cosine"])
     return r.withColumn("prose", prose)
+
+
+def attention_ranking(df: DataFrame, groups: list[str], weight: str, k: int = 3) -> DataFrame:
+    """The attention baseline: the ``k`` edges of each neighbour list that the
+    layer itself weighs most (ties: the smaller id). Lists are capped."""
+    w = Window.partitionBy(*groups).orderBy(F.desc(weight), "flow_id")
+    return df.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= k)
+
+
+def counterfactual_round_robin(df: DataFrame, group: str, scale: str, contribution: str, tie: str, need: Column) -> DataFrame:
+    """As :func:`counterfactual`, but edges leave in turn over the scales: the
+    largest of each scale, then the second of each, and so on."""
+    inside = F.row_number().over(Window.partitionBy(group, scale).orderBy(F.desc(contribution), tie))
+    turned = df.withColumn("_turn", inside)
+    w = Window.partitionBy(group).orderBy("_turn", scale)
+    left = F.sum(contribution).over(Window.partitionBy(group)) - F.sum(contribution).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    r = turned.withColumn("_k", F.row_number().over(w)).withColumn("_left", left)
+    return r.groupBy(group).agg(F.min(F.when(F.round("_left", 9) < need, F.col("_k"))).alias("needed"), F.count(F.lit(1)).alias("n_edges")).withColumn("flips", F.col("needed").isNotNull())
+
+
+def edge_masks(lists: DataFrame, group: str, proto: list[float], steps: int = 60, rate: float = 0.5, sparsity: float = 0.05) -> DataFrame:
+    """``group, masks, score, masked_score``: for each neighbour list the weights in
+    (0, 1) that keep its score with as few edges as possible, learned by gradient
+    steps on sigmoid masks.
+
+    ``lists``: ``group`` and ``l``, an array of (flow_id, w, m): weight and message
+    vector. The score is the cosine of the weighted mean of messages with
+    ``proto``. A list is solved alone, in Arrow batches; lists are capped.
+    """
+    p = np.array(proto, dtype=float)
+    p = p / max(np.linalg.norm(p), 1e-12)
+
+    def solve(w: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, float, float]:
+        def score(g):
+            a = g * w
+            v = a @ m / max(a.sum(), 1e-12)
+            return v, a.sum(), float(v @ p / max(np.linalg.norm(v), 1e-12))
+
+        theta = np.full(len(w), 2.0)
+        for _ in range(steps):
+            g = 1 / (1 + np.exp(-theta))
+            v, total, s = score(g)
+            n = max(np.linalg.norm(v), 1e-12)
+            by_v = p / n - s * v / (n * n)  # of the cosine
+            by_g = ((m - v) @ by_v) * w / max(total, 1e-12)
+            theta += rate * (by_g * len(w) - sparsity) * g * (1 - g) * 4
+        g = 1 / (1 + np.exp(-theta))
+        return g, score(np.ones(len(w)))[2], score(g)[2]
+
+    def run(batches):
+        for b in batches:
+            out = []
+            for row in b["l"]:
+                w, m = np.array([x["w"] for x in row], dtype=float), np.array([list(x["m"]) for x in row], dtype=float).reshape(len(row), -1)
+                out.append(solve(w, m))
+            yield pd.DataFrame({group: b[group], "masks": [list(g) for g, _, _ in out], "score": [s for _, s, _ in out], "masked_score": [s for _, _, s in out]})
+
+    kind = lists.schema[group].dataType.simpleString()
+    return lists.select(group, "l").mapInPandas(run, f"`{group}` {kind}, masks array<double>, score double, masked_score double")

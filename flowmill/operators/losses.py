@@ -39,6 +39,11 @@ def compactness(cos: Column, position: Column) -> Column:
     return 1 - F.element_at(cos, position + 1)
 
 
+def unknown_penalty(log_e: Column) -> Column:
+    """What a synthetic unknown costs: log(1 + all evidence), 0 if it has none."""
+    return F.log1p(vec.total(F.transform(log_e, lambda x: F.exp(x))))
+
+
 def dirichlet_kl(alpha: Column) -> Column:
     """KL divergence of a Dirichlet from the uniform one."""
     n = F.size(alpha).cast("double")

@@ -190,6 +190,32 @@ def area_under_risk(curve: DataFrame) -> DataFrame:
     ).select("aurc", (F.col("aurc") - F.col("_o")).alias("e_aurc"), "risk_at_90")
 
 
+def risk_at(curve: DataFrame, coverage: float) -> Column:
+    """Aggregate over a risk curve: the risk at the point nearest to a coverage
+    (of two, the one of larger coverage)."""
+    return F.min_by("risk", F.struct(F.round(F.abs(F.col("coverage") - coverage), 9), -F.col("coverage")))
+
+
+def selective_report(df: DataFrame, uncertainty: str, key: str, wrong: Column, points: int = 100, deferral: float = 0.02) -> DataFrame:
+    """One row: areas under the risk curve, risk at 90 % coverage and at the
+    deferral point, full risk, and the precision of deferring the most uncertain."""
+    curve = risk_coverage(df, uncertainty, key, wrong, points)
+    from flowmill.plans.shared import materialise
+
+    curve = materialise(curve, "risk-curve")
+    cut = quantiles(df, [], F.col(uncertainty), [1 - deferral]).select("value").scalar()
+    d = deferral_precision(df.withColumn("_cut", cut).withColumn("_wrong", wrong), F.col(uncertainty) > F.col("_cut"), F.col("_wrong"))
+    more = curve.agg(risk_at(curve, 1 - deferral).alias("risk_at_deferral"), F.max_by("risk", "coverage").alias("full_risk"))
+    return area_under_risk(curve).withColumns({"risk_at_deferral": more.select("risk_at_deferral").scalar(), "full_risk": more.select("full_risk").scalar(), "n_deferred": d.select("n_deferred").scalar(), "deferral_precision": d.select("deferral_precision").scalar()})
+
+
+def calibration_report(df: DataFrame, confidence: str, key: str, hit: Column, p: Column, position: Column, bins: int = 15) -> DataFrame:
+    """One row: ECE and MCE over bins of equal mass and of equal width, Brier score, NLL."""
+    mass, width = calibration_error(equal_mass_bins(df, confidence, key, hit, bins)), calibration_error(equal_width_bins(df, confidence, hit, bins))
+    scores = df.agg(brier(p, position).alias("brier"), nll(F.element_at(p, position + 1)).alias("nll"))
+    return scores.withColumns({f"{n}_{m}": d.select(m).scalar() for n, d in (("mass", mass), ("width", width)) for m in ("ece", "mce")})
+
+
 def deferral_precision(df: DataFrame, deferred: Column, wrong: Column) -> DataFrame:
     """One row: ``n_deferred`` and the share of them that were wrong (1.0 if none)."""
     return df.agg(F.sum(deferred.cast("bigint")).alias("n_deferred"), F.sum((deferred & wrong).cast("bigint")).alias("w")).select("n_deferred", _ratio(F.col("w"), F.col("n_deferred"), 1.0).alias("deferral_precision"))
@@ -302,6 +328,12 @@ def latency_percentiles(df: DataFrame, ms: str, groups: list[str] | None = None)
     return joined.select(*[F.col(f"_r_{x}").alias(x) for x in g], *marks, "mean", "max", "n")
 
 
+def recent(df: DataFrame, order: list[Column], n: int = 100_000) -> DataFrame:
+    """The latest ``n`` rows (a local top n in each partition, then one merge), for
+    latencies over a bounded history."""
+    return df.orderBy(*order).limit(n)
+
+
 def over_seeds(df: DataFrame, metric: str, value: str) -> DataFrame:
     """Mean and sample deviation of each metric over seeds."""
     return df.groupBy(metric).agg(F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), F.count(value).alias("n"))

@@ -116,12 +116,18 @@ def allocation(counts: DataFrame, label: str, n: str = "n", benign: str = "benig
     return counts.withColumn("n_sub", F.when(F.lower(label) == benign.lower(), sizes[0]).when(F.col(n) >= large, sizes[1]).otherwise(sizes[2]))
 
 
-def register_class(bank: DataFrame, samples: DataFrame, vector: str, class_id: int, size: int) -> DataFrame:
-    """The bank with one more class: the unit mean of the samples. Rows already
-    there are untouched, so no old score changes."""
-    new = samples.agg(*[F.avg(F.col(vector)[i].cast("double")).alias(f"_{i}") for i in range(size)]).filter(F.col("_0").isNotNull())
-    row = new.select(F.lit(class_id).cast("int").alias("class_id"), F.lit(0).alias("sub_id"), vec.unit(F.array(*[f"_{i}" for i in range(size)])).alias("proto"), F.lit(False).alias("trained"))
-    return bank.select("class_id", "sub_id", "proto", "trained").unionByName(row)
+def register_class(bank: DataFrame, samples: DataFrame, vector: str, class_id: int, size: int, n_sub: int = 1) -> DataFrame:
+    """The bank with one more class: the unit mean of the samples, or, where there
+    are at least ``4 * n_sub`` of them, ``n_sub`` prototypes by five rounds of
+    cosine k-means. Rows already there are untouched, so no old score changes.
+    No samples add nothing."""
+    old = bank.select("class_id", "sub_id", "proto", "trained")
+    if n_sub > 1 and samples.limit(4 * n_sub).count() >= 4 * n_sub:
+        new = sub_prototypes(samples.withColumn("_class", F.lit(class_id)), "_class", vector, size, n_sub)
+        return old.unionByName(new.select("class_id", "sub_id", "proto", F.lit(False).alias("trained")))
+    mean = samples.agg(*[F.avg(F.col(vector)[i].cast("double")).alias(f"_{i}") for i in range(size)]).filter(F.col("_0").isNotNull())
+    row = mean.select(F.lit(class_id).cast("int").alias("class_id"), F.lit(0).alias("sub_id"), vec.unit(F.array(*[f"_{i}" for i in range(size)])).alias("proto"), F.lit(False).alias("trained"))
+    return old.unionByName(row)
 
 
 def drift(bank: DataFrame, batch: DataFrame, label: str, vector: str, size: int, momentum: float = 0.99) -> DataFrame:

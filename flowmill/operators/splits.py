@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowmill.operators.ranking import hash_order, mixed, ranked, uniform
+from flowmill.plans.shared import materialise
 
 UNKNOWN = "UNKNOWN"
 
@@ -180,3 +181,31 @@ def class_weights(counts: DataFrame, n: str = "n", beta: float = 0.999) -> DataF
     return counts.withColumn("weight", F.lit(1 - beta) / (1 - F.pow(F.lit(beta), F.col(n))))
 
 
+
+def near_duplicate_rate(test: DataFrame, train: DataFrame, features: list[str], key: str, radius: float = 1e-6, width: float = 0.05) -> DataFrame:
+    """One row: test rows, those within ``radius`` (Euclidean, null as 0) of a train
+    row, and their share.
+
+    Rows meet in cells of four projections (unit vectors over disjoint features,
+    so a projection moves by at most the distance); a test row also looks into the
+    cells beyond borders within the radius, 16 at most. Only keys meet; vectors
+    of the few that met are fetched and compared.
+    """
+    value = lambda names: F.array(*[F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(0.0)) + F.lit(0.0) for c in names])
+    groups = [g for g in (features[k::4] for k in range(4)) if g]
+    sums = F.array(*[F.aggregate(value(g), F.lit(0.0), lambda a, x: a + F.greatest(F.least(x, F.lit(1e6)), F.lit(-1e6))) / math.sqrt(len(g)) for g in groups])
+    cell = lambda shift: F.transform("_s", lambda v: F.floor((v + shift) / F.lit(width) - F.lit(0.3719)))
+    reach = radius * (1 + 1e-9) + 1e-9
+    choices = F.transform(F.arrays_zip(cell(F.lit(-reach)).alias("a"), cell(F.lit(reach)).alias("b")), lambda t: F.array_distinct(F.array(t["a"], t["b"])))
+    empty = F.array().cast("array<bigint>")
+    probes = F.aggregate(choices, F.array(empty), lambda acc, c: F.flatten(F.transform(acc, lambda h: F.transform(c, lambda x: F.concat(h, F.array(x))))))
+    classes = lambda df: df.select(F.xxhash64(value(features)).alias("_a"), F.xxhash64(F.lit(7), value(features)).alias("_b"), sums.alias("_s"))
+    t = materialise(classes(train).groupBy("_a", "_b").agg(F.first("_s").alias("_s")).select("_a", "_b", cell(F.lit(0.0)).alias("_c")), "near-train")
+    e = materialise(classes(test).groupBy("_a", "_b").agg(F.first("_s").alias("_s"), F.count(F.lit(1)).alias("n")).select("_a", "_b", "n", F.explode(probes).alias("_c")), "near-test")
+    met = materialise(t.withColumnsRenamed({"_a": "ta", "_b": "tb"}).join(e.withColumnsRenamed({"_a": "ea", "_b": "eb"}), "_c").select("ta", "tb", "ea", "eb", "n").distinct(), "near-met")
+    vectors = lambda df, a, b, v: df.select(F.xxhash64(value(features)).alias(a), F.xxhash64(F.lit(7), value(features)).alias(b), value(features).alias(v)).join(met.select(a, b).distinct(), [a, b], "left_semi").groupBy(a, b).agg(F.first(v).alias(v))
+    both = met.join(vectors(train, "ta", "tb", "f"), ["ta", "tb"]).join(vectors(test, "ea", "eb", "g"), ["ea", "eb"])
+    near = F.sqrt(F.aggregate(F.zip_with("f", "g", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)) <= radius
+    hit = both.filter(near).select("ea", "eb", "n").distinct().agg(F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("n_near"))
+    out = test.agg(F.count(F.lit(1)).alias("n_rows")).withColumn("n_near", hit.scalar())
+    return out.withColumn("rate", F.coalesce(F.try_divide(F.col("n_near").cast("double"), F.col("n_rows")), F.lit(0.0)))

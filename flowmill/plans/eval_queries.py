@@ -181,6 +181,31 @@ def aurc(spark: SparkSession, d: str) -> DataFrame:
     return _r(metrics.area_under_risk(_curve(spark, d)), "aurc", "e_aurc", "risk_at_90", digits=8)
 
 
+def calibration_suite(spark: SparkSession, d: str) -> DataFrame:
+    """All calibration figures in one row."""
+    s = _scored(spark, d, 10)
+    return _r(metrics.calibration_report(s, "conf", "vec_id", ~_w(), F.col("p"), F.col("y")), "brier", "nll", "mass_ece", "mass_mce", "width_ece", "width_mce", digits=8)
+
+
+def selective_suite(spark: SparkSession, d: str) -> DataFrame:
+    """All figures of selective prediction in one row, with the 2 % deferral point."""
+    s = metrics.selective_report(_scored(spark, d, 10), "vac", "vec_id", _w(), 50)
+    return _r(s, "aurc", "e_aurc", "risk_at_90", "risk_at_deferral", "full_risk", "deferral_precision", digits=8)
+
+
+def latency_recent(spark: SparkSession, d: str) -> DataFrame:
+    """Percentiles over the latest 3,000 events only."""
+    e = metrics.recent(flows_events(spark, d), [F.desc("ms"), F.desc("flow_id")], 3000)
+    return _r(metrics.latency_percentiles(e, "bytes"), "p50", "p90", "p95", "p99", "mean", "max", digits=6)
+
+
+def register_sub_prototypes(spark: SparkSession, d: str) -> DataFrame:
+    """The bank after class 8 is registered with two prototypes."""
+    e = _emb(spark, d)
+    new = prototypes.register_class(_bank(e), e.filter("y = 8"), "z", 8, DIM, 2)
+    return new.groupBy("class_id").agg(F.count(F.lit(1)).alias("n_sub"), F.round(F.max(F.abs(vec.norm(F.col("proto")) - 1)), 6).alias("off_unit"))
+
+
 def deferral_precision(spark: SparkSession, d: str) -> DataFrame:
     return _r(metrics.deferral_precision(_scored(spark, d, 10), F.col("decision") == -2, _w()), "deferral_precision", digits=9)
 
@@ -358,7 +383,7 @@ def vector_functions(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     proto_bank, cosine_top2, evidence_verdict, softmax_verdict, distance_verdict, register_class, ema_drift, sub_prototypes, diversity_penalty, proto_allocation, mixup_unknowns,
     confusion_matrix, per_class_f1, closed_set_f1, tier_f1, pr_auc, auroc_known_unknown, unknown_tpr_fpr, openness, open_set_report, ece_equal_mass, ece_equal_width, reliability, brier, nll,
-    risk_coverage, aurc, deferral_precision, forgetting_bwt, few_shot, bootstrap_resamples, bootstrap_ci, paired_bootstrap, paired_bootstrap_f1, over_seeds, latency_percentiles, thresholds, nmi_ari, kmeans_purity, nearest_prototype, gates,
+    calibration_suite, selective_suite, latency_recent, register_sub_prototypes, risk_coverage, aurc, deferral_precision, forgetting_bwt, few_shot, bootstrap_resamples, bootstrap_ci, paired_bootstrap, paired_bootstrap_f1, over_seeds, latency_percentiles, thresholds, nmi_ari, kmeans_purity, nearest_prototype, gates,
     energy_score, odin_score, openmax, embed_attribution, integrated_gradients, fidelity, stability_spearman, stability_spearman_known, counterfactual_necessity, necessity_rate, kernel_shap, triage_report, vector_functions,
 )}
 
@@ -433,6 +458,13 @@ SQL = {
     "risk_coverage": f"{_A}, {_CURVE} SELECT i, round(coverage, 8) coverage, kept, round(risk, 8) risk, round(threshold, 8) threshold FROM rc",
     "aurc": f"""{_A}, {_CURVE}, st AS (SELECT *, lag(coverage) OVER o c0, lag(risk) OVER o r0, first_value(risk) OVER (ORDER BY i) fr FROM rc WINDOW o AS (ORDER BY coverage)) SELECT round(sum((coverage - c0) * (risk + r0) / 2), 8) aurc,
         round(sum((coverage - c0) * (risk + r0) / 2) - sum((coverage - c0) * fr * (1 - coverage + 1 - c0) / 2), 8) e_aurc, (SELECT round(risk, 8) FROM rc ORDER BY round(abs(coverage - 0.9), 9), coverage DESC LIMIT 1) risk_at_90 FROM st""",
+    "calibration_suite": f"""{_A}, {_EQM}, {_EQW.replace("bn AS", "bw AS")} SELECT (SELECT round(avg(b), 8) FROM (SELECT sum(pow(pc - (c = y)::INT, 2)) b FROM pp GROUP BY vec_id)) brier, (SELECT round(avg(-ln(pc)), 8) FROM pp WHERE c = y) nll,
+        {", ".join(f"(SELECT round(sum(n * abs(acc - conf)) / sum(n), 8) FROM {t}) {m}_ece, (SELECT round(max(abs(acc - conf)), 8) FROM {t}) {m}_mce" for m, t in (("mass", "bn"), ("width", "bw")))}""",
+    "selective_suite": f"""{_A}, {_CURVE}, st AS (SELECT *, lag(coverage) OVER o c0, lag(risk) OVER o r0, first_value(risk) OVER (ORDER BY i) fr FROM rc WINDOW o AS (ORDER BY coverage)), ct AS (SELECT quantile_cont(vac, 0.98) q FROM sc)
+        SELECT round(sum((coverage - c0) * (risk + r0) / 2), 8) aurc, round(sum((coverage - c0) * (risk + r0) / 2) - sum((coverage - c0) * fr * (1 - coverage + 1 - c0) / 2), 8) e_aurc,
+        {", ".join(f"(SELECT round(risk, 8) FROM rc ORDER BY round(abs(coverage - {c}), 9), coverage DESC LIMIT 1) {n}" for c, n in ((0.9, "risk_at_90"), (0.98, "risk_at_deferral")))}, round(any_value(fr), 8) full_risk,
+        (SELECT count(*) FROM sc, ct WHERE vac > q) n_deferred, (SELECT round(coalesce(avg(w), 1), 8) FROM sc, ct WHERE vac > q) deferral_precision FROM st""",
+    "latency_recent": "WITH l AS (SELECT value v FROM events ORDER BY epoch_us(ts) // 1000 DESC, event_id DESC LIMIT 3000) SELECT " + ", ".join(f"round(quantile_cont(v, {q}), 6) p{int(q * 100)}" for q in (0.5, 0.9, 0.95, 0.99)) + ", round(avg(v), 6) mean, round(max(v), 6) AS max, count(v) n FROM l",
     "deferral_precision": f"{_A} SELECT count(*) FILTER (decision = -2) n_deferred, round(coalesce(count(*) FILTER (decision = -2 AND w = 1) / nullif(count(*) FILTER (decision = -2), 0), 1), 9) deferral_precision FROM sc",
     "few_shot": f"{_A} SELECT y, count(*) n, round(avg(1 - w), 9) recall FROM sc WHERE y >= {KNOWN} GROUP BY 1",
     "bootstrap_resamples": f"{_A}, {_BOOT} SELECT b::INT resample, n::BIGINT n, round(a, 9) a, round(bb, 9) b FROM bt",

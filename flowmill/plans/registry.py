@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from flowmill.plans import clean_queries, eval_queries, flow_queries, graph_queries, io_queries, loss_queries, model_queries, skew_queries, split_queries, stream_queries
+from flowmill.plans import attack_queries, clean_queries, eval_queries, flow_queries, graph_queries, io_queries, loss_queries, model_queries, skew_queries, split_queries, stream_queries
 
-MODULES = (skew_queries, clean_queries, split_queries, graph_queries, flow_queries, eval_queries, model_queries, stream_queries, io_queries, loss_queries)
+MODULES = (skew_queries, clean_queries, split_queries, graph_queries, flow_queries, eval_queries, model_queries, attack_queries, stream_queries, io_queries, loss_queries)
 FLAGSHIP = "node_stats_long"
 
 

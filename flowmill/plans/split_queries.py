@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from flowmill.functions.text import label_key_sql
 from flowmill.operators import clean, splits
 from flowmill.operators.ranking import hash_order_sql, mixed_sql, uniform_sql
-from flowmill.sources.tables import flows_events, table
+from flowmill.sources.tables import feature_columns, flows_events, table
 
 T = "nf_cicids2018_v3"
 HELD = ["bot", "brute_web"]
@@ -76,6 +76,12 @@ def sample_with_replacement(spark: SparkSession, d: str) -> DataFrame:
     return splits.redraw(flows_events(spark, d).select("flow_id", "bytes"), 300, "flow_id", 4)
 
 
+def near_duplicates(spark: SparkSession, d: str) -> DataFrame:
+    """Share of test records within 1e-6 of a training record."""
+    t, e = table(spark, d, "train_features"), table(spark, d, "test_features")
+    return splits.near_duplicate_rate(e, t, feature_columns(t), "row_id").withColumn("rate", F.round("rate", 9))
+
+
 _AUDIT = ["IN_BYTES", "OUT_BYTES", "IN_PKTS", "OUT_PKTS", "FLOW_DURATION_MILLISECONDS", "L4_SRC_PORT", "L4_DST_PORT", "IPV4_SRC_ADDR", "IPV4_DST_ADDR"]
 
 
@@ -110,7 +116,7 @@ def host_concentration(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     split_protocol_a, split_protocol_b, split_family_holdout, split_cross_dataset, split_host_disjoint, holdout_sets, subsample_temporal, subsample_quota, quota_plan,
-    sample_rows, sample_with_replacement, audit_split, cross_split_copies, only_in_test, unseen_pair_rate, host_concentration,
+    near_duplicates, sample_rows, sample_with_replacement, audit_split, cross_split_copies, only_in_test, unseen_pair_rate, host_concentration,
 )}
 
 _LAB = f"""lab AS (SELECT f.*, FLOW_START_MILLISECONDS ms, v.canonical_label, v.family FROM {T} f
@@ -131,6 +137,8 @@ SQL = {
     "subsample_temporal": f"""WITH {_LAB}, b AS (SELECT *, {_QUOTA} q, floor((rk - 1) * 20 / n) bin FROM rk), k AS (SELECT *, row_number() OVER (PARTITION BY canonical_label, bin ORDER BY {hash_order_sql('flow_id', 1)}, flow_id) r FROM b)
         SELECT flow_id, canonical_label FROM k WHERE q IS NULL OR r <= ceil(q / 20)""",
     "subsample_quota": f"WITH {_LAB} SELECT flow_id, canonical_label FROM rk WHERE coalesce(rk <= {_QUOTA}, true)",
+    "near_duplicates": f"""WITH {", ".join(f"{n} AS (SELECT row_number() OVER () r, list_transform(list_value(*COLUMNS(* EXCLUDE (row_id, dataset, canonical_label, FLOW_START_MILLISECONDS, IPV4_SRC_ADDR, IPV4_DST_ADDR, L4_SRC_PORT, L4_DST_PORT))), lambda x: coalesce(x, 0)) f FROM {t})" for n, t in (("a", "train_features"), ("b", "test_features")))},
+        h AS (SELECT DISTINCT b.r FROM b JOIN a ON a.f[1] BETWEEN b.f[1] - 1e-6 AND b.f[1] + 1e-6 WHERE list_distance(a.f, b.f) <= 1e-6) SELECT (SELECT count(*) FROM b) n_rows, count(*) n_near, round(count(*) / (SELECT count(*) FROM b), 9) rate FROM h""",
     "sample_rows": f"SELECT flow_id, src FROM ({_EV}) ORDER BY {hash_order_sql('flow_id', 9)}, flow_id LIMIT 500",
     "sample_with_replacement": f"""WITH e AS (SELECT *, row_number() OVER (ORDER BY flow_id) r FROM ({_EV})), d AS (SELECT id draw, {mixed_sql('id', seed=4)} % (SELECT count(*) FROM e) + 1 a FROM range(1, 301) t(id))
         SELECT flow_id, bytes, draw FROM d JOIN e ON r = a""",

@@ -8,7 +8,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowmill.operators import prototypes
+from flowmill.functions.text import ipv4, measure
+from flowmill.operators import encoder, prototypes
+from flowmill.plans import flow_queries
+from flowmill.plans.eval_queries import _chain
 from flowmill.plans.graph_queries import EV, H
 from flowmill.plans.shared import new_path
 from flowmill.sources.tables import table
@@ -63,7 +66,45 @@ def stream_sessions(spark: SparkSession, d: str) -> DataFrame:
     return s.groupBy("src").agg(F.count(F.lit(1)).alias("n_sessions"), F.sum("n").alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (stream_verdicts, stream_node_rates, stream_bins, stream_sessions)}
+def _flows(spark: SparkSession, d: str) -> DataFrame:
+    """The raw flows that are edges, as a stream in order of arrival, late ones too."""
+    t = _source(spark, d, flow_queries.FLOWS).filter(F.col("FLOW_START_MILLISECONDS").between(flow_queries.LOW, flow_queries.HIGH))
+    out = t.select("flow_id", F.col("FLOW_START_MILLISECONDS").alias("ms"), ipv4("IPV4_SRC_ADDR").alias("src"), ipv4("IPV4_DST_ADDR").alias("dst"), F.coalesce(measure("IN_BYTES"), F.lit(0.0)).alias("bytes"), F.coalesce(F.col("L4_DST_PORT"), F.lit(0)).alias("port"))
+    return out.filter("src IS NOT NULL AND dst IS NOT NULL").withColumn("ts", F.timestamp_millis("ms"))
+
+
+def stream_flow_rates(spark: SparkSession, d: str) -> DataFrame:
+    """Flows of each source in the 1, 30 and 300 s before each of its flows."""
+    return run_to_end(detector.node_rates(_flows(spark, d).select("flow_id", "src", "ms", "ts"))).drop("ms")
+
+
+def stream_memory(spark: SparkSession, d: str) -> DataFrame:
+    """The memory of each flow's source after it; sources silent for 600 s are forgotten."""
+    gates = {g: encoder.given(2, 4, f"gru.{g}") for g in "zrn"}
+    x = F.array(F.log1p("bytes") / 10, F.col("port").cast("double") / 65535)
+    m = run_to_end(detector.node_memories(_flows(spark, d).select("flow_id", "src", "ms", "ts", x.alias("x")), gates, 2))
+    return m.select("flow_id", "src", *[F.round(F.col("memory")[i], 6).alias(f"m{i}") for i in range(2)])
+
+
+def stream_live(spark: SparkSession, d: str) -> DataFrame:
+    """A stream scored by a bank that grows: all rows before and after class 8 is
+    registered on the running detector."""
+    e = table(spark, d, "embeddings").select("vec_id", F.col("label").alias("y"), F.col("embedding").alias("z"))
+    live = detector.LiveDetector(spark, new_path(spark, "bank"), "z", 64, theta_unknown=0.05, theta_defer=0.0005)
+    live.start(prototypes.class_means(e.filter("y < 8"), "y", "z", 64))
+    parts = []
+    for step in (0, 1):
+        out = new_path(spark, "live")
+        stream = _source(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("z"))
+        q = stream.writeStream.foreachBatch(live.to(out, ["vec_id", "decision"])).option("checkpointLocation", new_path(spark, "live-state")).trigger(availableNow=True).start()
+        q.awaitTermination()
+        parts.append(spark.read.schema("vec_id bigint, decision int, batch int").parquet(out).select(F.lit(step).alias("registered"), "vec_id", "decision"))
+        if step == 0:
+            live.register(e.filter("y = 8"), 8)
+    return parts[0].unionByName(parts[1])
+
+
+QUERIES = {f.__name__: f for f in (stream_verdicts, stream_node_rates, stream_bins, stream_sessions, stream_flow_rates, stream_memory, stream_live)}
 
 
 def _verdict_sql() -> str:
@@ -72,7 +113,10 @@ def _verdict_sql() -> str:
     return f"SELECT vec_id, predicted, decision, evidence FROM ({E['evidence_verdict']})"
 
 
+_live = lambda step, known: f"SELECT {step} registered, vec_id, decision FROM (WITH {_chain(known)} SELECT vec_id, decision FROM sc)"
 SQL = {
+    "stream_live": f"{_live(0, 8)} UNION ALL {_live(1, 9)}",
+    "stream_flow_rates": flow_queries.SQL["flow_history"].replace("SELECT flow_id, count", "SELECT flow_id, src, count"),
     "stream_verdicts": _verdict_sql(),
     "stream_node_rates": f"WITH {EV} SELECT flow_id, src::VARCHAR src, " + ", ".join(f"count(*) OVER (PARTITION BY src ORDER BY ms RANGE BETWEEN {w} PRECEDING AND CURRENT ROW) n_{s}" for s, w in (("short", H), ("mid", 6 * H), ("long", 24 * H))) + " FROM ev",
     "stream_bins": f"WITH {EV} SELECT ms // {H} * {H} start_ms, dst, count(*) n FROM ev GROUP BY 1, 2 HAVING ms // {H} * {H} + {H} <= (SELECT max(ms) FROM ev) - {H}",

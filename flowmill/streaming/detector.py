@@ -15,11 +15,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from flowmill.operators import prototypes
+from flowmill.plans.shared import keep, kept
 
 RATES = "flow_id bigint, src string, ms bigint, n_short bigint, n_mid bigint, n_long bigint"
 
@@ -90,6 +91,81 @@ def node_rates(stream: DataFrame, widths: tuple[int, int, int] = (1_000, 30_000,
     return keyed.groupBy("src").applyInPandasWithState(_rates(widths), RATES, "times array<bigint>, counts array<bigint>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
+class LiveDetector:
+    """A detector whose bank can grow while its stream runs.
+
+    The bank is a table kept in versions under ``path``. Every micro-batch is
+    scored by the version that is newest when it starts (a join of the stream
+    with a static table, inside ``foreachBatch``); :meth:`register` appends a class as the
+    next version, so old classes keep their rows and their scores.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, vector: str, size: int, **head):
+        self.spark, self.path, self.vector, self.size, self.head = spark, path, vector, size, head
+
+    def start(self, bank: DataFrame) -> None:
+        """Keeps the first version, if there is none yet."""
+        if kept(self.spark, self.path) is None:
+            keep(prototypes.check_bank(bank.select("class_id", "sub_id", "proto", "trained")), self.path)
+
+    def register(self, samples: DataFrame, class_id: int, n_sub: int = 1) -> None:
+        keep(prototypes.register_class(kept(self.spark, self.path), samples, self.vector, class_id, self.size, n_sub), self.path)
+
+    def score(self, batch: DataFrame) -> DataFrame:
+        margin, tau = self.head.get("margin", 0.2), self.head.get("tau", 0.1)
+        scored = prototypes.evidence(prototypes.cosines(batch, kept(self.spark, self.path), self.vector), margin, tau)
+        return prototypes.decide(scored, self.head.get("theta_unknown", 0.5), self.head.get("theta_defer", 0.1))
+
+    def to(self, out: str, columns: list[str]):
+        """For ``foreachBatch``: scores a batch and writes it under its number, so
+        a batch that runs again replaces itself."""
+
+        def write(batch: DataFrame, batch_id: int) -> None:
+            self.score(batch).select(*columns).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+
+        return write
+
+
+def _memory(gates: dict, size: int, forget_ms: int):
+    z, r, n = (np.array(gates[k], dtype=float) for k in "zrn")
+    squash = lambda v: 1 / (1 + np.exp(-v))
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        last, h = state.get if state.exists else (None, [0.0] * size)
+        h = np.array(h)
+        new = pd.concat(list(batches)).sort_values(["ms", "flow_id"], kind="stable")
+        out = []
+        for at, x in zip(new["ms"], new["x"], strict=True):
+            if last is not None and at - last > forget_ms:
+                h = np.zeros(size)
+            xh = np.concatenate([x, h])
+            gz, gr = squash(z @ xh), squash(r @ xh)
+            h = (1 - gz) * np.tanh(n @ np.concatenate([x, gr * h])) + gz * h
+            last = int(at)
+            out.append(h.tolist())
+        state.update((last, h.tolist()))
+        if state.getCurrentWatermarkMs() < last + forget_ms:
+            state.setTimeoutTimestamp(last + forget_ms)
+        yield pd.DataFrame({"flow_id": new["flow_id"].to_numpy(), "src": str(key[0]), "memory": out})
+
+    return step
+
+
+def node_memories(stream: DataFrame, gates: dict[str, list[list[float]]], size: int, forget_ms: int = 600_000, lateness: str = "5 minutes") -> DataFrame:
+    """``flow_id, src, memory``: the gated memory of a record's source after it, of
+    a stream ``flow_id, src, ms, ts, x`` (x an array).
+
+    State is one vector per source that was active within ``forget_ms``; an
+    event-time timer evicts the others. Records are taken in time order within
+    a micro-batch.
+    """
+    keyed = stream.withWatermark("ts", lateness).withColumn("src", F.col("src").cast("string"))
+    return keyed.groupBy("src").applyInPandasWithState(_memory(gates, size, forget_ms), "flow_id bigint, src string, memory array<double>", "last bigint, memory array<double>", "append", GroupStateTimeout.EventTimeTimeout)
+
+
 class OutOfOrder(ValueError):
     """A micro-batch holds records older than ones already taken."""
 
@@ -110,6 +186,14 @@ class StrictOrder:
         self.handle(batch, batch_id)
 
 
+def footprint(spark: SparkSession, bank: DataFrame, query=None) -> dict:
+    """Bytes the driver's JVM uses, numbers in the model, and rows and bytes of state."""
+    r = spark._jvm.java.lang.Runtime.getRuntime()
+    size = bank.agg(F.coalesce(F.sum(F.size("proto")), F.lit(0)).alias("n")).first()["n"]
+    ops = query.lastProgress["stateOperators"] if query is not None and query.lastProgress else []
+    return {"jvm_bytes": int(r.totalMemory() - r.freeMemory()), "parameters": int(size), "state_rows": sum(o["numRowsTotal"] for o in ops), "state_bytes": sum(o["memoryUsedBytes"] for o in ops)}
+
+
 def progress(query) -> dict:
     """Rows per second, state rows, and latency percentiles of a query's
     micro-batches (whole batches, sink included)."""
