@@ -29,13 +29,20 @@ def class_means(df: DataFrame, label: str, vector: str, size: int) -> DataFrame:
 
 
 def sub_prototypes(df: DataFrame, label: str, vector: str, size: int, per_class: int = 2, rounds: int = 5) -> DataFrame:
-    """A bank of ``per_class`` prototypes per class, by cosine k-means of a few
-    rounds. Seeds are the vectors of smallest key hash; each round is one fold."""
-    seeds = df.filter(F.col(label).isNotNull()).select(F.col(label).cast("int").alias("class_id"), F.col(vector).alias("v"), F.xxhash64(F.col(vector)).alias("h"))
-    # min(k) of distinct hash-ordered candidates: each hash residue gives one seed
-    slot = F.pmod(F.col("h"), F.lit(per_class)).cast("int")
-    first = seeds.groupBy("class_id", slot.alias("slot")).agg(F.min_by("v", "h").alias("v")).groupBy("class_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("slot", "v"))), lambda x: x["v"]).alias("c"))
-    bank = first.select("class_id", F.posexplode("c").alias("sub_id", "proto")).withColumn("proto", vec.unit(F.col("proto"))).withColumn("trained", F.lit(True))
+    """A bank of up to ``per_class`` prototypes per class, by cosine k-means of a
+    few rounds. The first seed of a class is its vector of smallest hash, each
+    further one the vector least like the seeds so far (a class of fewer
+    distinct directions gets fewer); each seed and each round is one fold."""
+    rows = df.filter(F.col(label).isNotNull() & F.col(vector).isNotNull())
+    own, v, h = F.col(label).cast("int").alias("class_id"), F.transform(F.col(vector), lambda x: x.cast("double")), F.xxhash64(F.col(vector))
+    seed = lambda d, at: d.select("class_id", F.lit(at).alias("sub_id"), vec.unit(F.col("v")).alias("proto"), F.lit(True).alias("trained"))
+    bank = materialise(seed(rows.groupBy(own).agg(F.min_by(v, h).alias("v")), 0), "seeds")
+    for at in range(1, per_class):
+        mine = F.filter("_bank", lambda b: b["class_id"] == F.col(label).cast("int"))[0]["subs"]
+        like = F.array_max(F.transform(mine, lambda b: vec.cosine(F.col(vector), b["proto"])))
+        far = rows.withColumn("_bank", _packed(bank)).withColumn("_like", like).filter(F.col("_like") < 1 - 1e-9)
+        bank = materialise(bank.unionByName(seed(far.groupBy(own).agg(F.min_by(v, F.struct("_like", h)).alias("v")), at)), "seeds")
+    df = rows
     for _ in range(rounds):
         near = nearest_own(df, bank, label, vector)
         means = near.groupBy(F.col(label).cast("int").alias("class_id"), "sub_id").agg(*[F.avg(F.col(vector)[i].cast("double")).alias(f"_{i}") for i in range(size)])
