@@ -124,15 +124,18 @@ def robust_scale(fit: dict[str, tuple[float, float]]) -> dict[str, Column]:
     return {c: (F.coalesce(_d(c), F.lit(0.0)) - m) / iqr for c, (m, iqr) in fit.items()}
 
 
-def knots_fit(df: DataFrame, values: dict[str, Column], n: int = 1000) -> dict[str, list[float]]:
-    """``n`` evenly spaced quantiles of each column, in one pass.
+def knots_fit(df: DataFrame, values: dict[str, Column], n: int = 1000, shape=None) -> dict[str, list[float]]:
+    """``n`` evenly spaced quantiles of each column, in one pass. ``shape``, if
+    given, is applied to every value (as one short expression over the array of
+    values: written out per column it would make methods too long to compile).
 
     Rows are folded on the map side to counts, minima and maxima per column and
     cell of width 1 / KNOT_CELLS; a knot is placed inside its cell by its rank.
     So it errs by less than a cell (not at all where a cell holds one value),
     and states of any parts add up.
     """
-    each = df.select(F.inline(F.array(*[F.struct(F.lit(k).alias("feature"), c.alias("x")) for k, c in values.items()]))).filter(F.col("x").isNotNull() & ~F.isnan("x"))
+    row = F.array(*values.values())
+    each = df.select(F.posexplode(row if shape is None else F.transform(row, shape)).alias("feature", "x")).filter(F.col("x").isNotNull() & ~F.isnan("x"))
     cells = each.groupBy("feature", F.floor(F.col("x") * KNOT_CELLS).alias("cell")).agg(F.count(F.lit(1)).alias("c"), F.min("x").alias("lo"), F.max("x").alias("hi"))
     upto = F.sum("c").over(Window.partitionBy("feature").orderBy("cell").rowsBetween(Window.unboundedPreceding, 0))  # over cells, not rows
     placed = cells.withColumn("upto", upto).withColumn("rows", F.sum("c").over(Window.partitionBy("feature"))).withColumn("before", F.col("upto") - F.col("c"))
@@ -144,7 +147,7 @@ def knots_fit(df: DataFrame, values: dict[str, Column], n: int = 1000) -> dict[s
     knot = F.col("lo") + (F.col("hi") - F.col("lo")) * F.least(F.greatest(rank, F.lit(0)), F.col("c") - 1) / F.greatest(F.col("c") - 1, F.lit(1))
     found = asked.groupBy("feature").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", knot.alias("k")))), lambda x: x["k"]).alias("knots"))
     told = {r["feature"]: list(r["knots"]) for r in found.collect()}  # n numbers a column
-    return {k: told.get(k) or [0.0, 0.0] for k in values}
+    return {k: told.get(i) or [0.0, 0.0] for i, k in enumerate(values)}
 
 
 def vocabularies(df: DataFrame, sizes: dict[str, int]) -> dict[str, list]:
@@ -184,10 +187,10 @@ class FeaturePipeline:
     vocabulary: dict = field(default_factory=dict)
 
     def fit(self, df: DataFrame) -> "FeaturePipeline":
-        tails = {c: signed_log(finite(_d(c))) for c in schema.HEAVY_TAILED} if self.temporal and self.condition else {}
-        beats = {n: signed_log(c) for n, c in rhythm().items() if n in RHYTHM} if self.temporal and self.rhythm else {}
+        tails = {c: _d(c) for c in schema.HEAVY_TAILED} if self.temporal and self.condition else {}
+        beats = {n: c for n, c in rhythm().items() if n in RHYTHM} if self.temporal and self.rhythm else {}
         if tails or beats:
-            found = knots_fit(df, tails | beats, self.quantiles)
+            found = knots_fit(df, tails | beats, self.quantiles, lambda x: signed_log(finite(x)))
             self.knots, self.rhythm_knots = {c: found[c] for c in tails}, {c: found[c] for c in beats}
         self.scale = robust_fit(df, list(schema.BOUNDED))
         self.vocabulary = vocabularies(df, schema.CATEGORICAL)

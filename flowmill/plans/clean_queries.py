@@ -149,7 +149,7 @@ def robust_scale(spark: SparkSession, d: str) -> DataFrame:
 
 
 def quantile_knots(spark: SparkSession, d: str) -> DataFrame:
-    knots = features.knots_fit(table(spark, d, T), {c: features.signed_log(features.finite(F.col(c).cast("double"))) for c in schema.HEAVY_TAILED})
+    knots = features.knots_fit(table(spark, d, T), {c: F.col(c).cast("double") for c in schema.HEAVY_TAILED}, shape=lambda x: features.signed_log(features.finite(x)))
     return spark.createDataFrame([(c, i, round(v, 9)) for c, ks in knots.items() for i, v in enumerate(ks)], "feature string, i int, knot double")
 
 
