@@ -25,6 +25,8 @@ from flowmill.plans.shared import materialise
 BUDGETS = (0, 1, 2, 4, 8, 16, 32, 64)
 SIGMAS = (0.0, 0.05, 0.1, 0.25, 0.5, 1.0)
 _DURATIONS = ("FLOW_DURATION_MILLISECONDS", "DURATION_IN", "DURATION_OUT")
+#: A pool of at most so many edges is broadcast, as arrays of 4096 values (32 MB of 8 bytes each); a larger one is joined by a shuffle.
+PACKED_POOL, PACKED_BITS = 4_000_000, 12
 
 
 def hashed_uniform(*parts: Column, seed: int = 0) -> Column:
@@ -39,23 +41,37 @@ def inject_edges(targets: DataFrame, pool: DataFrame, window_ms: int, budgets: t
     from. Output: ``target_id, budget, i, ms, src, dst, bytes, is_injected``.
     Injected edges are context only, never targets. A budget of 0 injects
     nothing. ``single_stratum`` puts all into the latest stratum, ``all_strata``
-    spreads them evenly. The pool is drawn by rank (a hash decides), one join.
+    spreads them evenly. The pool is drawn by rank (a hash decides), once per
+    target and ``i`` for all budgets: targets are dealt out before they are
+    multiplied, and a pool of up to ``PACKED_POOL`` edges comes to them as packed
+    values; a larger one is met by a shuffle. The multiplied side is never
+    broadcast (the planner takes it to be as small as ``targets``).
     """
     if spread not in ("single_stratum", "all_strata"):
         raise ValueError(f"unknown spread {spread!r}")
-    each = targets.select(F.col("flow_id").alias("target_id"), F.col("ms").alias("at"), "src", "dst", F.explode(F.array(*[F.lit(b) for b in budgets])).alias("budget")).filter("budget > 0")
-    each = each.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("budget") - 1)))
+    n = pool.count()
+    if not n:
+        raise ValueError("the pool of benign edges is empty")
+    wanted = [b for b in budgets if b > 0]
+    parts = int(targets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    each = targets.filter(F.lit(bool(wanted))).select(F.col("flow_id").alias("target_id"), F.col("ms").alias("at"), "src", "dst").repartition(parts, "target_id")
+    each = each.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(max(wanted, default=1) - 1))))
+    pick = F.least(F.floor(hashed_uniform(F.col("i"), F.col("target_id"), seed=seed + 1) * n).cast("bigint"), F.lit(n - 1))
+    each = each.withColumn("_pick", pick)  # not nullable, nor is its block: else a filter on the join's keys would draw again
+    numbered = ranked(pool.select("flow_id", "bytes").withColumn("_all", F.lit(0)), ["_all"], [F.col("flow_id")]).select((F.col("rank") - 1).alias("_pick"), "bytes")
+    if n <= PACKED_POOL:
+        block = F.shiftright("_pick", PACKED_BITS)
+        packed = numbered.groupBy(block.alias("_block")).agg(F.sort_array(F.collect_list(F.struct("_pick", "bytes"))).getField("bytes").alias("_bytes"))
+        drawn = each.withColumn("_block", block).join(F.broadcast(packed), "_block").withColumn("bytes", F.get("_bytes", F.col("_pick").bitwiseAND(F.lit((1 << PACKED_BITS) - 1)).cast("int")))
+    else:
+        drawn = each.join(numbered.hint("merge"), "_pick")
+    drawn = drawn.withColumn("budget", F.explode(F.array(*[F.lit(b) for b in wanted or [1]]))).filter("i < budget")
     u = hashed_uniform(F.col("target_id"), F.col("budget"), F.col("i"), seed=seed)
     width = F.lit(window_ms / strata)
     stratum = F.lit(strata - 1) if spread == "single_stratum" else F.pmod(F.col("i"), F.lit(strata))
     begin = F.col("at") - F.lit(window_ms) + stratum * width
-    each = each.withColumn("ms", F.least(F.floor(begin + u * width).cast("bigint"), F.col("at") - 1))
-    n = pool.count()
-    if not n:
-        raise ValueError("the pool of benign edges is empty")
-    pick = F.floor(hashed_uniform(F.col("i"), F.col("target_id"), seed=seed + 1) * n).cast("bigint") + 1
-    numbered = ranked(pool.select("flow_id", "bytes").withColumn("_all", F.lit(0)), ["_all"], [F.col("flow_id")]).select(F.col("rank").alias("_pick"), "bytes")
-    return each.withColumn("_pick", pick).join(numbered, "_pick").select("target_id", "budget", "i", "ms", "src", "dst", "bytes", F.lit(True).alias("is_injected"))
+    ms = F.least(F.floor(begin + u * width).cast("bigint"), F.col("at") - 1)
+    return drawn.select("target_id", "budget", "i", ms.alias("ms"), "src", "dst", "bytes", F.lit(True).alias("is_injected"))
 
 
 def with_injected(edges: DataFrame, injected: DataFrame) -> DataFrame:
