@@ -53,7 +53,8 @@ def inject_edges(targets: DataFrame, pool: DataFrame, window_ms: int, budgets: t
     if not n:
         raise ValueError("the pool of benign edges is empty")
     wanted = [b for b in budgets if b > 0]
-    parts = int(targets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # twice the usual slices: as many as those of a join before, the planner would leave them out and merge the join's, which it takes to be small
+    parts = 2 * int(targets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     each = targets.filter(F.lit(bool(wanted))).select(F.col("flow_id").alias("target_id"), F.col("ms").alias("at"), "src", "dst").repartition(parts, "target_id")
     each = each.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(max(wanted, default=1) - 1))))
     pick = F.least(F.floor(hashed_uniform(F.col("i"), F.col("target_id"), seed=seed + 1) * n).cast("bigint"), F.lit(n - 1))
